@@ -37,5 +37,4 @@ def joined_key(*values: Column) -> Column:
 
 def number(value: Column) -> Column:
     """Text to double; unreadable text and NaN are null."""
-    parsed = value.try_cast("double")
-    return F.when(~F.isnan(parsed), parsed)
+    return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))

@@ -94,12 +94,16 @@ def pitcher_sums(pitches: DataFrame) -> DataFrame:
     Usage counts every pitch, movement only those with a modelled outcome.
     """
     kept = kept_outcome(outcome_class(F.col("events"), F.col("description")))
-    metrics = {s: F.when(kept, number(F.col(m))) for s, m in K.MOVEMENT.items()}
-    return pitches.groupBy(*PITCHER_KEYS).agg(
+    flagged = pitches.withColumn("_kept", kept)
+    metrics = {
+        s: F.when(F.col("_kept"), number(F.col(m))).alias(s) for s, m in K.MOVEMENT.items()
+    }
+    measured = flagged.select(*PITCHER_KEYS, "_kept", *metrics.values())
+    return measured.groupBy(*PITCHER_KEYS).agg(
         F.count(F.lit(1)).alias("thrown"),
-        F.count_if(kept).alias("modelled"),
-        *[F.avg(c).alias(f"avg{s}") for s, c in metrics.items()],
-        *[F.stddev_samp(c).alias(f"sd{s}") for s, c in metrics.items()],
+        F.count_if(F.col("_kept")).alias("modelled"),
+        *[F.avg(s).alias(f"avg{s}") for s in metrics],
+        *[F.stddev_samp(s).alias(f"sd{s}") for s in metrics],
     )
 
 

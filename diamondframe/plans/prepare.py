@@ -9,7 +9,7 @@ from diamondframe.operators import profiles
 from diamondframe.operators.pitches import labelled_pitches, relevant_pitches
 from diamondframe.operators.runs import run_expectancy
 from diamondframe.operators.training import training_table
-from diamondframe.session import written
+from diamondframe.session import written, written_together
 
 
 def profile_tables(
@@ -18,16 +18,25 @@ def profile_tables(
     pitcher: PitcherThresholds = PitcherThresholds(),
 ) -> dict[str, DataFrame]:
     """The three profile tables, written: one pass over the pitches per side."""
-    hitter_sums = written(profiles.hitter_sums(relevant), "hitter_sums")
-    pitchers = profiles.pitcher_profiles(profiles.pitcher_sums(relevant), pitcher)
+    first = written_together(
+        {
+            "hitter_sums": profiles.hitter_sums(relevant),
+            "ind_pitcher_sum": profiles.pitcher_profiles(
+                profiles.pitcher_sums(relevant), pitcher
+            ),
+        }
+    )
+    second = written_together(hitter_tables(first["hitter_sums"], hitter))
+    return {**second, "ind_pitcher_sum": first["ind_pitcher_sum"]}
+
+
+def hitter_tables(
+    sums: DataFrame, thresholds: HitterThresholds = HitterThresholds()
+) -> dict[str, DataFrame]:
+    """Both hitter profiles from the written sums."""
     return {
-        "ind_hitter_sum": written(
-            profiles.hitter_profiles(hitter_sums, hitter), "ind_hitter_sum"
-        ),
-        "generic_hitter_sum": written(
-            profiles.generic_hitter_profiles(hitter_sums), "generic_hitter_sum"
-        ),
-        "ind_pitcher_sum": written(pitchers, "ind_pitcher_sum"),
+        "ind_hitter_sum": profiles.hitter_profiles(sums, thresholds),
+        "generic_hitter_sum": profiles.generic_hitter_profiles(sums),
     }
 
 

@@ -10,12 +10,13 @@ from diamondframe import constants as K
 from diamondframe.functions.transitions import apply_event
 from diamondframe.operators import candidates, expected, lookups, model as M, profiles
 from diamondframe.operators import runs, training
+from diamondframe.operators.joins import null_safe_join
 from diamondframe.operators.pitches import inning_runs, labelled_pitches, relevant_pitches
-from diamondframe.plans.prepare import handoff_tables, profile_tables
+from diamondframe.plans.prepare import handoff_tables, hitter_tables, profile_tables
 from diamondframe.plans.recommend import recommend
-from diamondframe.session import shared_path, written
+from diamondframe.session import shared_path, written, written_together
 from diamondframe.sources.models import load_model, save_model
-from diamondframe.sources.pitches import pitches_from_events
+from diamondframe.sources.pitches import pitch_table
 from diamondframe.sources.tables import read_table, write_tables
 
 TYPE = "pitch_type_condensed"
@@ -35,7 +36,7 @@ def _long(*names: str) -> list[Column]:
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relevant_pitches(pitches_from_events(spark, sf_dir))
+    return relevant_pitches(pitch_table(spark, sf_dir))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,10 +139,9 @@ def pitcher_profiles(spark, sf_dir):
 def _training(spark, sf_dir) -> DataFrame:
     relevant = _relevant(spark, sf_dir)
     sums = written(profiles.hitter_sums(relevant), "hitter_sums")
+    tables = written_together(hitter_tables(sums))
     return training.training_table(
-        labelled_pitches(relevant),
-        written(profiles.hitter_profiles(sums), "ind_hitter_sum"),
-        written(profiles.generic_hitter_profiles(sums), "generic_hitter_sum"),
+        labelled_pitches(relevant), tables["ind_hitter_sum"], tables["generic_hitter_sum"],
         extra=("event_id",),
     )
 
@@ -319,7 +319,7 @@ def outcome_draws(spark, sf_dir):
     relevant = _relevant(spark, sf_dir)
     flagged = profiles.swing_zone_flags(labelled_pitches(relevant))
     rows = flagged.select(F.col("event_id").alias("request_id"), *FREQUENCY_KEYS)
-    shared = rows.join(_frequencies(relevant), FREQUENCY_KEYS)
+    shared = null_safe_join(rows, _frequencies(relevant), FREQUENCY_KEYS)
     return candidates.draw_outcome(shared, LABELS, SEED).select("request_id", "drawn_event")
 
 
@@ -375,7 +375,7 @@ def outcome_scores(spark, sf_dir):
 
 
 def _recommendation(spark, sf_dir):
-    pitches = pitches_from_events(spark, sf_dir)
+    pitches = pitch_table(spark, sf_dir)
     tables = handoff_tables(pitches)
     complete = training.complete_rows(tables["model_data"], training.REQUIRED)
     model = M.fit_outcomes(

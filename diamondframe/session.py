@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import lru_cache
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/diamondframe/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written_together(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Write independent small tables at the same time."""
+    with ThreadPool(max(1, len(tables))) as pool:
+        done = pool.starmap(written, [(df, name) for name, df in tables.items()])
+    return dict(zip(tables, done))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a small derived table once and read it back.
 

@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from diamondframe import constants as K, schemas
+from diamondframe.session import shared_path
 
 DERIVED_SQL = (Path(__file__).parent / "pitches_from_events.sql").read_text()
 
@@ -38,4 +39,26 @@ def read_pitches(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 def pitches_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pitch table derived by fixed arithmetic from the ``events`` table."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return null_sentinel(spark.sql(DERIVED_SQL.replace("FROM events", "FROM {events}"), events=events))
+    text = DERIVED_SQL.replace("FROM events", "FROM {events}")
+    return null_sentinel(spark.sql(text, events=events))
+
+
+_PATHS: dict[tuple[str, str], str] = {}
+
+
+def pitch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived pitches as a written table, made once per application and folder.
+
+    It stands for the pitch file a user would have: queries scan only its columns they
+    need, with their filters pushed down to the files. An input of fewer splits than
+    cores is written in as many ranges as there are cores.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PATHS:
+        pitches, cores = pitches_from_events(spark, sf_dir), spark.sparkContext.defaultParallelism
+        if len(spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles()) < cores:
+            pitches = pitches.repartitionByRange(cores, "event_id")
+        path = shared_path(spark, "pitches")
+        pitches.write.parquet(path)
+        _PATHS[key] = path
+    return spark.read.parquet(_PATHS[key])

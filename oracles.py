@@ -486,8 +486,9 @@ _SELECTS: dict[str, str] = {
                            SUM(p) OVER (PARTITION BY pitch_type_condensed, balls, strikes,
                                         in_zone) AS total
                     FROM shares) c
-                ON c.pitch_type_condensed = r.pitch_type_condensed
-               AND c.balls = r.balls AND c.strikes = r.strikes AND c.in_zone = r.in_zone
+                ON c.pitch_type_condensed IS NOT DISTINCT FROM r.pitch_type_condensed
+               AND c.balls = r.balls AND c.strikes = r.strikes
+               AND c.in_zone IS NOT DISTINCT FROM r.in_zone
               GROUP BY r.event_id) d
         JOIN labels l ON l.code = d.code""",
     "stratified_folds": """
