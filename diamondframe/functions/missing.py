@@ -15,6 +15,11 @@ def strict_max(value: Column) -> Column:
     return complete(value, F.max(value))
 
 
+def strict_min(value: Column) -> Column:
+    """Minimum that is null as soon as one value is missing."""
+    return complete(value, F.min(value))
+
+
 def strict_count_if(condition: Column) -> Column:
     """Number of rows meeting the condition; null as soon as it is undecided for one."""
     return complete(condition, F.count_if(condition))

@@ -19,12 +19,14 @@ TYPE = "pitch_type_condensed"
 SITUATION = ["outs", "b1", "b2", "b3", "balls", "strikes"]
 
 
-def requests_from_pitches(pitches: DataFrame, row_id: str) -> DataFrame:
+def requests_from_pitches(
+    pitches: DataFrame, row_id: str, extra: tuple[str, ...] = ()
+) -> DataFrame:
     """One request per recorded pitch: which pitch would have been best there?"""
     source = ["outs_when_up", "on_1b", "on_2b", "on_3b", "balls", "strikes"]
     return pitches.select(
         F.col(row_id).alias("request_id"), "pitcher", "batter",
-        *[F.col(c).alias(name) for c, name in zip(source, SITUATION)],
+        *[F.col(c).alias(name) for c, name in zip(source, SITUATION)], *extra,
     )
 
 

@@ -18,6 +18,8 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from diamondframe.functions.missing import strict_min
+
 TARGET_ROWS = 2_000_000
 MAX_CUTS = 4095
 SAMPLES_PER_CUT = 20
@@ -144,21 +146,35 @@ def number_in_order(
     coarse: dict[str, Column],
     name: str,
     rows: int | None = None,
+    lowest: dict[str, str] | None = None,
     target: int = TARGET_ROWS,
 ) -> DataFrame:
     """Add the row's position, from 1, within its partition: an exact row number.
 
     A partition may hold any share of the table; its runs are numbered in parallel and
-    shifted by the sizes of the runs before them.
+    shifted by the sizes of the runs before them. ``lowest[name] = column`` also adds the
+    column's minimum over the partition, null if one value is missing: it travels with
+    the sizes and costs no shuffle of its own.
     """
+    lowest = lowest or {}
     frame, run, part, _ = _with_runs(df, partition, order, coarse, rows, target)
     sort = [F.col(c).asc_nulls_last() for c in order]
     earlier = (
         Window.partitionBy(*part).orderBy(*run).rowsBetween(Window.unboundedPreceding, -1)
     )
-    sizes = frame.groupBy(*part, *run).agg(F.count(F.lit(1)).alias("_size"))
+    whole = Window.partitionBy(*part)
+    sizes = frame.groupBy(*part, *run).agg(
+        F.count(F.lit(1)).alias("_size"),
+        *[strict_min(F.col(c)).alias(f"_low_{n}") for n, c in lowest.items()],
+    )
+    lows = [
+        F.when(F.count(low).over(whole) == F.count(F.lit(1)).over(whole), F.min(low).over(whole))
+        .alias(n)
+        for n, low in ((n, F.col(f"_low_{n}")) for n in lowest)
+    ]
     offsets = sizes.select(
-        *part, *run, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
+        *part, *run, *lows,
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
     )
     inside = F.row_number().over(Window.partitionBy(*part, *run).orderBy(*sort))
     return (

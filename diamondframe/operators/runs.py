@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from diamondframe import constants as K
-from diamondframe.functions.missing import complete, strict_max
+from diamondframe.functions.missing import complete, strict_max, strict_min
+from diamondframe.functions.transitions import advance_slot
 from diamondframe.operators.ordered import lead_in_order, number_in_order
 
 AT_BAT_BLOCK = 128
@@ -93,7 +94,7 @@ def inning_trajectory(
     """
     score = F.col("bat_score")
     innings = pitches.groupBy("game_inning").agg(
-        complete(score, F.min(score)).alias("start_score"),
+        strict_min(score).alias("start_score"),
         strict_max(F.col("post_bat_score")).alias("end_score"),
         F.count(F.lit(1)).alias("pitches"),
     )
@@ -104,8 +105,9 @@ def inning_trajectory(
         {"block": _at_bat_block()},
         "pitch_index",
         rows=rows,
+        lowest={"start_score": "bat_score"},
     )
-    thrown = attach_expectancy(numbered.join(innings, "game_inning"), expectancy).select(
+    thrown = attach_expectancy(numbered, expectancy).select(
         "game_inning",
         F.col("pitch_index").cast("long").alias("pitch_index"),
         F.col("out_base_count_state").alias("state"),
@@ -120,10 +122,10 @@ def inning_trajectory(
     return thrown.unionByName(closing)
 
 
-def batting_slots(pitches: DataFrame, size: int = K.LINEUP_SIZE) -> DataFrame:
+def batting_slots(
+    pitches: DataFrame, size: int = K.LINEUP_SIZE, rows: int | None = None
+) -> DataFrame:
     """Batting-order slot of every at-bat of a side, from 0, and the slot that follows."""
-    from diamondframe.functions.transitions import advance_slot
-
     at_bats = pitches.select("game_pk", "inning_topbot", "at_bat_number").distinct()
     numbered = number_in_order(
         at_bats,
@@ -131,6 +133,7 @@ def batting_slots(pitches: DataFrame, size: int = K.LINEUP_SIZE) -> DataFrame:
         ["at_bat_number"],
         {"block": _at_bat_block()},
         "ordinal",
+        rows=pitches.count() if rows is None else rows,
     )
     slot = ((F.col("ordinal") - 1) % size).cast("long")
     return numbered.select(

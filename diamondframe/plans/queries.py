@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from diamondframe import constants as K
+from diamondframe.functions.missing import number
 from diamondframe.functions.transitions import apply_event
 from diamondframe.operators import candidates, expected, lookups, model as M, profiles
 from diamondframe.operators import runs, training
 from diamondframe.operators.joins import null_safe_join
 from diamondframe.operators.pitches import inning_runs, labelled_pitches, relevant_pitches
 from diamondframe.plans.prepare import handoff_tables, hitter_tables, profile_tables
-from diamondframe.plans.recommend import recommend
+from diamondframe.plans.recommend import recommend, thrown
 from diamondframe.session import shared_path, written, written_together
 from diamondframe.sources.models import load_model, save_model
 from diamondframe.sources.pitches import pitch_table
@@ -304,6 +305,17 @@ def location_jitter(spark, sf_dir):
     )
 
 
+def pitch_outcomes(spark, sf_dir):
+    """The best pitch of each request with a drawn outcome and the state after it."""
+    keep = [TYPE, "x_idx", "z_idx", "state", *candidates.SITUATION, "probs"]
+    best = expected.best_pitch(_valued(spark, sf_dir), keep)
+    drawn = candidates.draw_outcome(best, LABELS, SEED)
+    return apply_event(drawn, "drawn_event").select(
+        "request_id", TYPE, "state", "drawn_event", "next_state",
+        *_long("next_outs", "runs_scored", "at_bat_over"),
+    )
+
+
 def movement_draws(spark, sf_dir):
     relevant, requests = _requests(spark, sf_dir)
     table = written(
@@ -381,15 +393,25 @@ def _recommendation(spark, sf_dir):
     model = M.fit_outcomes(
         written(training.feature_columns(complete), "features"), _small_forest()
     )
-    relevant = relevant_pitches(pitches)
-    return candidates.requests_from_pitches(relevant, "event_id"), model, tables
+    return relevant_pitches(pitches), model, tables
 
 
 def recommend_query(spark, sf_dir):
-    requests, model, tables = _recommendation(spark, sf_dir)
+    relevant, model, tables = _recommendation(spark, sf_dir)
+    requests = candidates.requests_from_pitches(relevant, "event_id")
     return recommend(requests, model, tables, SEED)
 
 
+def thrown_pitches(spark, sf_dir):
+    """Each recorded pitch thrown again: its own type and target, drawn outcome."""
+    relevant, model, tables = _recommendation(spark, sf_dir)
+    choices = candidates.requests_from_pitches(
+        relevant.withColumns({c: number(F.col(c)) for c in ("plate_x", "plate_z")}),
+        "event_id", (TYPE, "plate_x", "plate_z"),
+    )
+    return thrown(choices, model, tables, SEED)
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "pitch_states": pitch_states,
@@ -420,6 +442,7 @@ def all_queries() -> dict[str, Query]:
         "expected_runs": expected_runs,
         "best_pitch": best_pitch,
         "location_jitter": location_jitter,
+        "pitch_outcomes": pitch_outcomes,
         "movement_draws": movement_draws,
         "outcome_draws": outcome_draws,
         "stratified_folds": stratified_folds,
@@ -427,4 +450,5 @@ def all_queries() -> dict[str, Query]:
         "cv_results": cv_results,
         "outcome_scores": outcome_scores,
         "recommend": recommend_query,
+        "thrown_pitches": thrown_pitches,
     }

@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from diamondframe.functions.labels import side_flags
+from diamondframe.functions.transitions import apply_event
 from diamondframe.operators import candidates, expected, model as M
 
 
@@ -49,3 +50,37 @@ def recommend(
         requests, model, tables, seed, include_event_runs, right_only
     )
     return expected.best_pitch(scored)
+
+
+def thrown(
+    choices: DataFrame,
+    model: PipelineModel,
+    tables: dict[str, DataFrame],
+    seed: int = 0,
+    right_only: bool = False,
+) -> DataFrame:
+    """One pitch for each request whose pitch type and target have been chosen.
+
+    ``choices`` are requests with ``pitch_type_condensed, plate_x, plate_z``, picked by
+    ``recommend`` or by hand. The pitch misses its target, an outcome is drawn from the
+    model's probabilities and the state moves on. A type the pitcher does not throw
+    drops out.
+    """
+    labels = M.model_labels(model)
+    target = ["plate_x", "plate_z"]
+    wanted = choices.withColumnRenamed(candidates.TYPE, "_wanted")
+    rows = candidates.request_types(candidates.spread(wanted), tables["ind_pitcher_sum"])
+    rows = rows.filter(F.col("_wanted") == F.col(candidates.TYPE)).drop("_wanted")
+    rows = candidates.draw_movement(rows, seed)
+    rows = candidates.hitter_features(
+        rows, tables["ind_hitter_sum"], tables["generic_hitter_sum"]
+    )
+    rows = candidates.jitter_location(rows, seed).withColumns(
+        side_flags(F.col("stand"), F.col("p_throws"), right_only)
+    )
+    drawn = candidates.draw_outcome(M.score(rows, model), labels, seed)
+    after = apply_event(drawn, "drawn_event")
+    return after.select(
+        "request_id", candidates.TYPE, *target, "state", "drawn_event",
+        "next_state", "next_outs", "runs_scored", "at_bat_over",
+    )

@@ -491,6 +491,26 @@ _SELECTS: dict[str, str] = {
                AND c.in_zone IS NOT DISTINCT FROM r.in_zone
               GROUP BY r.event_id) d
         JOIN labels l ON l.code = d.code""",
+    "pitch_outcomes": f"""
+        SELECT d.request_id, d.pitch_type_condensed, d.state, l.label AS drawn_event,
+               n.next_state, CAST(n.next_outs AS BIGINT) AS next_outs,
+               CAST(n.runs_scored AS BIGINT) AS runs_scored,
+               CAST(n.at_bat_over AS BIGINT) AS at_bat_over
+        FROM (SELECT b.request_id, b.pitch_type_condensed, b.state,
+                     LEAST(COUNT(*) FILTER (c.upto <= b.u * c.total), 9) AS code
+              FROM (SELECT *, {_word("'7:' || request_id || ':outcome'", 1)}
+                              / 4294967296.0::DOUBLE AS u FROM best) b
+              JOIN (SELECT *,
+                           SUM(p) OVER (PARTITION BY pitch_type_condensed, balls, strikes,
+                                        in_zone ORDER BY code) AS upto,
+                           SUM(p) OVER (PARTITION BY pitch_type_condensed, balls, strikes,
+                                        in_zone) AS total
+                    FROM shares) c
+                ON c.pitch_type_condensed = b.pitch_type_condensed
+               AND c.balls = b.balls AND c.strikes = b.strikes AND c.in_zone = b.in_zone
+              GROUP BY b.request_id, b.pitch_type_condensed, b.state) d
+        JOIN labels l ON l.code = d.code
+        JOIN next_states n ON n.state = d.state AND n.label = l.label""",
     "stratified_folds": """
         SELECT event_id, label AS events,
                (ROW_NUMBER() OVER (PARTITION BY label
