@@ -94,7 +94,12 @@ def best_pitch(candidates: DataFrame, keep: list[str] | None = None) -> DataFram
     a value cannot be chosen.
     """
     keep = keep or [TYPE, "x_idx", "z_idx", "plate_x", "plate_z", "expected_runs"]
-    rank = F.struct(F.round("expected_runs", 9).alias("ev"), TYPE, "x_idx", "z_idx")
-    valued = candidates.filter(F.col("expected_runs").isNotNull())
-    best = valued.groupBy("request_id").agg(F.min_by(F.struct(*keep), rank).alias("_best"))
-    return best.select("request_id", "_best.*")
+    # Missing values rank last and are dropped afterwards: a filter up front would be
+    # pushed below the model and evaluate it once more for every outcome.
+    value = F.col("expected_runs")
+    rank = F.struct(value.isNull().alias("none"), F.round(value, 9).alias("ev"), TYPE,
+                    "x_idx", "z_idx")
+    best = candidates.groupBy("request_id").agg(
+        F.min_by(F.struct(*keep), rank).alias("_best"), F.count(value).alias("_valued")
+    )
+    return best.filter(F.col("_valued") > 0).select("request_id", "_best.*")

@@ -72,11 +72,11 @@ class BoostedOutcomes(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         for code in range(classes):
             booster = GBTClassifier(
                 featuresCol="features", labelCol="_is", predictionCol=f"_pred_{code}",
-                rawPredictionCol=f"_raw_{code}", probabilityCol=f"_prob_{code}",
                 maxDepth=self.getOrDefault("maxDepth"),
                 stepSize=self.getOrDefault("stepSize"),
                 maxIter=self.getOrDefault("maxIter"), seed=self.getOrDefault("seed"),
             )
+            booster.setRawPredictionCol(f"_raw_{code}").setProbabilityCol(f"_prob_{code}")
             target = (F.col("label") == code).cast("double")
             stages.append(booster.fit(dataset.select("features", target.alias("_is"))))
         probabilities = [f"_prob_{code}" for code in range(classes)]

@@ -37,8 +37,14 @@ def read_pitches(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 
 def pitches_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pitch table derived by fixed arithmetic from the ``events`` table."""
+    """The pitch table derived by fixed arithmetic from the ``events`` table.
+
+    An input of fewer files than cores is first dealt out in as many ranges.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events, cores = events.select("event_id", "user_id", "value"), spark.sparkContext.defaultParallelism
+    if len(events.inputFiles()) < cores:
+        events = events.repartitionByRange(cores, "event_id")
     text = DERIVED_SQL.replace("FROM events", "FROM {events}")
     return null_sentinel(spark.sql(text, events=events))
 
@@ -49,16 +55,12 @@ _PATHS: dict[tuple[str, str], str] = {}
 def pitch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived pitches as a written table, made once per application and folder.
 
-    It stands for the pitch file a user would have: queries scan only its columns they
-    need, with their filters pushed down to the files. An input of fewer splits than
-    cores is written in as many ranges as there are cores.
+    It stands for the pitch file a user would have: queries scan only the columns they
+    need, with their filters pushed down to the files.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PATHS:
-        pitches, cores = pitches_from_events(spark, sf_dir), spark.sparkContext.defaultParallelism
-        if len(spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles()) < cores:
-            pitches = pitches.repartitionByRange(cores, "event_id")
         path = shared_path(spark, "pitches")
-        pitches.write.parquet(path)
+        pitches_from_events(spark, sf_dir).write.parquet(path)
         _PATHS[key] = path
     return spark.read.parquet(_PATHS[key])

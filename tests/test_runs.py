@@ -1,0 +1,155 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from diamondframe.operators import runs
+from diamondframe.operators.pitches import inning_runs, labelled_pitches, relevant_pitches
+from frames import collected, pitches
+
+
+def test_only_regular_innings_and_legal_counts(spark):
+    rows = pitches(
+        spark, dict(inning=10), dict(balls=4), dict(strikes=3), dict(inning=None),
+        dict(balls=None), dict(pitch_number=9),
+    )
+    assert [r.pitch_number for r in relevant_pitches(rows).collect()] == [9]
+
+
+def test_missing_outs_become_part_of_the_state(spark):
+    row = relevant_pitches(pitches(spark, dict(outs_when_up=None, on_2b="77"))).first()
+    assert row.out_base_count_state == "NA_010_00" and row.on_2b == 1
+
+
+def test_inning_runs_use_the_score_before_the_pitch(spark):
+    rows = pitches(
+        spark,
+        dict(pitch_number=1, bat_score=0, post_bat_score=1),
+        dict(pitch_number=2, bat_score=1, post_bat_score=3),
+    )
+    got = collected(inning_runs(relevant_pitches(rows)), "pitch_number")
+    assert [(r["post_inning_runs"], r["runs_post_ab"], r["runs_from_event"]) for r in got] == [
+        (1, 1, 1), (1, 0, 2),
+    ]
+
+
+def test_one_missing_score_leaves_the_inning_unknown(spark):
+    rows = relevant_pitches(
+        pitches(
+            spark,
+            dict(pitch_number=1, bat_score=0),
+            dict(pitch_number=2, bat_score=None, balls=1),
+            dict(inning=2, pitch_number=1, bat_score=4, strikes=1),
+        )
+    )
+    assert {r["runs_post_ab"] for r in inning_runs(rows).filter("inning = 1").collect()} == {None}
+    table = {r[0]: (r[1], r[2]) for r in runs.run_expectancy(rows).collect()}
+    assert table == {"0_000_00": (None, 1), "0_000_10": (None, 1), "0_000_01": (0.0, 1)}
+
+
+def test_expectancy_is_unknown_for_a_state_seen_once_in_an_unknown_inning(spark):
+    rows = relevant_pitches(
+        pitches(
+            spark,
+            dict(inning=1, bat_score=0), dict(inning=1, pitch_number=2, balls=1, bat_score=2),
+            dict(inning=2, bat_score=None),
+        )
+    )
+    table = {r[0]: (r[1], r[2]) for r in runs.run_expectancy(rows).collect()}
+    assert table == {"0_000_00": (None, 2), "0_000_10": (0.0, 1)}
+
+
+def test_expectancy_equals_the_plain_average(spark):
+    changes = [
+        dict(game_pk=g, inning=i, pitch_number=p, balls=p % 4, strikes=(p * g) % 3,
+             bat_score=(p * i) // 4, on_1b="5" if (p + g) % 2 else None)
+        for g in range(1, 5) for i in range(1, 4) for p in range(12)
+    ]
+    relevant = relevant_pitches(pitches(spark, *changes))
+    plain = inning_runs(relevant).groupBy("out_base_count_state").agg(
+        F.avg("runs_post_ab").alias("runs_expected"), F.count(F.lit(1)).alias("occurrences")
+    )
+    want = {r[0]: (pytest.approx(r[1]), r[2]) for r in plain.collect()}
+    assert {r[0]: (r[1], r[2]) for r in runs.run_expectancy(relevant).collect()} == want
+
+
+def expectancy(spark, **values):
+    rows = [(k.strip("s"), v, 1) for k, v in values.items()]
+    return spark.createDataFrame(
+        rows, "out_base_count_state string, runs_expected double, occurrences long"
+    )
+
+
+def test_next_state_crosses_innings_and_games(spark):
+    rows = relevant_pitches(
+        pitches(
+            spark,
+            dict(game_pk=1, at_bat_number=1, post_bat_score=1),
+            dict(game_pk=1, at_bat_number=2, balls=1),
+            dict(game_pk=1, at_bat_number=3, inning=2),
+            dict(game_pk=2, at_bat_number=1, strikes=1),
+            dict(game_pk=None, at_bat_number=1, balls=2),
+        )
+    )
+    table = expectancy(spark, s0_000_00=0.5, s0_000_10=0.6, s0_000_01=0.4, s0_000_20=0.7)
+    got = collected(runs.run_values(rows, table), "game_pk", "at_bat_number")
+    found = [(r["next_out_base_count_state"], r["delta_re"]) for r in got]
+    assert found == [
+        ("0_000_10", pytest.approx(0.6 - 0.5 + 1)),
+        ("0_000_00", pytest.approx(0 - 0.6)),
+        ("0_000_01", pytest.approx(0.4 - 0.5)),
+        ("0_000_20", pytest.approx(0.7 - 0.4)),
+        (None, None),
+    ]
+
+
+def test_a_homer_without_outs_counts_as_the_end_of_the_inning(spark):
+    rows = relevant_pitches(
+        pitches(
+            spark,
+            dict(at_bat_number=1, events="home_run", description="hit_into_play",
+                 post_bat_score=1),
+            dict(at_bat_number=2),
+        )
+    )
+    got = collected(runs.run_values(rows, expectancy(spark, s0_000_00=0.5)), "at_bat_number")
+    assert got[0]["next_runs_expected"] == 0 and got[0]["delta_re"] == pytest.approx(0.5)
+
+
+def test_labels_keep_missing_and_drop_other_outcomes(spark):
+    rows = relevant_pitches(
+        pitches(
+            spark,
+            dict(pitch_number=1, events="field_error", description="hit_into_play"),
+            dict(pitch_number=2, events=None, description="hit_into_play"),
+            dict(pitch_number=3, events="strikeout", description="called_strike"),
+            dict(pitch_number=4, events="sac_bunt", description="hit_into_play"),
+        )
+    )
+    got = collected(labelled_pitches(rows), "pitch_number")
+    assert [(r["pitch_number"], r["events"]) for r in got] == [(2, None), (3, "strike"), (4, "out")]
+
+
+def test_trajectory_ends_with_the_runs_scored(spark):
+    rows = relevant_pitches(
+        pitches(
+            spark,
+            dict(at_bat_number=1, pitch_number=1, bat_score=3, post_bat_score=3),
+            dict(at_bat_number=1, pitch_number=2, balls=1, bat_score=3, post_bat_score=5),
+            dict(at_bat_number=2, pitch_number=1, bat_score=5, post_bat_score=5),
+        )
+    )
+    table = expectancy(spark, s0_000_00=0.5, s0_000_10=0.6)
+    got = collected(runs.inning_trajectory(rows, table), "pitch_index")
+    assert [(r["pitch_index"], r["state"], r["expected_total"]) for r in got] == [
+        (1, "0_000_00", 0.5), (2, "0_000_10", pytest.approx(0.6)),
+        (3, "0_000_00", 2.5), (4, "3_000_00", 2.0),
+    ]
+
+
+def test_lineup_slots_wrap_after_nine(spark):
+    rows = pitches(spark, *[dict(at_bat_number=2 * n, pitch_number=p)
+                            for n in range(11) for p in (1, 2)])
+    got = collected(runs.batting_slots(rows), "at_bat_number")
+    assert [r["slot"] for r in got] == [0, 1, 2, 3, 4, 5, 6, 7, 8, 0, 1]
+    assert got[8]["next_slot"] == 0
