@@ -31,7 +31,7 @@ def stratified_folds(
     shuffled = df.withColumn("_shuffle", key_hash(seed, *[F.col(c) for c in key]))
     numbered = number_in_order(
         shuffled, [label], ["_shuffle", *key],
-        {"hash": F.substring("_shuffle", 1, 4)}, "_number", rows=0,
+        {"hash": F.substring("_shuffle", 1, 4)}, "_number",
     )
     fold = ((F.col("_number") - 1) % k).cast("int")
     return numbered.withColumn("fold", fold).drop("_shuffle", "_number")

@@ -2,23 +2,24 @@
 
 A table is cut into *runs*: stretches of rows that follow each other in the order asked
 for. Window functions work inside a run; a small table with one row per run carries the
-rest from run to run. Runs come from two sources:
-
-* ``coarse`` expressions, such as the game and a block of at-bats. They must rise with
-  the order, and normally keep a run to a few hundred rows.
-* cuts at sampled keys of the complete order, used once the table is larger than
-  ``TARGET_ROWS``. They bound a run however the rows are distributed, also when one game
-  or one missing key holds a large share of them. The sample decides the balance only,
-  never the result.
+rest from run to run.
+
+* Runs are named by ``coarse`` expressions, such as the game and a block of at-bats. They
+  must rise with the order, and normally keep a run to a few hundred rows.
+* A run of more than ``TARGET_ROWS`` rows, because one game or one missing key holds a
+  large share of the table, is split at sampled keys of the complete order. Only rows of
+  such runs are compared with the cuts. The sample decides the balance, never the result.
+
+The table of runs is written once, so that the rows are reduced to it only once, and its
+sizes are known before the rows are shuffled.
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from diamondframe.functions.missing import strict_min
+from diamondframe.session import written
 
 TARGET_ROWS = 2_000_000
 MAX_CUTS = 4095
@@ -34,6 +35,8 @@ def _without_nulls(df: DataFrame, named: dict[str, Column]) -> dict[str, Column]
 
     Equality on them is plain equality, so a join can use the partitioning of a window.
     """
+    if not named:
+        return {}
     kinds = df.select(*[c.alias(n) for n, c in named.items()]).schema
     flat = {}
     for name, column in named.items():
@@ -50,20 +53,33 @@ def _order_key(columns: list[Column]) -> Column:
     return F.struct(*fields)
 
 
-def _cut_number(df: DataFrame, key: Column, rows: int, target: int) -> Column | None:
-    """How many sampled cuts lie at or before the row's key; None for a small table."""
-    wanted = min(MAX_CUTS, rows // target)
-    if wanted == 0:
-        return None
+def _struct_literal(key: Row, fields: list[T.StructField]) -> str:
+    """The key as a SQL constant, so that it is folded into the plan once."""
+    parts = []
+    for value, field in zip(key, fields):
+        quoted = str(value).replace("\\", "\\\\").replace("'", "\\'")
+        text = "null" if value is None else f"'{quoted}'"
+        parts.append(f"'{field.name}', cast({text} as {field.dataType.simpleString()})")
+    return f"named_struct({', '.join(parts)})"
+
+
+def _cut_number(df: DataFrame, key: Column, rows: int, target: int) -> Column:
+    """How many of the cuts, sampled from ``df``, lie at or before a row's key.
+
+    At most ``MAX_CUTS`` cuts are drawn from a sample of a few times as many keys, so
+    what reaches the driver has a fixed bound.
+    """
+    wanted = min(MAX_CUTS, max(1, rows // target))
     keys = df.select(key.alias("key"))
     fraction = min(1.0, SAMPLES_PER_CUT * wanted / rows)
     sample = keys.sample(fraction, seed=17).orderBy("key").collect()
     step = max(1, len(sample) // (wanted + 1))
-    chosen = [row["key"].asDict() for row in sample[step::step]][:MAX_CUTS]
+    chosen = [row["key"] for row in sample[step::step]][:MAX_CUTS]
     if not chosen:
-        return None
-    kind = T.ArrayType(keys.schema["key"].dataType)
-    cuts = F.from_json(F.lit(json.dumps(chosen)), kind)
+        return F.lit(0)
+    kinds = keys.schema["key"].dataType.fields
+    constants = ", ".join(_struct_literal(c, kinds) for c in chosen)
+    cuts = F.sort_array(F.expr(f"array({constants})"))
     halvings = [1 << bit for bit in reversed(range(len(chosen).bit_length()))]
     return F.aggregate(
         F.array(*[F.lit(h) for h in halvings]),
@@ -72,24 +88,58 @@ def _cut_number(df: DataFrame, key: Column, rows: int, target: int) -> Column |
     )
 
 
-def _with_runs(
+def _in_runs(
     df: DataFrame,
     partition: list[str],
     order: list[str],
     coarse: dict[str, Column],
-    rows: int | None,
+    summaries: list[Column],
     target: int,
-) -> tuple[DataFrame, list[str], list[str], bool]:
-    """The table with run columns; their names: within the partition, and outside it."""
-    named = {f"_part_{p}": F.col(p) for p in partition}
-    outer = _without_nulls(df, named) if named else {}
+) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
+    """The rows with their run columns, the written table of runs, and the column names.
+
+    The names are those of the partition and those of the run within it, in order.
+    """
+    outer = _without_nulls(df, {f"_part_{p}": F.col(p) for p in partition})
     inner = _without_nulls(df, {f"_run_{n}": c for n, c in coarse.items()})
+    frame, part, run = df.withColumns({**outer, **inner}), list(outer), list(inner)
+    size = F.count(F.lit(1)).alias("_size")
+    table = written(frame.groupBy(*part, *run).agg(size, *summaries), "runs")
+    rows, largest = table.agg(F.sum("_size"), F.max("_size")).first()
+    # Fewer than MAX_CUTS runs can exceed this limit, which bounds the broadcast below.
+    limit = max(target, (rows or 0) / MAX_CUTS)
+    if not rows or largest <= limit:
+        return frame, table, part, run
+
+    big = table.filter(F.col("_size") > limit)
+    big_rows = big.agg(F.sum("_size")).first()[0]
+    names = F.broadcast(big.select(*part, *run, F.lit(True).alias("_big")))
+    marked = frame.join(names, [*part, *run], "left")
     key = _order_key([F.col(c) for c in partition + order])
-    rows = df.count() if rows is None else rows
-    cut = _cut_number(df, key, rows, target)
-    if cut is not None:
-        inner = {"_run_cut": cut, **inner}
-    return df.withColumns({**outer, **inner}), list(inner), list(outer), cut is not None
+    cut = _cut_number(marked.filter("_big"), key, big_rows, target)
+    frame = marked.withColumn("_run_cut", F.when(F.col("_big"), cut).otherwise(0))
+    run = [*run, "_run_cut"]
+    split = frame.filter("_big").groupBy(*part, *run).agg(size, *summaries)
+    rest = table.filter(F.col("_size") <= limit).withColumn("_run_cut", F.lit(0))
+    return frame.drop("_big"), written(rest.unionByName(split), "runs"), part, run
+
+
+def _starts_of_next(runs: DataFrame, run: list[str], target: int) -> DataFrame:
+    """For each run, ``_first`` of the run that follows it."""
+    count = runs.count()
+    if count <= target:
+        # The bound has just been checked: one task sorts at most that many short rows.
+        following = F.lead("_first").over(Window.orderBy(*run))
+        return runs.select(*run, following.alias("_next_run"))
+    key = F.struct(*run)
+    cut = runs.withColumn("_range", _cut_number(runs, key, count, target))
+    # One row per range, at most MAX_CUTS + 1.
+    heads = cut.groupBy("_range").agg(F.min_by("_first", key).alias("_head"))
+    beyond = F.lead("_head").over(Window.orderBy("_range"))
+    heads = heads.select("_range", beyond.alias("_beyond"))
+    after = F.lead("_first").over(Window.partitionBy("_range").orderBy(*run))
+    joined = cut.withColumn("_after", after).join(F.broadcast(heads), "_range")
+    return joined.select(*run, F.coalesce("_after", "_beyond").alias("_next_run"))
 
 
 def lead_in_order(
@@ -97,42 +147,19 @@ def lead_in_order(
     order: list[str],
     values: dict[str, str],
     coarse: dict[str, Column],
-    rows: int | None = None,
     target: int = TARGET_ROWS,
 ) -> DataFrame:
     """Add, as ``values[name] = column``, the column's value in the table's next row.
 
     The order runs over the whole table, missing keys last; the last row gets null.
-    ``rows`` saves the count when the number of rows is already known.
     """
-    frame, run, _, cut = _with_runs(df, [], order, coarse, rows, target)
-    sort = [F.col(c).asc_nulls_last() for c in order]
     value = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
-
-    first = frame.groupBy(*run).agg(
-        F.min_by(value, _order_key([F.col(c) for c in order])).alias("_first")
-    )
-    if cut:
-        # One row per cut, at most MAX_CUTS + 1, so a single task and a broadcast do.
-        inner = run[1:]
-        heads = first.groupBy("_run_cut").agg(
-            F.min_by("_first", F.struct(*inner)).alias("_head")
-        )
-        heads = heads.select(
-            "_run_cut", F.lead("_head").over(Window.orderBy("_run_cut")).alias("_beyond")
-        )
-        after = F.lead("_first").over(Window.partitionBy("_run_cut").orderBy(*inner))
-        starts = first.select(*run, after.alias("_after")).join(
-            F.broadcast(heads), "_run_cut"
-        )
-        starts = starts.select(*run, F.coalesce("_after", "_beyond").alias("_next_run"))
-    else:
-        # The table has fewer than TARGET_ROWS rows, and the runs are fewer still.
-        after = F.lead("_first").over(Window.orderBy(*run))
-        starts = first.select(*run, after.alias("_next_run"))
-
-    inside = F.lead(value).over(Window.partitionBy(*run).orderBy(*sort))
-    joined = frame.withColumn("_ahead", inside).join(starts, run)
+    first = F.min_by(value, _order_key([F.col(c) for c in order])).alias("_first")
+    frame, runs, _, run = _in_runs(df, [], order, coarse, [first], target)
+    sort = [F.col(c).asc_nulls_last() for c in order]
+    ahead = F.lead(value).over(Window.partitionBy(*run).orderBy(*sort))
+    starts = _starts_of_next(runs, run, target)
+    joined = frame.withColumn("_ahead", ahead).join(starts, run)
     following = F.coalesce("_ahead", "_next_run")
     return joined.withColumns({n: following[n] for n in values}).drop(
         *run, "_ahead", "_next_run"
@@ -145,7 +172,6 @@ def number_in_order(
     order: list[str],
     coarse: dict[str, Column],
     name: str,
-    rows: int | None = None,
     lowest: dict[str, str] | None = None,
     target: int = TARGET_ROWS,
 ) -> DataFrame:
@@ -157,25 +183,16 @@ def number_in_order(
     the sizes and costs no shuffle of its own.
     """
     lowest = lowest or {}
-    frame, run, part, _ = _with_runs(df, partition, order, coarse, rows, target)
-    sort = [F.col(c).asc_nulls_last() for c in order]
-    earlier = (
-        Window.partitionBy(*part).orderBy(*run).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    lows = [strict_min(F.col(c)).alias(f"_low_{n}") for n, c in lowest.items()]
+    frame, runs, part, run = _in_runs(df, partition, order, coarse, lows, target)
     whole = Window.partitionBy(*part)
-    sizes = frame.groupBy(*part, *run).agg(
-        F.count(F.lit(1)).alias("_size"),
-        *[strict_min(F.col(c)).alias(f"_low_{n}") for n, c in lowest.items()],
-    )
-    lows = [
-        F.when(F.count(low).over(whole) == F.count(F.lit(1)).over(whole), F.min(low).over(whole))
-        .alias(n)
-        for n, low in ((n, F.col(f"_low_{n}")) for n in lowest)
-    ]
-    offsets = sizes.select(
-        *part, *run, *lows,
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
+    earlier = whole.orderBy(*run).rowsBetween(Window.unboundedPreceding, -1)
+    known = {n: F.count(f"_low_{n}").over(whole) == F.count("_size").over(whole) for n in lowest}
+    offsets = runs.select(
+        *part, *run, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
+        *[F.when(k, F.min(f"_low_{n}").over(whole)).alias(n) for n, k in known.items()],
     )
+    sort = [F.col(c).asc_nulls_last() for c in order]
     inside = F.row_number().over(Window.partitionBy(*part, *run).orderBy(*sort))
     return (
         frame.withColumn("_position", inside)

@@ -51,9 +51,7 @@ def attach_expectancy(pitches: DataFrame, expectancy: DataFrame) -> DataFrame:
     )
 
 
-def run_values(
-    pitches: DataFrame, expectancy: DataFrame, rows: int | None = None
-) -> DataFrame:
+def run_values(pitches: DataFrame, expectancy: DataFrame) -> DataFrame:
     """Change in expected runs from each pitch to the next, plus the runs it scored.
 
     The next pitch is the next one of the whole table in game order, so it may belong to
@@ -72,7 +70,6 @@ def run_values(
             "_next_expected": "runs_expected",
         },
         {"game": F.col("game_pk"), "block": _at_bat_block()},
-        rows=rows,
     )
     fresh = F.col("next_out_base_count_state") == K.INNING_START
     return led.withColumn(
@@ -84,9 +81,7 @@ def run_values(
     ).drop("_next_expected")
 
 
-def inning_trajectory(
-    pitches: DataFrame, expectancy: DataFrame, rows: int | None = None
-) -> DataFrame:
+def inning_trajectory(pitches: DataFrame, expectancy: DataFrame) -> DataFrame:
     """Expected runs of each half-inning, pitch by pitch.
 
     A point is the expectancy of the state plus the runs scored so far in the inning;
@@ -104,7 +99,6 @@ def inning_trajectory(
         ["at_bat_number", "pitch_number", "out_base_count_state", "bat_score"],
         {"block": _at_bat_block()},
         "pitch_index",
-        rows=rows,
         lowest={"start_score": "bat_score"},
     )
     thrown = attach_expectancy(numbered, expectancy).select(
@@ -122,9 +116,7 @@ def inning_trajectory(
     return thrown.unionByName(closing)
 
 
-def batting_slots(
-    pitches: DataFrame, size: int = K.LINEUP_SIZE, rows: int | None = None
-) -> DataFrame:
+def batting_slots(pitches: DataFrame, size: int = K.LINEUP_SIZE) -> DataFrame:
     """Batting-order slot of every at-bat of a side, from 0, and the slot that follows."""
     at_bats = pitches.select("game_pk", "inning_topbot", "at_bat_number").distinct()
     numbered = number_in_order(
@@ -133,7 +125,6 @@ def batting_slots(
         ["at_bat_number"],
         {"block": _at_bat_block()},
         "ordinal",
-        rows=pitches.count() if rows is None else rows,
     )
     slot = ((F.col("ordinal") - 1) % size).cast("long")
     return numbered.select(

@@ -44,10 +44,8 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled_pitches(_relevant(spark, sf_dir))
 
 
-def _expectancy(relevant: DataFrame) -> tuple[DataFrame, int]:
-    """The written table and the number of pitches it was made from."""
-    table = written(runs.run_expectancy(relevant), "re288")
-    return table, table.agg(F.sum("occurrences")).first()[0] or 0
+def _expectancy(relevant: DataFrame) -> DataFrame:
+    return written(runs.run_expectancy(relevant), "re288")
 
 
 def pitch_states(spark, sf_dir):
@@ -75,8 +73,7 @@ def run_expectancy(spark, sf_dir):
 
 def run_values(spark, sf_dir):
     relevant = _relevant(spark, sf_dir)
-    expectancy, rows = _expectancy(relevant)
-    return runs.run_values(relevant, expectancy, rows).select(
+    return runs.run_values(relevant, _expectancy(relevant)).select(
         "event_id", "game_pk", "at_bat_number", "pitch_number", "out_base_count_state",
         "next_out_base_count_state", "runs_from_event",
         *_round("runs_expected", "next_runs_expected", "delta_re"),
@@ -85,8 +82,7 @@ def run_values(spark, sf_dir):
 
 def inning_trajectory(spark, sf_dir):
     relevant = _relevant(spark, sf_dir)
-    expectancy, rows = _expectancy(relevant)
-    points = runs.inning_trajectory(relevant, expectancy, rows)
+    points = runs.inning_trajectory(relevant, _expectancy(relevant))
     return points.select("game_inning", "pitch_index", "state", *_round("expected_total"))
 
 
@@ -276,8 +272,7 @@ def _frequencies(relevant: DataFrame) -> DataFrame:
 def _valued(spark, sf_dir) -> DataFrame:
     """Candidates with observed outcome shares and expected runs."""
     relevant = _relevant(spark, sf_dir)
-    expectancy, _ = _expectancy(relevant)
-    values = expected.next_state_values(expectancy, LABELS)
+    values = expected.next_state_values(_expectancy(relevant), LABELS)
     grid = candidates.candidate_grid(
         expected.with_next_values(_profiled(spark, sf_dir), values)
     )

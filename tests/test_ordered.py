@@ -92,7 +92,7 @@ def test_no_window_over_all_rows(spark):
     )
     plan = led._jdf.queryExecution().executedPlan().toString()
     single = [line for line in plan.splitlines() if "SinglePartition" in line]
-    # Only the table with one row per cut is ever in one partition.
+    # Only the table with one row per range of runs is ever in one partition.
     assert len(single) == 1
     whole = df.withColumn("nxt", F.lead("state").over(Window.orderBy(*ORDER)))
     assert "SinglePartition" in whole._jdf.queryExecution().executedPlan().toString()
