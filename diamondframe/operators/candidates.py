@@ -13,7 +13,6 @@ from diamondframe import constants as K
 from diamondframe.functions import draws, geometry
 from diamondframe.functions.states import state_key
 from diamondframe.operators.joins import null_safe_join
-from diamondframe.operators.lookups import first_stands, pitcher_arsenals
 
 TYPE = "pitch_type_condensed"
 SITUATION = ["outs", "b1", "b2", "b3", "balls", "strikes"]
@@ -40,13 +39,14 @@ def spread(requests: DataFrame) -> DataFrame:
     return requests.repartition(partitions, "request_id")
 
 
-def request_types(requests: DataFrame, profiles: DataFrame) -> DataFrame:
+def request_types(requests: DataFrame, arsenals: DataFrame) -> DataFrame:
     """One row per request and pitch type of the pitcher, with the hand and statistics.
 
-    A pitcher without a profile has nothing to choose from and drops out.
+    ``arsenals`` come from ``pitcher_arsenals``. A pitcher without one has nothing to
+    choose from and drops out.
     """
-    stats = [c for c in profiles.columns if c.startswith(("avg", "sd"))]
-    arsenal = pitcher_arsenals(profiles).select("pitcher", TYPE, "p_throws", *stats)
+    stats = [c for c in arsenals.columns if c.startswith(("avg", "sd"))]
+    arsenal = arsenals.select("pitcher", TYPE, "p_throws", *stats)
     return null_safe_join(requests, arsenal, ["pitcher"]).withColumn(
         "state", state_key(*[F.col(c) for c in SITUATION])
     )
@@ -61,13 +61,16 @@ def draw_movement(rows: DataFrame, seed: int) -> DataFrame:
     return rows.withColumns(drawn)
 
 
-def hitter_features(rows: DataFrame, hitters: DataFrame, generic: DataFrame) -> DataFrame:
+def hitter_features(
+    rows: DataFrame, stands: DataFrame, hitters: DataFrame, generic: DataFrame
+) -> DataFrame:
     """Add the batter's side and six statistics for each request and pitch type.
 
-    The side is the one first stored against the hand, or right. A stored profile is used
-    whole; otherwise the generic one for that type, side and hand.
+    The side is the one first stored against the hand (see ``first_stands``), or right.
+    A stored profile is used whole; otherwise the generic one for that type, side and
+    hand.
     """
-    sided = null_safe_join(rows, first_stands(hitters), ["batter", "p_throws"], "left")
+    sided = null_safe_join(rows, stands, ["batter", "p_throws"], "left")
     sided = sided.withColumn("stand", F.coalesce("stand", F.lit("R")))
 
     keys = ["batter", TYPE, "p_throws", "stand"]

@@ -13,7 +13,9 @@ def null_safe_join(
     """Equi-join on ``keys``; the left side's key columns are kept.
 
     Written tables on the right are broadcast by the planner while their files are small.
-    Larger ones are shuffled, and the adaptive skew join splits a hot key.
+    Larger ones are shuffled, and the adaptive skew join splits a hot key. It does so only
+    when both sides come straight from a shuffle, hence a written table and not an
+    aggregate on the right.
     """
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     equal = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]

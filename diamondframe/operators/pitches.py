@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from diamondframe.functions.labels import kept_outcome, outcome_class, recode_outs
 from diamondframe.functions.missing import strict_max
 from diamondframe.functions.states import bat_team, inning_keys, runner_flag, state_key
+from diamondframe.session import written
 
 
 def relevant_pitches(pitches: DataFrame) -> DataFrame:
@@ -37,13 +38,15 @@ def inning_runs(pitches: DataFrame) -> DataFrame:
     The score is the one before each pitch, so runs on the last pitch of an inning do
     not count. One missing score leaves the whole half-inning without the values.
 
-    Scores are reduced per half-inning before the shuffle and joined back; an oversized
-    half-inning is then split by the adaptive skew join instead of filling one task.
+    Scores are reduced per half-inning before the shuffle, written, and joined back: by
+    broadcast while the table is small. Otherwise both sides are shuffled, and as the
+    table is read from files the adaptive skew join can split an oversized half-inning,
+    which it does not do for the result of an aggregate.
     """
     highest = pitches.groupBy("game_inning").agg(
         strict_max(F.col("bat_score")).alias("post_inning_runs")
     )
-    return pitches.join(highest, "game_inning").withColumn(
+    return pitches.join(written(highest, "inning_max"), "game_inning").withColumn(
         "runs_post_ab", F.col("post_inning_runs") - F.col("bat_score")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from diamondframe.constants import HitterThresholds, PitcherThresholds
 from diamondframe.operators import profiles
+from diamondframe.operators.lookups import first_stands, pitcher_arsenals
 from diamondframe.operators.pitches import labelled_pitches, relevant_pitches
 from diamondframe.operators.runs import run_expectancy
 from diamondframe.operators.training import training_table
@@ -17,7 +18,10 @@ def profile_tables(
     hitter: HitterThresholds = HitterThresholds(),
     pitcher: PitcherThresholds = PitcherThresholds(),
 ) -> dict[str, DataFrame]:
-    """The three profile tables, written: one pass over the pitches per side."""
+    """The profile tables and the lookups made from them, all written.
+
+    One pass over the pitches for the hitters and one for the pitchers.
+    """
     first = written_together(
         {
             "hitter_sums": profiles.hitter_sums(relevant),
@@ -26,8 +30,10 @@ def profile_tables(
             ),
         }
     )
-    second = written_together(hitter_tables(first["hitter_sums"], hitter))
-    return {**second, "ind_pitcher_sum": first["ind_pitcher_sum"]}
+    pitchers = first["ind_pitcher_sum"]
+    hitters = hitter_tables(first["hitter_sums"], hitter)
+    second = written_together({**hitters, **lookup_tables(pitchers, hitters["ind_hitter_sum"])})
+    return {**second, "ind_pitcher_sum": pitchers}
 
 
 def hitter_tables(
@@ -40,6 +46,19 @@ def hitter_tables(
     }
 
 
+def lookup_tables(pitchers: DataFrame, hitters: DataFrame) -> dict[str, DataFrame]:
+    """What a request is looked up in besides the profiles themselves."""
+    return {"arsenals": pitcher_arsenals(pitchers), "first_stands": first_stands(hitters)}
+
+
+def scoring_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Handoff tables, for instance read from files, completed by the written lookups."""
+    if {"arsenals", "first_stands"} <= set(tables):
+        return tables
+    added = lookup_tables(tables["ind_pitcher_sum"], tables["ind_hitter_sum"])
+    return {**tables, **written_together(added)}
+
+
 def handoff_tables(
     pitches: DataFrame,
     hitter: HitterThresholds = HitterThresholds(),
@@ -47,7 +66,9 @@ def handoff_tables(
 ) -> dict[str, DataFrame]:
     """All tables the later jobs read; ``model_data`` stays lazy until it is written."""
     relevant = relevant_pitches(pitches)
-    tables = profile_tables(relevant, hitter, pitcher)
+    profiled = profile_tables(relevant, hitter, pitcher)
+    names = ["ind_hitter_sum", "generic_hitter_sum", "ind_pitcher_sum"]
+    tables = {name: profiled[name] for name in names}
     tables["re288"] = written(run_expectancy(relevant), "re288")
     tables["model_data"] = training_table(
         labelled_pitches(relevant), tables["ind_hitter_sum"], tables["generic_hitter_sum"]

@@ -244,9 +244,9 @@ def _profiled(spark, sf_dir) -> DataFrame:
     """Requests by pitch type with the features of pitcher and batter."""
     relevant, requests = _requests(spark, sf_dir)
     tables = profile_tables(relevant)
-    rows = candidates.request_types(candidates.spread(requests), tables["ind_pitcher_sum"])
+    rows = candidates.request_types(candidates.spread(requests), tables["arsenals"])
     return candidates.hitter_features(
-        rows, tables["ind_hitter_sum"], tables["generic_hitter_sum"]
+        rows, tables["first_stands"], tables["ind_hitter_sum"], tables["generic_hitter_sum"]
     )
 
 
@@ -313,10 +313,9 @@ def pitch_outcomes(spark, sf_dir):
 
 def movement_draws(spark, sf_dir):
     relevant, requests = _requests(spark, sf_dir)
-    table = written(
-        profiles.pitcher_profiles(profiles.pitcher_sums(relevant)), "ind_pitcher_sum"
-    )
-    rows = candidates.request_types(candidates.spread(requests), table)
+    table = profiles.pitcher_profiles(profiles.pitcher_sums(relevant))
+    arsenals = written(lookups.pitcher_arsenals(table), "arsenals")
+    rows = candidates.request_types(candidates.spread(requests), arsenals)
     return candidates.draw_movement(rows, SEED).select(
         "request_id", TYPE, *_round(*K.MOVEMENT.values())
     )

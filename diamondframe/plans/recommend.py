@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from diamondframe.functions.labels import side_flags
 from diamondframe.functions.transitions import apply_event
 from diamondframe.operators import candidates, expected, model as M
+from diamondframe.plans.prepare import scoring_tables
 
 
 def scored_candidates(
@@ -24,13 +25,12 @@ def scored_candidates(
     the row or against small tables.
     """
     labels = M.model_labels(model)
+    tables = scoring_tables(tables)
     values = expected.next_state_values(tables["re288"], labels, include_event_runs)
-    rows = candidates.request_types(
-        candidates.spread(requests), tables["ind_pitcher_sum"]
-    )
+    rows = candidates.request_types(candidates.spread(requests), tables["arsenals"])
     rows = candidates.draw_movement(rows, seed)
     rows = candidates.hitter_features(
-        rows, tables["ind_hitter_sum"], tables["generic_hitter_sum"]
+        rows, tables["first_stands"], tables["ind_hitter_sum"], tables["generic_hitter_sum"]
     )
     rows = rows.withColumns(side_flags(F.col("stand"), F.col("p_throws"), right_only))
     grid = candidates.candidate_grid(expected.with_next_values(rows, values))
@@ -67,13 +67,14 @@ def thrown(
     drops out.
     """
     labels = M.model_labels(model)
+    tables = scoring_tables(tables)
     target = ["plate_x", "plate_z"]
     wanted = choices.withColumnRenamed(candidates.TYPE, "_wanted")
-    rows = candidates.request_types(candidates.spread(wanted), tables["ind_pitcher_sum"])
+    rows = candidates.request_types(candidates.spread(wanted), tables["arsenals"])
     rows = rows.filter(F.col("_wanted") == F.col(candidates.TYPE)).drop("_wanted")
     rows = candidates.draw_movement(rows, seed)
     rows = candidates.hitter_features(
-        rows, tables["ind_hitter_sum"], tables["generic_hitter_sum"]
+        rows, tables["first_stands"], tables["ind_hitter_sum"], tables["generic_hitter_sum"]
     )
     rows = candidates.jitter_location(rows, seed).withColumns(
         side_flags(F.col("stand"), F.col("p_throws"), right_only)

@@ -84,8 +84,10 @@ def test_first_stored_side_or_right(spark):
         requests(spark, (1, 1, 20, 0, 0, 0, 0, 0, 0), (2, 2, 20, 0, 0, 0, 0, 0, 0)),
         pitcher_table(spark, (1, "FF", "R"), (1, "SL", "R"), (2, "FF", "L")),
     )
-    got = {(r["request_id"], r[TYPE]): r
-           for r in candidates.hitter_features(rows, hitters, generic).collect()}
+    featured = candidates.hitter_features(
+        rows, lookups.first_stands(hitters), hitters, generic
+    )
+    got = {(r["request_id"], r[TYPE]): r for r in featured.collect()}
     # FF is stored first, with the batter on the right; SL is then looked up on the right.
     assert got[1, "FF"]["stand"] == "R" and got[1, "FF"]["avgEV"] is None
     assert got[1, "FF"]["avgLA"] == 2.0
