@@ -219,6 +219,10 @@ def sampled_keys(spark, sf_dir):
     return lookups.sample_keys(_relevant(spark, sf_dir), "game_pk", K.LINEUP_SIZE, SEED)
 
 
+def distinct_keys(spark, sf_dir):
+    return lookups.distinct_keys(_relevant(spark, sf_dir), ["pitcher", TYPE])
+
+
 def transition_table(spark, sf_dir):
     """The transitions seen in the table: state, outcome, what follows, how often."""
     seen = _labelled(spark, sf_dir).select(
@@ -430,6 +434,7 @@ def all_queries() -> dict[str, Query]:
         "profile_map": profile_map,
         "pitcher_arsenals": pitcher_arsenals,
         "sampled_keys": sampled_keys,
+        "distinct_keys": distinct_keys,
         "transition_table": transition_table,
         "hitter_features": hitter_features,
         "candidate_grid": candidate_grid,

@@ -434,6 +434,7 @@ _SELECTS: dict[str, str] = {
     "sampled_keys": """
         SELECT game_pk FROM (SELECT DISTINCT game_pk FROM states)
         ORDER BY MD5('7:' || game_pk), game_pk LIMIT 9""",
+    "distinct_keys": "SELECT DISTINCT pitcher, pitch_type_condensed FROM states",
     "transition_table": """
         SELECT n.state, n.label AS events, o.occurrences, n.next_state,
                CAST(n.next_outs AS BIGINT) AS next_outs,

@@ -20,9 +20,8 @@ def duckdb_over(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _cell(value):
     if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
-    if isinstance(value, float):
-        return 0.0 if value == 0 else value
-    return value
+    # As text, so that a negative zero is not taken for zero.
+    return repr(value) if isinstance(value, float) else value
 
 
 def rows(table) -> list[tuple]:
