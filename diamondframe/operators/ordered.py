@@ -142,6 +142,41 @@ def _starts_of_next(runs: DataFrame, run: list[str], target: int) -> DataFrame:
     return joined.select(*run, F.coalesce("_after", "_beyond").alias("_next_run"))
 
 
+def _offsets(
+    runs: DataFrame, part: list[str], run: list[str], lowest: list[str], target: int
+) -> DataFrame:
+    """Per run, ``_offset``: the rows of its partition before it; and the partition's lows.
+
+    While there are at most ``target`` runs, no window over a partition can exceed that.
+    Beyond it the runs are dealt into ranges, and what goes before a range is summed over
+    the ranges of the partition, at most MAX_CUTS + 1.
+    """
+    def before(keys: list[str], order: list[str], size: str) -> Column:
+        rows = Window.partitionBy(*keys).orderBy(*order)
+        rows = rows.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(size).over(rows), F.lit(0))
+
+    count, whole = runs.count(), Window.partitionBy(*part)
+    known = {n: F.count(f"_low_{n}").over(whole) == F.count("_size").over(whole) for n in lowest}
+    lows = [F.when(k, F.min(f"_low_{n}").over(whole)).alias(n) for n, k in known.items()]
+    if count <= target:
+        return runs.select(*part, *run, before(part, run, "_size").alias("_offset"), *lows)
+
+    cut = _cut_number(runs, F.struct(*part, *run), count, target)
+    ranged = runs.withColumn("_range", cut)
+    totals = ranged.groupBy(*part, "_range").agg(
+        F.sum("_size").alias("_size"),
+        *[strict_min(F.col(f"_low_{n}")).alias(f"_low_{n}") for n in lowest],
+    )
+    totals = totals.select(
+        *part, "_range", before(part, ["_range"], "_size").alias("_earlier"), *lows
+    )
+    within = before([*part, "_range"], run, "_size").alias("_within")
+    joined = ranged.select(*part, *run, "_range", within).join(totals, [*part, "_range"])
+    offset = (F.col("_within") + F.col("_earlier")).alias("_offset")
+    return joined.select(*part, *run, offset, *lowest)
+
+
 def lead_in_order(
     df: DataFrame,
     order: list[str],
@@ -185,13 +220,7 @@ def number_in_order(
     lowest = lowest or {}
     lows = [strict_min(F.col(c)).alias(f"_low_{n}") for n, c in lowest.items()]
     frame, runs, part, run = _in_runs(df, partition, order, coarse, lows, target)
-    whole = Window.partitionBy(*part)
-    earlier = whole.orderBy(*run).rowsBetween(Window.unboundedPreceding, -1)
-    known = {n: F.count(f"_low_{n}").over(whole) == F.count("_size").over(whole) for n in lowest}
-    offsets = runs.select(
-        *part, *run, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
-        *[F.when(k, F.min(f"_low_{n}").over(whole)).alias(n) for n, k in known.items()],
-    )
+    offsets = _offsets(runs, part, run, list(lowest), target)
     sort = [F.col(c).asc_nulls_last() for c in order]
     inside = F.row_number().over(Window.partitionBy(*part, *run).orderBy(*sort))
     return (
