@@ -143,25 +143,18 @@ def _training(spark, sf_dir) -> DataFrame:
     )
 
 
-def _numbers(columns: list[str]) -> list[str]:
-    text = {"out_base_count_state", "pitcher", "p_throws", TYPE, "batter", "stand", "events"}
-    return [c for c in columns if c not in text]
-
-
 def training_table(spark, sf_dir):
     table = _training(spark, sf_dir)
-    numbers = _numbers(training.PITCH_COLUMNS) + [
-        "prof_sz_bot", "prof_sz_top", *training.FALLBACK_STATS,
-    ]
-    others = [c for c in table.columns if c not in numbers]
-    return table.select(*others, *_round(*numbers))
+    # Means are rounded for the comparison; the pitch's own values are as recorded.
+    means = ["prof_sz_bot", "prof_sz_top", *training.FALLBACK_STATS]
+    return table.select(*[c for c in table.columns if c not in means], *_round(*means))
 
 
 def complete_rows(spark, sf_dir):
     complete = training.complete_rows(_training(spark, sf_dir), training.REQUIRED)
-    numbers = _numbers(training.REQUIRED)
-    others = [c for c in training.REQUIRED if c not in numbers]
-    return complete.select("event_id", *others, *_round(*numbers))
+    return complete.select(
+        "event_id", *training.PITCH_COLUMNS, *_round(*training.FALLBACK_STATS)
+    )
 
 
 def filled_and_unfilled(spark, sf_dir):
@@ -185,9 +178,10 @@ def model_features(spark, sf_dir):
     features = _features(spark, sf_dir)
     coded = M.label_indexer().fit(features).transform(features)
     flags = K.FEATURES[K.FEATURES.index("outs"):]
-    numbers = K.FEATURES[: K.FEATURES.index("outs")]
+    means = training.FALLBACK_STATS
+    recorded = [c for c in K.FEATURES if c not in [*flags, *means]]
     return coded.select(
-        "event_id", "events", *_long("label", *flags), *_round(*numbers)
+        "event_id", "events", *_long("label", *flags), *recorded, *_round(*means)
     )
 
 
