@@ -18,11 +18,12 @@ def outcome_class(events: Column, description: Column) -> Column:
     The description lists are disjoint, so their order does not matter; a third
     strike is therefore a ``strike`` and a fourth ball a ``ball``.
     """
-    classes = {
-        "strike": K.STRIKE_DESCRIPTIONS, "ball": K.BALL_DESCRIPTIONS, "foul": K.FOUL_DESCRIPTIONS,
-    }
-    pairs = [F.lit(v) for name, found in classes.items() for d in found for v in (d, name)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), description), events)
+    return (
+        F.when(description.isin(K.STRIKE_DESCRIPTIONS), F.lit("strike"))
+        .when(description.isin(K.BALL_DESCRIPTIONS), F.lit("ball"))
+        .when(description.isin(K.FOUL_DESCRIPTIONS), F.lit("foul"))
+        .otherwise(events)
+    )
 
 
 def kept_outcome(events: Column) -> Column:
