@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from compare import compare, duckdb_over
 from conftest import SF, SMALL
+from diamondframe.plans.queries import all_queries as queries
+from oracles import ORACLES
 
 FITTED = {"cv_results", "outcome_scores", "recommend", "thrown_pitches"}
 
@@ -16,16 +18,16 @@ def con():
     return duckdb_over(SF)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, con, name):
-    found = compare(spark, con, queries()[name], oracle_sql()[name], SF)
+    found = compare(spark, con, queries()[name], ORACLES[name], SF)
     assert found["types"] is True and found["equal"], found
     assert found["rows"][0] > 0
 
 
 def test_only_queries_with_a_fitted_model_lack_sql():
-    assert set(queries()) - set(oracle_sql()) == FITTED
-    assert set(oracle_sql()) <= set(queries())
+    assert set(queries()) - set(ORACLES) == FITTED
+    assert set(ORACLES) <= set(queries())
 
 
 def test_entry(spark):
