@@ -121,13 +121,14 @@ def kd_shards(docs: DataFrame, n_shards: int | None = SHARDS, target_bytes: int
             n: F.when(_key(dimension) >= F.lit(first), F.lit(n + nodes[n] // 2)).otherwise(F.lit(n))
             for n, (dimension, first) in splits.items()
         }
-        current = current.withColumn("node", _by_node(sides, F.col("node")))
+        # Written, or the next level's expressions would hold this one's many times over.
+        current = written(current.withColumn("node", _by_node(sides, F.col("node"))), "shard-nodes")
         # A node without rows is in no split and ends here.
         nodes = {n: nodes[n] // 2 for n in splits} | {
             n + nodes[n] // 2: nodes[n] - nodes[n] // 2 for n in splits
         }
     placed = current.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"))
-    return _slots(written(placed, "shard-rows"), total["n"], n_shards)
+    return _slots(placed, total["n"], n_shards)
 
 
 def _slots(placed: DataFrame, n_rows: int, n_shards: int) -> DataFrame:

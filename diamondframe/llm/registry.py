@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = [
     "line_dedup",
     "kd_shards",
+    "token_counts",
+    "packing",
+    "quality_rules",
 ]
 
 
