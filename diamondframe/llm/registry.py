@@ -13,6 +13,9 @@ MODULES = [
     "token_counts",
     "packing",
     "quality_rules",
+    "toxicity",
+    "decontamination",
+    "license_scan",
 ]
 
 

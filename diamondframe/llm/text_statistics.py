@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 SYMBOLS = b"#*$%&|<>"
 _BLANKS = b" \t\n\x0b\x0c\r"
@@ -33,6 +34,19 @@ def window_numbers(words: list, width: int = 5) -> np.ndarray:
     return out
 
 
+def window_hashes(words: list, width: int) -> np.ndarray:
+    """A 64-bit hash per window of words; the whole text is one window if it is shorter."""
+    known: dict = {}
+    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))[ids]
+    width = max(1, min(width, len(words)))
+    out = np.zeros(max(1, len(words) - width + 1), dtype=np.uint64)
+    for k in range(width if len(words) else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(words) - width + 1 + k]
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def repeated_words(words: list, width: int = 5) -> int:
     """Words inside windows that are found twice or more."""
     windows = window_numbers(words, width)
