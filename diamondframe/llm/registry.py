@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = [
+    "suffix_dedup",
     "line_dedup",
     "kd_shards",
     "token_counts",
