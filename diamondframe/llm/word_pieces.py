@@ -16,7 +16,9 @@ from collections.abc import Callable, Iterator
 #: Bytes of a text that are split into words at once.
 PART_BYTES = 1 << 20
 #: Words that a worker remembers, and the longest of them in bytes.
-CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 64
+CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
+#: Marks that close a word.
+CLOSING = (b".", b",", b";", b"!", b"?")
 
 _BLANK = re.compile(rb"[ \t-\r]")
 _loaded: dict[str, object] = {}
@@ -55,34 +57,60 @@ def parts(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+def split_end(word: bytes) -> tuple[bytes, bytes]:
+    """A word in the form that its copies share, and a closing mark.
+
+    ASCII letters go to lower case, as the tokenizer has it, unless a special string could be
+    in the word. A mark after an ASCII letter is always a piece of its own.
+    """
+    if word[-1:] in CLOSING and word[-2:-1].isalpha():
+        word, end = word[:-1], word[-1:]
+    else:
+        end = b""
+    return (word.lower() if word.isascii() and b"<|" not in word else word), end
+
+
 class WordCache:
     """What ``value`` makes of each word's ids, remembered within bounds.
 
-    ``known`` is the first tier: it is always kept. The rest comes and goes.
+    ``value`` maps ids to something that can be added. ``known`` is the first tier: it is always
+    kept. The rest, words and their common forms, comes and goes.
     """
 
     def __init__(self, path: str, value: Callable[[list[int]], object], known: dict | None = None):
         self.tokenizer, self.value = load(path), value
         self.known = known or {}
-        self.words = dict(self.known)
+        self.words, self.forms = dict(self.known), {}
+
+    def _encode(self, forms: list[bytes]) -> dict:
+        texts = [f.decode("utf-8", "replace") for f in forms]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return {f: self.value(e.ids) for f, e in zip(forms, encoded)}
 
     def of(self, words: list[bytes]) -> Iterator[object]:
         """A value per word, in order."""
+        found = self.words
         distinct = set(words)
-        missing = distinct - self.words.keys()
+        missing = [w for w in distinct if w not in found]
         if not missing:
-            return map(self.words.__getitem__, words)
-        if len(self.words) + len(missing) > len(self.known) + CACHE_WORDS:
-            self.words = dict(self.known)
-            missing = distinct - self.words.keys()
-        listed = list(missing)
-        encoded = self.tokenizer.encode_batch(
-            [w.decode("utf-8", "replace") for w in listed], add_special_tokens=False
-        )
-        new = {w: self.value(e.ids) for w, e in zip(listed, encoded)}
-        long = {w: v for w, v in new.items() if len(w) > CACHE_WORD_BYTES}
-        self.words.update((w, v) for w, v in new.items() if w not in long)
-        found = self.words
+            return map(found.__getitem__, words)
+        if len(found) + len(missing) > len(self.known) + CACHE_WORDS:
+            found = self.words = dict(self.known)
+            missing = [w for w in distinct if w not in found]
+        ends = {w: split_end(w) for w in missing}
+        new = {f for pair in ends.values() for f in pair if f and f not in self.forms}
+        if len(self.forms) + len(new) > CACHE_WORDS:
+            self.forms = {}
+            new = {f for pair in ends.values() for f in pair if f}
+        forms = self.forms
+        forms.update(self._encode(list(new)))
+        values = {w: forms[f] + forms[end] if end else forms[f] for w, (f, end) in ends.items()}
+        long = {w for w in missing if len(w) > CACHE_WORD_BYTES}
+        for w in long:
+            forms.pop(ends[w][0], None)
         if long:
-            return iter([long[w] if w in long else found[w] for w in words])
+            listed = [values[w] if w in values else found[w] for w in words]
+            found.update((w, v) for w, v in values.items() if w not in long)
+            return iter(listed)
+        found.update(values)
         return map(found.__getitem__, words)
