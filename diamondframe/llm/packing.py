@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from diamondframe.llm.common import read_table, text_value
-from diamondframe.llm.word_pieces import WordCache, parts, tokenizer_file
+from diamondframe.llm.word_pieces import WordCache, tokenizer_file, worker_cache
 from diamondframe.session import written
 
 CAPACITY, END_ID = 4096, 1
@@ -36,21 +36,28 @@ ROWS_OUT = 4096
 
 
 def _cut(texts, cache: WordCache, capacity: int, end_id: int) -> Iterator[tuple[int, int, bytes]]:
-    """(row, piece, ids as bytes) of a batch of texts; only one piece is held at a time."""
-    full = 4 * capacity
-    for row, text in enumerate(texts):
-        held, piece = b"", 0
-        for words in parts(text.as_py()):
-            held += b"".join(cache.of(words))
-            at = 0
-            while len(held) - at > full:
-                yield row, piece, held[at : at + full]
-                piece, at = piece + 1, at + full
-            held = held[at:]
-        held += struct.pack("<I", end_id)
-        while held:
-            yield row, piece, held[:full]
-            piece, held = piece + 1, held[full:]
+    """(row, piece, ids as bytes) of a batch of texts; of a long text, about a piece is held."""
+    full, end = 4 * capacity, struct.pack("<I", end_id)
+    row, piece, held = 0, 0, b""
+
+    def rest(row: int, piece: int, held: bytes) -> Iterator[tuple[int, int, bytes]]:
+        held += end
+        for n, at in enumerate(range(0, len(held), full)):
+            yield row, piece + n, held[at : at + full]
+
+    for of_row, ids in cache.values(t.as_py() for t in texts):
+        while row < of_row:
+            yield from rest(row, piece, held)
+            row, piece, held = row + 1, 0, b""
+        held += b"".join(ids)
+        at = 0
+        while len(held) - at > full:
+            yield row, piece, held[at : at + full]
+            piece, at = piece + 1, at + full
+        held = held[at:]
+    while row < len(texts):
+        yield from rest(row, piece, held)
+        row, piece, held = row + 1, 0, b""
 
 
 def encoded_pieces(
@@ -65,7 +72,7 @@ def encoded_pieces(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+        cache = worker_cache(tokenizer, "bytes")
         for batch in batches:
             keys = batch.column(0).to_pylist()
             rows: list[tuple] = []

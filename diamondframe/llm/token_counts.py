@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from diamondframe.llm.common import other_columns, read_table, text_value
 from diamondframe.llm.word_pieces import (
-    CACHE_WORD_BYTES, WordCache, load, parts, tokenizer_file,
+    CACHE_WORD_BYTES, load, parts, tokenizer_file, worker_cache,
 )
 
 #: Words in the broadcast table (at most 64 bytes each: under 8 MB), words that a task hands
@@ -69,10 +69,12 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
                           text_value().alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer, len, table.value)
+        cache = worker_cache(tokenizer, "length", table.value)
         for batch in batches:
+            n = [0] * batch.num_rows
             texts = batch.column(1).cast(pa.binary())
-            n = [sum(sum(cache.of(words)) for words in parts(t.as_py())) for t in texts]
+            for row, lengths in cache.values(t.as_py() for t in texts):
+                n[row] += sum(lengths)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64())], ["row", "n_tokens"]
             )

@@ -11,16 +11,19 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+import string
+import struct
+from collections.abc import Callable, Iterable, Iterator
 
 #: Bytes of a text that are split into words at once.
 PART_BYTES = 1 << 20
 #: Words that a worker remembers, and the longest of them in bytes.
-CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
+CACHE_WORDS, CACHE_WORD_BYTES = 700_000, 64
 #: Marks that close a word.
-CLOSING = (b".", b",", b";", b"!", b"?")
+MARKS = string.punctuation.encode()
 
 _BLANK = re.compile(rb"[ \t-\r]")
+_PLAIN = re.compile(rb"[a-z]+|[^a-z \t-\r]+")
 _loaded: dict[str, object] = {}
 
 
@@ -48,26 +51,80 @@ def load(path: str):
 
 
 def parts(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, in lists of about a megabyte; a word is never cut."""
+    """The words of a text, in lists of about a megabyte; a run without blanks is never cut.
+
+    In plain ASCII without apostrophes, letters and what stands between them are always pieces
+    of their own, and the tokenizer has letters in lower case. Elsewhere a word is a run without
+    ASCII blanks. (A special string would lose its form; texts that could hold one are left alone.)
+    """
     at = 0
     while at < len(text):
         blank = _BLANK.search(text, min(at + PART_BYTES, len(text)))
         end = blank.end() if blank else len(text)
-        yield text[at:end].split()
+        part = text[at:end]
+        if part.isascii() and b"'" not in part and b"<|" not in part:
+            yield _PLAIN.findall(part.lower())
+        else:
+            yield part.split()
         at = end
 
 
 def split_end(word: bytes) -> tuple[bytes, bytes]:
-    """A word in the form that its copies share, and a closing mark.
+    """A word in the form that its copies share, and the marks that close it.
 
-    ASCII letters go to lower case, as the tokenizer has it, unless a special string could be
-    in the word. A mark after an ASCII letter is always a piece of its own.
+    ASCII letters go to lower case, as the tokenizer has it. ASCII marks after a letter are
+    always a piece of their own. Words that could hold a special string stay as they are.
     """
-    if word[-1:] in CLOSING and word[-2:-1].isalpha():
-        word, end = word[:-1], word[-1:]
-    else:
-        end = b""
-    return (word.lower() if word.isascii() and b"<|" not in word else word), end
+    if b"<|" in word:
+        return word, b""
+    core = word.rstrip(MARKS)
+    if core and core.decode("utf-8", "replace")[-1].isalpha():
+        return core.lower(), word[len(core) :]
+    return word.lower(), b""
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level tokenizers write for a byte: itself if it is visible, else
+    the next one from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + n) for n, b in enumerate(hidden)}
+
+
+_CHARACTERS = byte_characters()
+
+
+def one_piece(form: bytes) -> str | None:
+    """A word of letters below U+0250 as the tokenizer's model reads it: small letters, bytes as
+    characters. Such letters have no other normal form, and a run of them is one piece."""
+    text = form.decode("utf-8", "replace").lower()
+    if not text.isalpha() or max(text) >= "\u0250":
+        return None
+    return text if text.isascii() else "".join(map(_CHARACTERS.__getitem__, text.encode()))
+
+
+def takes_lower_letters(tokenizer) -> bool:
+    """Whether its model gives for ``one_piece`` what the tokenizer gives for the word."""
+    words = ["water", "Straße", "élève", "ÑANDÚ", "łódź", "Íslenska", "a", "zzyzxqj"]
+    whole = tokenizer.encode_batch_fast(words, add_special_tokens=False)
+    return all(
+        [t.id for t in tokenizer.model.tokenize(one_piece(w.encode()))] == e.ids
+        for w, e in zip(words, whole)
+    )
+
+
+VALUES: dict[str, Callable[[list[int]], object]] = {
+    "length": len,
+    "bytes": lambda ids: struct.pack(f"<{len(ids)}I", *ids),
+}
+_caches: dict[tuple[str, str], WordCache] = {}
+
+
+def worker_cache(path: str, kind: str, known: dict | None = None) -> WordCache:
+    """The cache of this process for a tokenizer and a kind of value; tasks follow each other in it."""
+    if (path, kind) not in _caches:
+        _caches[path, kind] = WordCache(path, VALUES[kind], known)
+    return _caches[path, kind]
 
 
 class WordCache:
@@ -80,37 +137,60 @@ class WordCache:
     def __init__(self, path: str, value: Callable[[list[int]], object], known: dict | None = None):
         self.tokenizer, self.value = load(path), value
         self.known = known or {}
-        self.words, self.forms = dict(self.known), {}
+        self.words, self.forms, self.passing = dict(self.known), {}, []
+        self.lower_letters = takes_lower_letters(self.tokenizer)
 
     def _encode(self, forms: list[bytes]) -> dict:
-        texts = [f.decode("utf-8", "replace") for f in forms]
+        """Values of forms. What is one piece for the tokenizer goes to its model at once."""
+        found, others = {}, []
+        tokenize, value = self.tokenizer.model.tokenize, self.value
+        for f in forms:
+            letters = one_piece(f) if self.lower_letters else None
+            if letters:
+                found[f] = value([token.id for token in tokenize(letters)])
+            else:
+                others.append(f)
+        texts = [f.decode("utf-8", "replace") for f in others]
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return {f: self.value(e.ids) for f, e in zip(forms, encoded)}
-
-    def of(self, words: list[bytes]) -> Iterator[object]:
-        """A value per word, in order."""
-        found = self.words
-        distinct = set(words)
-        missing = [w for w in distinct if w not in found]
-        if not missing:
-            return map(found.__getitem__, words)
-        if len(found) + len(missing) > len(self.known) + CACHE_WORDS:
-            found = self.words = dict(self.known)
-            missing = [w for w in distinct if w not in found]
-        ends = {w: split_end(w) for w in missing}
-        new = {f for pair in ends.values() for f in pair if f and f not in self.forms}
-        if len(self.forms) + len(new) > CACHE_WORDS:
+        found.update((f, value(e.ids)) for f, e in zip(others, encoded))
+        return found
+
+    def _prepare(self, distinct: set[bytes]) -> None:
+        for w in self.passing:
+            self.words.pop(w, None)
+        missing = [w for w in distinct if w not in self.words]
+        if len(self.words) + len(missing) > len(self.known) + CACHE_WORDS:
+            self.words = dict(self.known)
+            missing = [w for w in distinct if w not in self.words]
+        ends = [split_end(w) for w in missing]
+        if len(self.forms) > CACHE_WORDS:
             self.forms = {}
-            new = {f for pair in ends.values() for f in pair if f}
         forms = self.forms
+        new = {f for pair in ends for f in pair if f and f not in forms}
         forms.update(self._encode(list(new)))
-        values = {w: forms[f] + forms[end] if end else forms[f] for w, (f, end) in ends.items()}
-        long = {w for w in missing if len(w) > CACHE_WORD_BYTES}
-        for w in long:
-            forms.pop(ends[w][0], None)
-        if long:
-            listed = [values[w] if w in values else found[w] for w in words]
-            found.update((w, v) for w, v in values.items() if w not in long)
-            return iter(listed)
-        found.update(values)
-        return map(found.__getitem__, words)
+        self.words.update(
+            (w, forms[f] + forms[end] if end else forms[f]) for w, (f, end) in zip(missing, ends)
+        )
+        # Long words are not remembered.
+        self.passing = [w for w in missing if len(w) > CACHE_WORD_BYTES]
+        for w in self.passing:
+            forms.pop(split_end(w)[0], None)
+
+    def values(self, texts: Iterable[bytes]) -> Iterator[tuple[int, Iterator[object]]]:
+        """(row, a value per word) for each part of each text, in order; no part for no words."""
+        held: list[tuple[int, list[bytes]]] = []
+        size = 0
+        for row, text in enumerate(texts):
+            for words in parts(text):
+                held.append((row, words))
+            size += len(text)
+            if size >= PART_BYTES:
+                yield from self._of(held)
+                held, size = [], 0
+        yield from self._of(held)
+
+    def _of(self, held: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, Iterator[object]]]:
+        self._prepare(set().union(*(words for _, words in held)))
+        found = self.words.__getitem__
+        for row, words in held:
+            yield row, map(found, words)
