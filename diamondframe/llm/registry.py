@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = [
     "suffix_dedup",
+    "shingle_join",
     "line_dedup",
     "kd_shards",
     "token_counts",
