@@ -76,7 +76,7 @@ def encoded_pieces(
         for batch in batches:
             keys = batch.column(0).to_pylist()
             rows: list[tuple] = []
-            for row, piece, ids in _cut(batch.column(1).cast(pa.binary()), cache, capacity, end_id):
+            for row, piece, ids in _cut(batch.column(1), cache, capacity, end_id):
                 rows.append((keys[row], piece, piece * capacity, len(ids) // 4, zlib.crc32(ids),
                              *([ids] if with_ids else [])))
                 if len(rows) >= ROWS_OUT // (16 if with_ids else 1):

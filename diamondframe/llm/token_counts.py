@@ -21,32 +21,32 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from diamondframe.llm.common import other_columns, read_table, text_value
 from diamondframe.llm.word_pieces import (
-    CACHE_WORD_BYTES, load, parts, tokenizer_file, worker_cache,
+    CACHE_LETTERS, load, parts, tokenizer_file, worker_cache,
 )
 
-#: Words in the broadcast table (at most 64 bytes each: under 8 MB), words that a task hands
+#: Words in the broadcast table (at most 40 letters each: under 8 MB), words that a task hands
 #: on, and words that a task counts at once.
 FREQUENT, PER_TASK, COUNTED = 32_768, 8_192, 250_000
 
 
-def _frequent_words(docs: DataFrame) -> list[bytes]:
+def _frequent_words(docs: DataFrame) -> list[str]:
     def most_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
+            for text in batch.column(0):
                 for words in parts(text.as_py()):
                     counts.update(words)
                     if len(counts) > COUNTED:
                         counts = Counter(dict(counts.most_common(COUNTED // 2)))
-        top = [(w, n) for w, n in counts.most_common(PER_TASK) if len(w) <= CACHE_WORD_BYTES]
+        top = [(w, n) for w, n in counts.most_common(PER_TASK) if len(w) <= CACHE_LETTERS]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())],
+            [pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())],
             ["word", "n"],
         )
 
-    counted = docs.select(text_value().alias("text")).mapInArrow(most_frequent, "word binary, n long")
+    counted = docs.select(text_value().alias("text")).mapInArrow(most_frequent, "word string, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
-    return [bytes(r["word"]) for r in top.limit(FREQUENT).collect()]
+    return [r["word"] for r in top.limit(FREQUENT).collect()]
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
@@ -56,9 +56,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     machine. Counts are those of ``encode(text, add_special_tokens=False)``.
     """
     frequent = _frequent_words(docs)
-    encoded = load(tokenizer).encode_batch(
-        [w.decode("utf-8", "replace") for w in frequent], add_special_tokens=False
-    )
+    encoded = load(tokenizer).encode_batch(frequent, add_special_tokens=False)
     table = docs.sparkSession.sparkContext.broadcast(
         {w: len(e.ids) for w, e in zip(frequent, encoded)}
     )
@@ -72,8 +70,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
         cache = worker_cache(tokenizer, "length", table.value)
         for batch in batches:
             n = [0] * batch.num_rows
-            texts = batch.column(1).cast(pa.binary())
-            for row, lengths in cache.values(t.as_py() for t in texts):
+            for row, lengths in cache.values(t.as_py() for t in batch.column(1)):
                 n[row] += sum(lengths)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64())], ["row", "n_tokens"]

@@ -15,15 +15,19 @@ import string
 import struct
 from collections.abc import Callable, Iterable, Iterator
 
-#: Bytes of a text that are split into words at once.
-PART_BYTES = 1 << 20
-#: Words that a worker remembers, and the longest of them in bytes.
-CACHE_WORDS, CACHE_WORD_BYTES = 700_000, 64
+#: Characters of a text that are split into words at once.
+PART = 1 << 20
+#: Words that a worker remembers, and the longest of them.
+CACHE_WORDS, CACHE_LETTERS = 700_000, 40
 #: Marks that close a word.
-MARKS = string.punctuation.encode()
-
-_BLANK = re.compile(rb"[ \t-\r]")
-_PLAIN = re.compile(rb"[a-z]+|[^a-z \t-\r]+")
+MARKS = string.punctuation
+
+#: Letters below U+0250 in the form that the tokenizer gives them, without the one that grows.
+_LETTERS = "".join(c for c in map(chr, range(0xAA, 0x250)) if c.isalpha() and c != "\u0130")
+_BLANK = re.compile(r"[ \t-\r]")
+_RUNS = re.compile(r"[^ \t-\r]+")
+_ODD = re.compile(f"[^\x00-\x7f{_LETTERS}]|'|<\\|")
+_PLAIN = re.compile(f"[a-z{_LETTERS}]+|[^a-z{_LETTERS} \t-\r]+")
 _loaded: dict[str, object] = {}
 
 
@@ -50,37 +54,35 @@ def load(path: str):
     return _loaded[path]
 
 
-def parts(text: bytes) -> Iterator[list[bytes]]:
+def parts(text: str) -> Iterator[list[str]]:
     """The words of a text, in lists of about a megabyte; a run without blanks is never cut.
 
-    In plain ASCII without apostrophes, letters and what stands between them are always pieces
-    of their own, and the tokenizer has letters in lower case. Elsewhere a word is a run without
-    ASCII blanks. (A special string would lose its form; texts that could hold one are left alone.)
+    In a text of ASCII and common Latin letters, without apostrophes, letters and what stands
+    between them are always pieces of their own, and the tokenizer has letters in lower case.
+    Elsewhere, and where a special string could be, a word is a run without ASCII blanks.
     """
     at = 0
     while at < len(text):
-        blank = _BLANK.search(text, min(at + PART_BYTES, len(text)))
+        blank = _BLANK.search(text, min(at + PART, len(text)))
         end = blank.end() if blank else len(text)
         part = text[at:end]
-        if part.isascii() and b"'" not in part and b"<|" not in part:
-            yield _PLAIN.findall(part.lower())
-        else:
-            yield part.split()
+        yield _RUNS.findall(part) if _ODD.search(part) else _PLAIN.findall(part.lower())
         at = end
 
 
-def split_end(word: bytes) -> tuple[bytes, bytes]:
+def split_end(word: str) -> tuple[str, str]:
     """A word in the form that its copies share, and the marks that close it.
 
     ASCII letters go to lower case, as the tokenizer has it. ASCII marks after a letter are
-    always a piece of their own. Words that could hold a special string stay as they are.
+    always a piece of their own. Words that could hold a special string stay as they are, and
+    so do words with letters that take another form beside a mark.
     """
-    if b"<|" in word:
-        return word, b""
+    if "<|" in word or not word.isascii():
+        return word, ""
     core = word.rstrip(MARKS)
-    if core and core.decode("utf-8", "replace")[-1].isalpha():
+    if core and core[-1].isalpha():
         return core.lower(), word[len(core) :]
-    return word.lower(), b""
+    return word.lower(), ""
 
 
 def byte_characters() -> dict[int, str]:
@@ -94,10 +96,10 @@ def byte_characters() -> dict[int, str]:
 _CHARACTERS = byte_characters()
 
 
-def one_piece(form: bytes) -> str | None:
+def one_piece(form: str) -> str | None:
     """A word of letters below U+0250 as the tokenizer's model reads it: small letters, bytes as
     characters. Such letters have no other normal form, and a run of them is one piece."""
-    text = form.decode("utf-8", "replace").lower()
+    text = form.lower()
     if not text.isalpha() or max(text) >= "\u0250":
         return None
     return text if text.isascii() else "".join(map(_CHARACTERS.__getitem__, text.encode()))
@@ -108,7 +110,7 @@ def takes_lower_letters(tokenizer) -> bool:
     words = ["water", "Straße", "élève", "ÑANDÚ", "łódź", "Íslenska", "a", "zzyzxqj"]
     whole = tokenizer.encode_batch_fast(words, add_special_tokens=False)
     return all(
-        [t.id for t in tokenizer.model.tokenize(one_piece(w.encode()))] == e.ids
+        [t.id for t in tokenizer.model.tokenize(one_piece(w))] == e.ids
         for w, e in zip(words, whole)
     )
 
@@ -140,7 +142,7 @@ class WordCache:
         self.words, self.forms, self.passing = dict(self.known), {}, []
         self.lower_letters = takes_lower_letters(self.tokenizer)
 
-    def _encode(self, forms: list[bytes]) -> dict:
+    def _encode(self, forms: list[str]) -> dict:
         """Values of forms. What is one piece for the tokenizer goes to its model at once."""
         found, others = {}, []
         tokenize, value = self.tokenizer.model.tokenize, self.value
@@ -150,12 +152,11 @@ class WordCache:
                 found[f] = value([token.id for token in tokenize(letters)])
             else:
                 others.append(f)
-        texts = [f.decode("utf-8", "replace") for f in others]
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        encoded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
         found.update((f, value(e.ids)) for f, e in zip(others, encoded))
         return found
 
-    def _prepare(self, distinct: set[bytes]) -> None:
+    def _prepare(self, distinct: set[str]) -> None:
         for w in self.passing:
             self.words.pop(w, None)
         missing = [w for w in distinct if w not in self.words]
@@ -172,24 +173,24 @@ class WordCache:
             (w, forms[f] + forms[end] if end else forms[f]) for w, (f, end) in zip(missing, ends)
         )
         # Long words are not remembered.
-        self.passing = [w for w in missing if len(w) > CACHE_WORD_BYTES]
+        self.passing = [w for w in missing if len(w) > CACHE_LETTERS]
         for w in self.passing:
             forms.pop(split_end(w)[0], None)
 
-    def values(self, texts: Iterable[bytes]) -> Iterator[tuple[int, Iterator[object]]]:
+    def values(self, texts: Iterable[str]) -> Iterator[tuple[int, Iterator[object]]]:
         """(row, a value per word) for each part of each text, in order; no part for no words."""
-        held: list[tuple[int, list[bytes]]] = []
+        held: list[tuple[int, list[str]]] = []
         size = 0
         for row, text in enumerate(texts):
             for words in parts(text):
                 held.append((row, words))
             size += len(text)
-            if size >= PART_BYTES:
+            if size >= PART:
                 yield from self._of(held)
                 held, size = [], 0
         yield from self._of(held)
 
-    def _of(self, held: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, Iterator[object]]]:
+    def _of(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, Iterator[object]]]:
         self._prepare(set().union(*(words for _, words in held)))
         found = self.words.__getitem__
         for row, words in held:
