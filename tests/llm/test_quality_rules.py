@@ -1,0 +1,134 @@
+from __future__ import annotations
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+from conftest import SF
+
+from __spark_entry__ import queries
+from diamondframe.llm import quality_rules as Q
+from diamondframe.llm.text_statistics import repeated_words, window_numbers
+
+from llm.brute import COLUMNS, edge_rows, prose
+
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def counts(text) -> tuple:
+    text, words, word = text or "", [], ""
+    for c in text + " ":
+        if c in BLANKS:
+            words += [word] if word else []
+            word = ""
+        else:
+            word += c
+    windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+    often = Counter(windows)
+    covered = {k + j for k, w in enumerate(windows) if often[w] > 1 for j in range(5)}
+    lines = [x for x in text.split("\n") if x.strip(BLANKS)]
+    symbols = sum(c in "#*$%&|<>" for c in text)
+    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered)
+
+
+def failed(c) -> bool:
+    return c[0] < 10 or 100 * c[4] > 20 * c[0]
+
+
+def vector(text) -> list[float]:
+    n, chars, symbols, dup, rep = counts(text)
+    lines = (text or "").count("\n") + 1
+    return [(chars + 125) / (n + 25), math.sqrt(symbols / (n + 25)), math.sqrt(dup / (lines + 25)), math.sqrt(rep / (n + 25))]
+
+
+def distances(points: np.ndarray) -> np.ndarray:
+    """The same concentration steps, in one place."""
+    half = math.ceil(len(points) / 2) - 1
+    centre, inverse = np.sort(points, axis=0)[half], np.diag(1 / np.square(Q.FLOORS))
+    for _ in range(Q.STEPS):
+        d = np.einsum("ni,ij,nj->n", points - centre, inverse, points - centre)
+        inner = points[d <= np.sort(d)[half]]
+        centre = inner.mean(axis=0)
+        cov = (inner[:, :, None] * inner[:, None, :]).mean(axis=0) - np.outer(centre, centre)
+        inverse = np.linalg.inv(cov * Q.SCALE + np.diag(np.square(Q.FLOORS)))
+    return np.sqrt(np.einsum("ni,ij,nj->n", points - centre, inverse, points - centre))
+
+
+def judged(rows: list[tuple]) -> list[tuple[bool, float | None]]:
+    """kept and distance of (text, lang, source) rows."""
+    groups = defaultdict(list)
+    for n, (_, lang, source) in enumerate(rows):
+        groups[lang or "", source or ""].append(n)
+    pools = defaultdict(list)
+    for (lang, source), members in groups.items():
+        pools[(lang, source) if len(members) >= Q.LEAST_ROWS else lang] += members
+    final = defaultdict(list)
+    for pool, members in pools.items():
+        final[pool if len(members) >= Q.LEAST_ROWS else "rest"] += members
+    out: list = [None] * len(rows)
+    for members in final.values():
+        points = np.array([vector(rows[n][0]) for n in members])
+        found = distances(points) if len(members) >= Q.LEAST_ROWS else [None] * len(members)
+        for n, d in zip(members, found):
+            out[n] = (not failed(counts(rows[n][0])) and (d is None or d <= math.sqrt(Q.CUT)), d)
+    return out
+
+
+def table() -> list[tuple]:
+    made = random.Random(4)
+    rows = list(edge_rows())
+    for n in range(320):
+        lang, source = made.choice([("en", "a"), ("en", "b"), ("de", "a"), ("fr", f"s{n % 9}"), (None, None)])
+        text = prose(n, made.randrange(5, 200))
+        if n % 10 == 0:
+            text = " ".join(w + made.choice(["###", "$$", "&"]) for w in text.split())
+        if n % 17 == 0:
+            text += "\nagain and again and again it goes" * 4
+        rows.append((1000 + n, text, lang, source, len(text), 7, "v", 1, "k", "z"))
+    return rows
+
+
+def test_against_brute_force(spark):
+    rows = table()
+    docs = spark.createDataFrame(rows, COLUMNS)
+    narrow = Q.written(Q.with_statistics(docs), "statistics")
+    got = Q.judge(narrow, Q.estimates(narrow)).collect()
+    want = judged([(r[1], r[2], r[3]) for r in rows])
+    expected = Counter((r[0], *counts(r[1]), failed(counts(r[1])), kept) for r, (kept, _) in zip(rows, want))
+    assert Counter((r.doc_id, *(r[c] for c in Q.COUNTS), r.base_failed, r.kept) for r in got) == expected
+    by_id = {r[0]: d for r, (_, d) in zip(rows, want) if r[0] is not None}
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.distance is None) == (by_id[r.doc_id] is None)
+            assert r.distance is None or abs(r.distance - by_id[r.doc_id]) < 1e-6 * (1 + r.distance)
+    kept = Q.kept_documents(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r, (k, _) in zip(rows, want) if k)
+
+
+def test_all_documents(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    got = queries()["op8_quality_rules"](spark, SF).collect()
+    assert {r.doc_id: tuple(r[c] for c in Q.COUNTS) for r in got} == {i: counts(t) for i, t in docs.items()}
+    for r in got:
+        if r.doc_id in quality and not r.base_failed:
+            assert r.kept == bool(quality[r.doc_id])
+
+
+def test_empty_table(no_docs):
+    narrow = Q.written(Q.with_statistics(no_docs), "statistics")
+    assert Q.judge(narrow, Q.estimates(narrow)).collect() == []
+    assert Q.kept_documents(no_docs).collect() == []
+
+
+def test_windows_of_many_words_are_numbered_exactly():
+    made = random.Random(1)
+    words = [str(made.randrange(9000)) for _ in range(20_000)] * 2
+    numbers = window_numbers(words)
+    first = {}
+    for k, n in enumerate(numbers.tolist()):
+        assert first.setdefault(tuple(words[k : k + 5]), n) == n
+    assert len(set(first.values())) == len(first)
+    assert repeated_words(words) == len(words)

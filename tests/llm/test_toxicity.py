@@ -1,0 +1,90 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import pytest
+from conftest import SF
+
+from __spark_entry__ import queries
+from diamondframe.llm.toxic_grammar import Scorer, clause_score, symbol
+from diamondframe.llm.toxicity import fold, toxicity
+
+from llm.brute import COLUMNS, edge_rows, prose
+
+INSULTS = {"idiot": 4.0, "lowei-": 3.0}
+
+
+def test_clauses_not_words_are_scored():
+    score = Scorer(INSULTS)
+    assert score("a plain text") == 0 and score("") == 0
+    assert score("what an idiot") == 4.0
+    assert score("not an idiot") == 1.0
+    assert score("not now, what an idiot") == 4.0  # another clause
+    assert score("not a thing here is an idiot") == 4.0  # out of reach
+    assert score("she called him idiot") == 2.0
+    assert score("you idiot") == 6.0
+    assert score("i will kill you") == 3.0 and score("i kill you") == 0
+    assert score("you will kill") == 4.5
+    assert score("Loweischaft. Idiot!") == 7.0
+    assert score("idiot idiot") == 8.0
+
+
+def test_symbols():
+    assert symbol("loweiung", INSULTS) == ("insult", 3.0)
+    assert symbol("never", INSULTS) == ("negation", 0.0) and symbol("tree", INSULTS) == ("", 0.0)
+    assert clause_score([("negation", 0.0), ("insult", 4.0), ("report", 0.0), ("insult", 4.0)]) == 1.5
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Toxic texts hold an invented insult or a stem, others hold neither."""
+    made = random.Random(2)
+    rows, labels = [*edge_rows()], [(1, None, None), (None, 1, 1), (2, 1, 0), (2, 1, 0)]
+    for n in range(900):
+        words = prose(n, made.randrange(20, 90)).split()
+        toxic = int(n % 5 == 0)
+        for _ in range(3 * toxic):
+            words.insert(made.randrange(len(words)), made.choice(["grobbel", "snirk" + made.choice(["a", "ung", "eme", "o"])]))
+        rows.append((1000 + n, " ".join(words), None, None, 0, 1, "v", 1, "k", "z"))
+        labels.append((1000 + n, 1, toxic))
+    docs = spark.createDataFrame(rows, COLUMNS)
+    return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_planted_insults_are_learned(planted):
+    docs, labels = planted
+    got = toxicity(docs, labels)
+    assert got.columns == [*docs.columns, "raw", "score", "predicted"]
+    rows = got.collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    for r in rows:
+        if r.doc_id and r.doc_id >= 1000 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0:
+            assert r.predicted == int((r.doc_id - 1000) % 5 == 0)
+    assert all(r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+def test_labels_of_the_held_out_fold_are_not_read(spark, planted):
+    docs, labels = planted
+    turned = labels.withColumn("toxic", (1 - labels["toxic"]).cast("int"))
+    mixed = labels.filter(fold() != 0).unionByName(turned.filter(fold() == 0))
+    score = lambda t: {(r.doc_id, r.text): r.score for r in toxicity(docs, t).collect()}
+    assert score(mixed) == score(labels)
+
+
+def test_empty_tables(spark, planted, no_docs):
+    docs, labels = planted
+    assert toxicity(no_docs, labels).collect() == []
+    rows = toxicity(docs, labels.limit(0)).collect()
+    assert len(rows) == docs.count() and all(r.predicted == 0 for r in rows)
+
+
+def test_held_out_accuracy(spark):
+    sf = SF.replace("0.01", "0.1")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries()["op3_toxicity"](spark, sf).collect()]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    held = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
+    caught = [p for y, p in held if y == 1]
+    wrong = [p for y, p in held if y == 0]
+    assert sum(caught) >= 0.9 * len(caught) and sum(wrong) <= 0.02 * len(wrong)
