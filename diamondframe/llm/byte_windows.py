@@ -15,7 +15,6 @@ import numpy as np
 GRAM = 24
 #: Window starts of a text that are worked on at once.
 SEGMENT = 1 << 19
-#: Rows are sorted by two hashes, then by document and place.
 _U = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20_240_601))
 _BYTES = [_RANDOM.integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1) for _ in range(2)]
@@ -24,7 +23,7 @@ _INVERSES = [pow(b, -1, 2**64) for b in _BASES]
 _powers: list[np.ndarray] = []
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U(32))
     x = x * _U(0xD6E8FEB86659FD93)
     x ^= x >> _U(32)
@@ -58,11 +57,11 @@ class Hashes:
         """Of every stretch of a length."""
         sums = self.sums[kind]
         n = len(sums) - length
-        return _mix((sums[length:] - sums[:n]) * self.inverse[kind][:n])
+        return mix((sums[length:] - sums[:n]) * self.inverse[kind][:n])
 
     def some(self, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
         sums = self.sums[kind]
-        return _mix((sums[ends] - sums[starts]) * self.inverse[kind][starts])
+        return mix((sums[ends] - sums[starts]) * self.inverse[kind][starts])
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -94,14 +93,6 @@ def runs(data: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     last = np.concatenate([first[1:] - 1, [len(anchors) - 1]])
     anchor = anchors[first]
     extent = ((anchor - first) << 8 | (anchor - last)).astype(np.uint64)
-    whole = _mix(hashes.some(first, last + window, 1) ^ _mix(extent))
+    whole = mix(hashes.some(first, last + window, 1) ^ mix(extent))
     return gram[anchor], whole, anchor, first, last
 
-
-def windows(data: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(hash, other hash, start) of the windows that start from each first to its last."""
-    lengths = last - first + 1
-    starts = np.repeat(first - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-    starts = np.unique(starts)
-    hashes = Hashes(data)
-    return hashes.some(starts, starts + window, 0), hashes.some(starts, starts + window, 1), starts

@@ -6,21 +6,24 @@ in equal groups at the end are exactly the repeated windows.
 
 * The first digit of a suffix is the hash of its anchor (``byte_windows``), not of its first
   bytes: equal windows have equal ones, and about thirty neighbours share one, so a run of
-  suffixes moves as one row and a corpus costs about one row for thirty bytes.
-* The second digit is the hash of all bytes of the run. Runs that are equal as a whole are
-  settled by it; other runs with a common first digit go on.
-* The last digit is the window's own hash, for every suffix of the runs that are left.
+  suffixes moves as one row and a corpus costs about one row for thirty bytes. A second key, the
+  hash of all bytes of the run, settles runs that are equal as a whole.
+* The second digit is for the runs that share the first one without being equal. It is the
+  hash of the bytes that up to eight neighbouring windows have in common, their core. Its second
+  key are the few bytes to the left and right of the core that the windows reach.
+* The last digit is the window's own: its core with its bytes to the left and right. It follows
+  from the row before, so the texts are not read for it.
 
 A task sorts its own rows first and hands on the first of each group; the rest are repeats for
 certain. Groups are read as a sorted stream, one row of memory each, so a passage in a third
-of all documents needs no room. The digits are 64-bit hashes; two of different kinds have to
-agree (128 bits). Texts cross the shuffle compressed, by their document.
+of all documents needs no room. Hashes have 64 bits; second keys add 64 more, or 16 beside the
+bytes themselves. Texts cross the shuffle compressed, by their document.
 
 Documents are ordered by doc_id. Defined results: a missing or empty text has no bytes; a text
 shorter than the window keeps all; rows with equal doc_id and text are one document and get
 equal results; of different texts with one doc_id, a string is earlier where it starts earlier
 in its text, and then by the hash of the text; rows without doc_id are one document that comes
-first; an empty table gives an empty table; other columns pass through.
+first; an empty table gives an empty table; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -32,16 +35,23 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from diamondframe.llm.byte_windows import runs, segments, windows
+from diamondframe.llm.byte_windows import GRAM, Hashes, mix, runs, segments
 from diamondframe.llm.common import id_key, id_value, read_table, text_value
 from diamondframe.session import written
 
 WINDOW = 100
 #: Rows that a task sorts at once, and hands on at once.
 SORTED_ROWS, ROWS_OUT = 1 << 20, 1 << 16
+PACKED_LEVEL = 5
 
-_ROWS = "k1 long, k2 long, doc long, place long"
-_NAMES = ["k1", "k2", "doc", "place"]
+#: Windows that share a core, and the bytes beside it that they reach.
+BLOCK, BESIDE = 8, 7
+
+_RUN_KEYS, _CORE_KEYS = ["k1", "k2"], ["k1", "left", "right"]
+
+
+def _schema(keys: list[str]) -> str:
+    return ", ".join(f"{name} long" for name in [*keys, "doc", "place"])
 
 
 def _place(start: np.ndarray, version: int, before: np.ndarray | int, after: np.ndarray | int) -> np.ndarray:
@@ -49,32 +59,26 @@ def _place(start: np.ndarray, version: int, before: np.ndarray | int, after: np.
     return start.astype(np.int64) << 32 | (version & 0xFFFF) << 16 | before << 8 | after
 
 
-def _batches(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(columns[0]), ROWS_OUT):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c[at : at + ROWS_OUT].view(np.int64), pa.int64()) for c in columns], _NAMES
-        )
-
-
 def _firsts(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Rows in order; of equal digits, all but the first get a negative place.
+    """Rows in order; of those with equal keys, all but the first get a negative place.
 
     A row that says the same as the first, from a repeated row of the table, counts as the first.
     """
     order = np.lexsort(columns[::-1])
-    k1, k2, doc, place = (c[order] for c in columns)
-    new = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+    *keys, doc, place = (c[order] for c in columns)
+    new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
     head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     repeat = (doc != doc[head]) | (place != place[head])
     # Settled rows go on under a digit of their own, so that they are dealt evenly.
-    k1 = np.where(repeat, place * 0x5851F42D4C957F2D ^ doc, k1)
-    return [k1, k2, doc, np.where(repeat, -1 - place, place)]
+    keys[0] = np.where(repeat, place * 0x5851F42D4C957F2D ^ doc, keys[0])
+    return [*keys, doc, np.where(repeat, -1 - place, place)]
 
 
 class _Sorter:
     """Collects rows of a task and hands them on block by block."""
 
-    def __init__(self):
+    def __init__(self, keys: list[str]):
+        self.names = [*keys, "doc", "place"]
         self.held: list[list[np.ndarray]] = []
         self.size = 0
 
@@ -86,16 +90,18 @@ class _Sorter:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            columns = [np.concatenate(c) for c in zip(*self.held)]
+            columns = _firsts([np.concatenate(c) for c in zip(*self.held)])
             self.held, self.size = [], 0
-            yield from _batches(_firsts(columns))
+            for at in range(0, len(columns[0]), ROWS_OUT):
+                part = [pa.array(c[at : at + ROWS_OUT], pa.int64()) for c in columns]
+                yield pa.RecordBatch.from_arrays(part, self.names)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
     """(doc, version, text): the text compressed, for the shuffle."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=1)
+        compressor = zstandard.ZstdCompressor(level=PACKED_LEVEL)
         for batch in batches:
             texts = [compressor.compress(t.as_py()) for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(
@@ -109,7 +115,7 @@ def _first_digits(docs: DataFrame, window: int) -> DataFrame:
     """A row per run: first digit, second digit, document, place."""
 
     def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sorter = _Sorter()
+        sorter = _Sorter(_RUN_KEYS)
         for batch in batches:
             keys, versions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc, version, text in zip(keys, versions, batch.column(2).cast(pa.binary())):
@@ -119,55 +125,84 @@ def _first_digits(docs: DataFrame, window: int) -> DataFrame:
                     yield from sorter.add(gram, whole, np.full(len(gram), doc, np.int64), place)
         yield from sorter.flush()
 
-    return docs.mapInArrow(digits, _ROWS)
+    return docs.mapInArrow(digits, _schema(_RUN_KEYS))
 
 
-def _groups(rows: DataFrame, undecided: bool) -> DataFrame:
-    """Reads the groups of the first key, in order: (doc, place) of what is settled or goes on.
+def _groups(rows: DataFrame, keys: list[str], undecided: bool) -> DataFrame:
+    """Reads the groups of the first key, in order: rows that are settled or go on.
 
     A negative place is a repeat. A place from 0 on (only if ``undecided``) is the first row of
-    a second key whose first key has other second keys too.
+    its further keys, in a group of the first key that has others too.
     """
+    names, n_keys = [*keys, "doc", "place"], len(keys)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last group's rows that may still matter: the first of its second keys, the last
-        # first; whether a row has been handed on.
-        held = np.empty((4, 0), dtype=np.int64)
+        # The last group's rows that may still matter: its first one, and the first of its last
+        # further keys; whether a row has been handed on.
+        held = np.empty((len(names), 0), dtype=np.int64)
         held_done = np.empty(0, dtype=bool)
         for batch in batches:
-            new = np.stack([batch.column(i).to_numpy() for i in range(4)])
-            settled = new[:, new[3] < 0]
-            new = new[:, new[3] >= 0]
+            new = np.stack([batch.column(i).to_numpy() for i in range(len(names))])
+            settled = new[:, new[-1] < 0]
+            new = new[:, new[-1] >= 0]
             rows = np.concatenate([held, new], axis=1)
             done = np.concatenate([held_done, np.zeros(new.shape[1], dtype=bool)])
+            out = [settled]
             if rows.shape[1]:
-                k1, k2, doc, place = rows
-                index = np.arange(len(k1))
-                first1 = np.concatenate([[True], k1[1:] != k1[:-1]])
-                first2 = first1 | np.concatenate([[True], k2[1:] != k2[:-1]])
-                head = np.maximum.accumulate(np.where(first2, index, 0))
+                doc, place = rows[-2], rows[-1]
+                index = np.arange(len(doc))
+                changed = rows[:n_keys, 1:] != rows[:n_keys, :-1]
+                first = np.concatenate([[True], changed[0]])
+                first_of_all = np.concatenate([[True], changed.any(axis=0)])
+                head = np.maximum.accumulate(np.where(first_of_all, index, 0))
                 repeat = ((doc != doc[head]) | (place != place[head])) & ~done
-                group = np.cumsum(first1) - 1
-                several = np.bincount(group, weights=first2)[group] > 1
+                group = np.cumsum(first) - 1
+                several = np.bincount(group, weights=first_of_all)[group] > 1
                 # A row equal to its head is a repeated row of the table; the head speaks for it.
-                more = first2 & several & ~done
-                out = np.concatenate([
-                    settled[2:], np.stack([doc[repeat], -1 - place[repeat]]),
-                    *([rows[2:, more]] if undecided else []),
-                ], axis=1)
-                # Of the last group, its first row and the first row of its last second key.
+                more = first_of_all & several & ~done
+                repeats = rows[:, repeat]
+                repeats[-1] = -1 - repeats[-1]
+                out += [repeats, rows[:, more]] if undecided else [repeats]
                 keep = np.unique([index[group == group[-1]][0], head[-1]])
                 held, held_done = rows[:, keep], (done | more)[keep]
-            else:
-                out = settled[2:]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["doc", "place"])
+            found = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names)
+
+    dealt = rows.repartition("k1").sortWithinPartitions(*names)
+    return dealt.mapInArrow(read, _schema(keys))
+
+
+def _beside(data: np.ndarray, core: np.ndarray, reach: np.ndarray, step: int) -> np.ndarray:
+    """Up to seven bytes from a place on, leftwards or rightwards, as a number; 0 beyond reach."""
+    out = np.zeros(len(core), dtype=np.int64)
+    for k in range(BESIDE):
+        some = np.flatnonzero(reach > k)
+        out[some] |= data[core[some] + step * k].astype(np.int64) << 8 * k
+    return out
 
-    dealt = rows.repartition("k1").sortWithinPartitions("k1", "k2", "doc", "place")
-    return dealt.mapInArrow(read, "doc long, place long")
 
+def _cores(data: np.ndarray, anchor, before, after, window: int) -> tuple[np.ndarray, ...]:
+    """A row per block of eight windows of the runs: core hash, bytes beside, anchor, extent.
 
-def _last_digits(docs: DataFrame, open_runs: DataFrame, window: int) -> DataFrame:
-    """A row per window of the runs that are left: its two hashes, document and place."""
+    The blocks are counted from the anchor, so equal windows are in equal blocks.
+    """
+    low = after // BLOCK
+    n = before // BLOCK - low + 1
+    block = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    anchor, before, after = (np.repeat(x, n) for x in (anchor, before, after))
+    most, least = np.minimum(before, block * BLOCK + BESIDE), np.maximum(after, block * BLOCK)
+    start, length = anchor - block * BLOCK, window - BESIDE
+    hashes = Hashes(data)
+    core = mix(hashes.some(start, start + length, 0) ^ mix(block.astype(np.uint64)))
+    more = hashes.some(start, start + length, 1).view(np.int64)
+    left_reach, right_reach = most - block * BLOCK, BESIDE - (least - block * BLOCK)
+    left = _beside(data, start - 1, left_reach, -1) | (more & 0x1F) << 59 | left_reach << 56
+    right = _beside(data, start + length, right_reach, 1) | (more >> 5 & 0x1F) << 59 | right_reach << 56
+    return core, left, right, anchor, most, least
+
+
+def _second_digits(docs: DataFrame, open_runs: DataFrame, window: int) -> DataFrame:
+    """A row per block of the runs that go on: core, bytes beside it, document, place."""
     of_doc = open_runs.groupBy("doc", _version16("place").alias("version16")).agg(
         F.collect_set("place").alias("places")
     )
@@ -175,25 +210,54 @@ def _last_digits(docs: DataFrame, open_runs: DataFrame, window: int) -> DataFram
     joined = packed.join(of_doc, ["doc", "version16"]).select("doc", "version", "text", "places")
 
     def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sorter, unpack = _Sorter(), zstandard.ZstdDecompressor()
+        sorter, unpack = _Sorter(_CORE_KEYS), zstandard.ZstdDecompressor()
         for batch in batches:
             for doc, version, packed, places in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
             ):
                 place = places.values.to_numpy()
-                anchor = place >> 32
-                first, last = anchor - (place >> 8 & 0xFF), anchor - (place & 0xFF)
+                anchor, before, after = place >> 32, place >> 8 & 0xFF, place & 0xFF
                 text = unpack.decompress(packed.as_py())
                 for at, data in segments(text, window):
-                    inside = (first >= at) & (first <= at + len(data) - window)
+                    inside = (anchor - before >= at) & (anchor - before <= at + len(data) - window)
                     if inside.any():
-                        h1, h2, start = windows(data, first[inside] - at, last[inside] - at, window)
-                        yield from sorter.add(
-                            h1, h2, np.full(len(start), doc, np.int64), _place(start + at, version, 0, 0)
+                        core, left, right, found, most, least = _cores(
+                            data, anchor[inside] - at, before[inside], after[inside], window
                         )
+                        owner = np.full(len(core), doc, np.int64)
+                        yield from sorter.add(core, left, right, owner, _place(found + at, version, most, least))
+        yield from sorter.flush()
+
+    return joined.mapInArrow(digits, _schema(_CORE_KEYS))
+
+
+def _last_digits(open_blocks: DataFrame) -> DataFrame:
+    """A row per window of the blocks that go on: two hashes, document and place of the start."""
+
+    def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sorter = _Sorter(_RUN_KEYS)
+        for batch in batches:
+            core, left, right, doc, place = (batch.column(i).to_numpy() for i in range(5))
+            anchor, before, after = place >> 32, place >> 8 & 0xFF, place & 0xFF
+            more = (left >> 59 & 0x1F | (right >> 59 & 0x1F) << 5).astype(np.uint64)
+            for k in range(BLOCK):
+                offset = before // BLOCK * BLOCK + k
+                some = np.flatnonzero((offset >= after) & (offset <= before))
+                if not len(some):
+                    continue
+                own_left = (left[some] & (1 << 8 * k) - 1).astype(np.uint64)
+                own_right = (right[some] & (1 << 8 * (BESIDE - k)) - 1).astype(np.uint64)
+                one = core[some].view(np.uint64) ^ mix(own_left | np.uint64(k << 56))
+                two = mix(own_right | np.uint64(k << 56)) + mix(own_left ^ more[some] << np.uint64(58))
+                start = anchor[some] - offset[some]
+                version = place[some] >> 16 & 0xFFFF
+                yield from sorter.add(
+                    mix(one ^ mix(own_right)), mix(two ^ core[some].view(np.uint64)), doc[some],
+                    start << 32 | version << 16,
+                )
         yield from sorter.flush()
 
-    return joined.mapInArrow(digits, _ROWS)
+    return open_blocks.select(*_CORE_KEYS, "doc", "place").mapInArrow(digits, _schema(_RUN_KEYS))
 
 
 def _version16(place: str):
@@ -202,10 +266,15 @@ def _version16(place: str):
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, place) of runs of windows that start earlier too; written, see ``_place``."""
-    first = written(_groups(_first_digits(docs, window), True), "first-digits")
-    last = _groups(_last_digits(docs, first.filter("place >= 0"), window), False)
-    settled = first.filter("place < 0").unionByName(last)
-    return written(settled.select("doc", (-1 - F.col("place")).alias("place")), "repeated-windows")
+    if window <= max(GRAM, BESIDE):
+        raise ValueError(f"a window has more than {max(GRAM, BESIDE)} bytes")
+    first = written(_groups(_first_digits(docs, window), _RUN_KEYS, True).select("doc", "place"), "first-digits")
+    cores = _second_digits(docs, first.filter("place >= 0"), window)
+    second = written(_groups(cores, _CORE_KEYS, True), "second-digits")
+    last = _groups(_last_digits(second.filter("place >= 0")), _RUN_KEYS, False)
+    settled = first.unionByName(second.select("doc", "place")).filter("place < 0")
+    found = settled.unionByName(last.select("doc", "place"))
+    return written(found.select("doc", (-1 - F.col("place")).alias("place")), "repeated-windows")
 
 
 def _covered(place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,8 +8,8 @@ import numpy as np
 from conftest import SMALL
 
 from __spark_entry__ import queries
-from diamondframe.llm.byte_windows import runs, segments, windows
-from diamondframe.llm.suffix_dedup import remove_repeats
+from diamondframe.llm.byte_windows import runs, segments
+from diamondframe.llm.suffix_dedup import _cores, remove_repeats
 
 from llm.brute import edge_table, key
 
@@ -86,8 +86,20 @@ def test_segments_hold_each_window_once(monkeypatch):
     assert list(segments(b"x" * 99, 100)) == []
 
 
-def test_hashes_of_windows():
-    data = np.frombuffer(b"abcabc" * 60, dtype=np.uint8)
-    one, two, start = windows(data, np.array([0, 5]), np.array([3, 9]), 100)
-    assert start.tolist() == [0, 1, 2, 3, 5, 6, 7, 8, 9]
-    assert one[0] == one[3] == one[5] and one[0] != one[1] and two[0] == two[3]
+def test_a_core_and_its_sides_make_the_window():
+    """Blocks of equal windows have equal cores, and equal bytes on both sides of them."""
+    made = random.Random(6)
+    passage = bytes(made.choices(b"abcdef ", k=220))
+    seen = {}
+    for n in range(4):
+        text = bytes(made.choices(b"abcdef ", k=50 + n)) + passage + bytes(made.choices(b"abcdef ", k=40))
+        data = np.frombuffer(text, dtype=np.uint8)
+        _, _, anchor, first, last = runs(data, 100)
+        core, left, right, found, most, least = _cores(data, anchor, anchor - first, anchor - last, 100)
+        starts = sorted(a - o for a, m, k in zip(found, most, least) for o in range(k, m + 1))
+        assert starts == list(range(len(text) - 99))
+        for c, a, m, k in zip(core, found, most, least):
+            for o in range(k, m + 1):
+                piece = text[a - o : a - o + 100]
+                assert seen.setdefault(piece, int(c)) == int(c)
+        assert left.min() > -(2**63) and len(left) == len(right)
