@@ -8,7 +8,7 @@ from typing import Any
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import Normalizer, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import Normalizer, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.tuning import ParamGridBuilder
@@ -25,14 +25,10 @@ def stratified_folds(
 ) -> DataFrame:
     """Add ``fold``: shuffled within each label, sizes per label differing by at most one.
 
-    One label may hold most of the rows. It is numbered in runs that share the first
-    digits of the shuffling hash, which are even in size whatever the labels are.
+    One label may hold most of the rows; it is numbered in ranges of the shuffling hash.
     """
     shuffled = df.withColumn("_shuffle", key_hash(seed, *[F.col(c) for c in key]))
-    numbered = number_in_order(
-        shuffled, [label], ["_shuffle", *key],
-        {"hash": F.substring("_shuffle", 1, 4)}, "_number",
-    )
+    numbered = number_in_order(shuffled, [label], ["_shuffle", *key], "_number")
     fold = ((F.col("_number") - 1) % k).cast("int")
     return numbered.withColumn("fold", fold).drop("_shuffle", "_number")
 
@@ -47,6 +43,12 @@ def feature_assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=K.FEATURES, outputCol="features", handleInvalid="keep")
 
 
+def _classes(dataset: DataFrame) -> int:
+    """The number of outcomes the label was indexed with, seen in these rows or not."""
+    named = dataset.schema["label"].metadata.get("ml_attr", {}).get("vals")
+    return len(named) if named else int(dataset.agg(F.max("label")).first()[0]) + 1
+
+
 class BoostedOutcomes(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Boosted trees for more than two outcomes.
 
@@ -67,9 +69,10 @@ class BoostedOutcomes(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         self._setDefault(maxDepth=5, stepSize=0.1, maxIter=50, seed=K.FOLD_SEED)
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        classes = int(dataset.agg(F.max("label")).first()[0]) + 1
-        stages: list[Any] = []
-        for code in range(classes):
+        classes = _classes(dataset)
+        present = {int(r["label"]) for r in dataset.select("label").distinct().collect()}
+
+        def boost(code: int):
             booster = GBTClassifier(
                 featuresCol="features", labelCol="_is", predictionCol=f"_pred_{code}",
                 maxDepth=self.getOrDefault("maxDepth"),
@@ -78,14 +81,25 @@ class BoostedOutcomes(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             )
             booster.setRawPredictionCol(f"_raw_{code}").setProbabilityCol(f"_prob_{code}")
             target = (F.col("label") == code).cast("double")
-            stages.append(booster.fit(dataset.select("features", target.alias("_is"))))
-        probabilities = [f"_prob_{code}" for code in range(classes)]
+            return booster.fit(dataset.select("features", target.alias("_is")))
+
+        # An outcome without rows has the probability 0; the others are fitted side by side.
+        with ThreadPool(min(4, max(1, len(present)))) as pool:
+            fitted = dict(zip(sorted(present), pool.map(boost, sorted(present), chunksize=1)))
+        stages: list[Any] = [fitted[code] for code in sorted(fitted)]
+        absent = [code for code in range(classes) if code not in fitted]
+        if absent:
+            zeros = ", ".join(f"0D AS _none_{code}" for code in absent)
+            stages.append(SQLTransformer(statement=f"SELECT *, {zeros} FROM __THIS__"))
+        # A booster has two probabilities, of no and yes.
+        inputs, yes, width = [], [], 0
+        for code in range(classes):
+            inputs.append(f"_none_{code}" if code in absent else f"_prob_{code}")
+            yes.append(width if code in absent else width + 1)
+            width += 1 if code in absent else 2
         stages += [
-            VectorAssembler(inputCols=probabilities, outputCol="_both"),
-            VectorSlicer(
-                inputCol="_both", outputCol="_yes",
-                indices=[2 * code + 1 for code in range(classes)],
-            ),
+            VectorAssembler(inputCols=inputs, outputCol="_both"),
+            VectorSlicer(inputCol="_both", outputCol="_yes", indices=yes),
             Normalizer(inputCol="_yes", outputCol="probability", p=1.0),
         ]
         return PipelineModel(stages)

@@ -1,30 +1,24 @@
 """Row order across a whole table without ever sorting it in one task.
 
-A table is cut into *runs*: stretches of rows that follow each other in the order asked
-for. Window functions work inside a run; a small table with one row per run carries the
-rest from run to run.
-
-* Runs are named by ``coarse`` expressions, such as the game and a block of at-bats. They
-  must rise with the order, and normally keep a run to a few hundred rows.
-* A run of more than ``TARGET_ROWS`` rows, because one game or one missing key holds a
-  large share of the table, is split at sampled keys of the complete order. Only rows of
-  such runs are compared with the cuts. The sample decides the balance, never the result.
-
-The table of runs is written once, so that the rows are reduced to it only once, and its
-sizes are known before the rows are shuffled.
+The rows are dealt into ranges of the complete order, by ``repartitionByRange``, and written
+with the number of their range. Window functions work inside a range; what a range has to know
+of others is carried in a small table with one row per range, or per range and partition.
+
+It is the same at every size. Spark chooses the bounds from a sample and the number of ranges
+from the size of the data, at most the shuffle partitions; the bounds decide the balance, not
+the result. A hot key spreads over ranges by the order columns that follow it, and rows that
+are equal in all of them by a hash of the whole row.
+
+The rows are written with all their columns, so select those that are needed before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from diamondframe.functions.missing import strict_min
 from diamondframe.session import written
 
-TARGET_ROWS = 2_000_000
-MAX_CUTS = 4095
-SAMPLES_PER_CUT = 20
-
 
 def _default(kind: T.DataType) -> Column:
     return F.lit("") if isinstance(kind, T.StringType) else F.lit(0).cast(kind)
@@ -45,159 +39,31 @@ def _without_nulls(df: DataFrame, named: dict[str, Column]) -> dict[str, Column]
     return flat
 
 
-def _order_key(columns: list[Column]) -> Column:
-    """All order columns as one comparable value, missing ones last."""
-    fields = []
-    for i, column in enumerate(columns):
-        fields += [column.isNull().alias(f"m{i}"), column.alias(f"v{i}")]
-    return F.struct(*fields)
-
-
-def _struct_literal(key: Row, fields: list[T.StructField]) -> str:
-    """The key as a SQL constant, so that it is folded into the plan once."""
-    parts = []
-    for value, field in zip(key, fields):
-        quoted = str(value).replace("\\", "\\\\").replace("'", "\\'")
-        text = "null" if value is None else f"'{quoted}'"
-        parts.append(f"'{field.name}', cast({text} as {field.dataType.simpleString()})")
-    return f"named_struct({', '.join(parts)})"
-
-
-def _cut_number(df: DataFrame, key: Column, rows: int, target: int) -> Column:
-    """How many of the cuts, sampled from ``df``, lie at or before a row's key.
-
-    At most ``MAX_CUTS`` cuts are drawn from a sample of a few times as many keys, so
-    what reaches the driver has a fixed bound.
-    """
-    wanted = min(MAX_CUTS, max(1, rows // target))
-    keys = df.select(key.alias("key"))
-    fraction = min(1.0, SAMPLES_PER_CUT * wanted / rows)
-    sample = keys.sample(fraction, seed=17).orderBy("key").collect()
-    step = max(1, len(sample) // (wanted + 1))
-    chosen = [row["key"] for row in sample[step::step]][:MAX_CUTS]
-    if not chosen:
-        return F.lit(0)
-    kinds = keys.schema["key"].dataType.fields
-    constants = ", ".join(_struct_literal(c, kinds) for c in chosen)
-    cuts = F.sort_array(F.expr(f"array({constants})"))
-    halvings = [1 << bit for bit in reversed(range(len(chosen).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(h) for h in halvings]),
-        F.lit(0),
-        lambda low, h: F.when(F.get(cuts, low + h - 1) <= key, low + h).otherwise(low),
-    )
-
-
-def _in_runs(
-    df: DataFrame,
-    partition: list[str],
-    order: list[str],
-    coarse: dict[str, Column],
-    summaries: list[Column],
-    target: int,
-) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
-    """The rows with their run columns, the written table of runs, and the column names.
-
-    The names are those of the partition and those of the run within it, in order.
-    """
-    outer = _without_nulls(df, {f"_part_{p}": F.col(p) for p in partition})
-    inner = _without_nulls(df, {f"_run_{n}": c for n, c in coarse.items()})
-    frame, part, run = df.withColumns({**outer, **inner}), list(outer), list(inner)
-    size = F.count(F.lit(1)).alias("_size")
-    table = written(frame.groupBy(*part, *run).agg(size, *summaries), "runs")
-    rows, largest = table.agg(F.sum("_size"), F.max("_size")).first()
-    # Fewer than MAX_CUTS runs can exceed this limit, which bounds the broadcast below.
-    limit = max(target, (rows or 0) / MAX_CUTS)
-    if not rows or largest <= limit:
-        return frame, table, part, run
-
-    big = table.filter(F.col("_size") > limit)
-    big_rows = big.agg(F.sum("_size")).first()[0]
-    names = F.broadcast(big.select(*part, *run, F.lit(True).alias("_big")))
-    marked = frame.join(names, [*part, *run], "left")
-    key = _order_key([F.col(c) for c in partition + order])
-    cut = _cut_number(marked.filter("_big"), key, big_rows, target)
-    frame = marked.withColumn("_run_cut", F.when(F.col("_big"), cut).otherwise(0))
-    run = [*run, "_run_cut"]
-    split = frame.filter("_big").groupBy(*part, *run).agg(size, *summaries)
-    rest = table.filter(F.col("_size") <= limit).withColumn("_run_cut", F.lit(0))
-    return frame.drop("_big"), written(rest.unionByName(split), "runs"), part, run
-
-
-def _starts_of_next(runs: DataFrame, run: list[str], target: int) -> DataFrame:
-    """For each run, ``_first`` of the run that follows it."""
-    count = runs.count()
-    if count <= target:
-        # The bound has just been checked: one task sorts at most that many short rows.
-        following = F.lead("_first").over(Window.orderBy(*run))
-        return runs.select(*run, following.alias("_next_run"))
-    key = F.struct(*run)
-    cut = runs.withColumn("_range", _cut_number(runs, key, count, target))
-    # One row per range, at most MAX_CUTS + 1.
-    heads = cut.groupBy("_range").agg(F.min_by("_first", key).alias("_head"))
-    beyond = F.lead("_head").over(Window.orderBy("_range"))
-    heads = heads.select("_range", beyond.alias("_beyond"))
-    after = F.lead("_first").over(Window.partitionBy("_range").orderBy(*run))
-    joined = cut.withColumn("_after", after).join(F.broadcast(heads), "_range")
-    return joined.select(*run, F.coalesce("_after", "_beyond").alias("_next_run"))
-
-
-def _offsets(
-    runs: DataFrame, part: list[str], run: list[str], lowest: list[str], target: int
-) -> DataFrame:
-    """Per run, ``_offset``: the rows of its partition before it; and the partition's lows.
-
-    While there are at most ``target`` runs, no window over a partition can exceed that.
-    Beyond it the runs are dealt into ranges, and what goes before a range is summed over
-    the ranges of the partition, at most MAX_CUTS + 1.
-    """
-    def before(keys: list[str], order: list[str], size: str) -> Column:
-        rows = Window.partitionBy(*keys).orderBy(*order)
-        rows = rows.rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(size).over(rows), F.lit(0))
-
-    count, whole = runs.count(), Window.partitionBy(*part)
-    known = {n: F.count(f"_low_{n}").over(whole) == F.count("_size").over(whole) for n in lowest}
-    lows = [F.when(k, F.min(f"_low_{n}").over(whole)).alias(n) for n, k in known.items()]
-    if count <= target:
-        return runs.select(*part, *run, before(part, run, "_size").alias("_offset"), *lows)
-
-    cut = _cut_number(runs, F.struct(*part, *run), count, target)
-    ranged = runs.withColumn("_range", cut)
-    totals = ranged.groupBy(*part, "_range").agg(
-        F.sum("_size").alias("_size"),
-        *[strict_min(F.col(f"_low_{n}")).alias(f"_low_{n}") for n in lowest],
-    )
-    totals = totals.select(
-        *part, "_range", before(part, ["_range"], "_size").alias("_earlier"), *lows
-    )
-    within = before([*part, "_range"], run, "_size").alias("_within")
-    joined = ranged.select(*part, *run, "_range", within).join(totals, [*part, "_range"])
-    offset = (F.col("_within") + F.col("_earlier")).alias("_offset")
-    return joined.select(*part, *run, offset, *lowest)
+def _in_ranges(df: DataFrame, order: list[str]) -> tuple[DataFrame, list[Column]]:
+    """The rows, written with ``_range`` and ``_tie``; and the complete order."""
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+    complete = [*[F.col(c).asc_nulls_last() for c in order], F.col("_tie")]
+    dealt = tied.repartitionByRange(*complete).withColumn("_range", F.spark_partition_id())
+    return written(dealt, "ranges"), complete
 
 
-def lead_in_order(
-    df: DataFrame,
-    order: list[str],
-    values: dict[str, str],
-    coarse: dict[str, Column],
-    target: int = TARGET_ROWS,
-) -> DataFrame:
+def lead_in_order(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
     """Add, as ``values[name] = column``, the column's value in the table's next row.
 
     The order runs over the whole table, missing keys last; the last row gets null.
     """
+    rows, complete = _in_ranges(df, order)
     value = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
-    first = F.min_by(value, _order_key([F.col(c) for c in order])).alias("_first")
-    frame, runs, _, run = _in_runs(df, [], order, coarse, [first], target)
-    sort = [F.col(c).asc_nulls_last() for c in order]
-    ahead = F.lead(value).over(Window.partitionBy(*run).orderBy(*sort))
-    starts = _starts_of_next(runs, run, target)
-    joined = frame.withColumn("_ahead", ahead).join(starts, run)
-    following = F.coalesce("_ahead", "_next_run")
+    inside = Window.partitionBy("_range").orderBy(*complete)
+    key = F.struct(*[f for c in order for f in (F.col(c).isNull(), F.col(c))], "_tie")
+    heads = rows.groupBy("_range").agg(F.min_by(value, key).alias("_head"))
+    # One row per range, at most the number of shuffle partitions.
+    beyond = F.lead("_head").over(Window.orderBy("_range"))
+    heads = heads.select("_range", beyond.alias("_beyond"))
+    joined = rows.withColumn("_ahead", F.lead(value).over(inside)).join(heads, "_range")
+    following = F.coalesce("_ahead", "_beyond")
     return joined.withColumns({n: following[n] for n in values}).drop(
-        *run, "_ahead", "_next_run"
+        "_range", "_tie", "_ahead", "_beyond"
     )
 
 
@@ -205,27 +71,36 @@ def number_in_order(
     df: DataFrame,
     partition: list[str],
     order: list[str],
-    coarse: dict[str, Column],
     name: str,
     lowest: dict[str, str] | None = None,
-    target: int = TARGET_ROWS,
 ) -> DataFrame:
     """Add the row's position, from 1, within its partition: an exact row number.
 
-    A partition may hold any share of the table; its runs are numbered in parallel and
-    shifted by the sizes of the runs before them. ``lowest[name] = column`` also adds the
-    column's minimum over the partition, null if one value is missing: it travels with
-    the sizes and costs no shuffle of its own.
+    A partition may hold any share of the table; the parts of it in each range are numbered
+    in parallel and shifted by the sizes of the parts before them. ``lowest[name] = column``
+    also adds the column's minimum over the partition, null if one value is missing: it
+    travels with the sizes and costs no shuffle of its own.
     """
     lowest = lowest or {}
-    lows = [strict_min(F.col(c)).alias(f"_low_{n}") for n, c in lowest.items()]
-    frame, runs, part, run = _in_runs(df, partition, order, coarse, lows, target)
-    offsets = _offsets(runs, part, run, list(lowest), target)
-    sort = [F.col(c).asc_nulls_last() for c in order]
-    inside = F.row_number().over(Window.partitionBy(*part, *run).orderBy(*sort))
+    rows, complete = _in_ranges(df, [*partition, *order])
+    outer = _without_nulls(rows, {f"_part_{p}": F.col(p) for p in partition})
+    rows, part = rows.withColumns(outer), list(outer)
+    sizes = rows.groupBy(*part, "_range").agg(
+        F.count(F.lit(1)).alias("_size"),
+        *[strict_min(F.col(c)).alias(f"_low_{n}") for n, c in lowest.items()],
+    )
+    # A partition has at most one row here for each range.
+    whole = Window.partitionBy(*part)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    known = {n: F.count(f"_low_{n}").over(whole) == F.count("_size").over(whole) for n in lowest}
+    offsets = sizes.select(
+        *part, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+        *[F.when(k, F.min(f"_low_{n}").over(whole)).alias(n) for n, k in known.items()],
+    )
+    inside = F.row_number().over(Window.partitionBy(*part, "_range").orderBy(*complete))
     return (
-        frame.withColumn("_position", inside)
-        .join(offsets, [*part, *run])
+        rows.withColumn("_position", inside)
+        .join(written(offsets, "offsets"), [*part, "_range"])
         .withColumn(name, F.col("_position") + F.col("_offset"))
-        .drop(*part, *run, "_position", "_offset")
+        .drop(*part, "_range", "_tie", "_position", "_offset")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from diamondframe.functions.labels import kept_outcome, outcome_class, recode_outs
 from diamondframe.functions.missing import strict_max
 from diamondframe.functions.states import bat_team, inning_keys, runner_flag, state_key
+from diamondframe.operators.joins import null_safe_join
 from diamondframe.session import written
 
 
@@ -32,23 +33,34 @@ def relevant_pitches(pitches: DataFrame) -> DataFrame:
     )
 
 
-def inning_runs(pitches: DataFrame) -> DataFrame:
-    """Attach the half-inning's highest score and the runs still to come in it.
+def inning_maxima(pitches: DataFrame) -> DataFrame:
+    """Per half-inning its highest score, reduced before the shuffle.
 
-    The score is the one before each pitch, so runs on the last pitch of an inning do
-    not count. One missing score leaves the whole half-inning without the values.
-
-    Scores are reduced per half-inning before the shuffle, written, and joined back: by
-    broadcast while the table is small. Otherwise both sides are shuffled, and as the
-    table is read from files the adaptive skew join can split an oversized half-inning,
-    which it does not do for the result of an aggregate.
+    The score is the one before each pitch, so runs on the last pitch of an inning do not
+    count. One missing score leaves the whole half-inning without the value.
     """
-    highest = pitches.groupBy("game_inning").agg(
+    return pitches.groupBy("game_inning").agg(
         strict_max(F.col("bat_score")).alias("post_inning_runs")
     )
-    return pitches.join(written(highest, "inning_max"), "game_inning").withColumn(
-        "runs_post_ab", F.col("post_inning_runs") - F.col("bat_score")
-    )
+
+
+def with_inning_maximum(pitches: DataFrame, highest: DataFrame | None = None) -> DataFrame:
+    """Join the written maxima: by broadcast while the table is small.
+
+    Otherwise both sides are shuffled, and as the table is read from files the adaptive skew
+    join can split an oversized half-inning, which it does not do for the result of an
+    aggregate. Without ``highest`` the table is made and written here. A missing half-inning
+    is one like any other.
+    """
+    if highest is None:
+        highest = written(inning_maxima(pitches), "inning_max")
+    return null_safe_join(pitches, highest, ["game_inning"])
+
+
+def inning_runs(pitches: DataFrame, highest: DataFrame | None = None) -> DataFrame:
+    """Attach the half-inning's highest score and the runs still to come in it."""
+    known = with_inning_maximum(pitches.filter(F.col("game_inning").isNotNull()), highest)
+    return known.withColumn("runs_post_ab", F.col("post_inning_runs") - F.col("bat_score"))
 
 
 def labelled_pitches(pitches: DataFrame) -> DataFrame:

@@ -8,39 +8,26 @@ from diamondframe import constants as K
 from diamondframe.functions.missing import complete, strict_max, strict_min
 from diamondframe.functions.transitions import advance_slot
 from diamondframe.operators.ordered import lead_in_order, number_in_order
+from diamondframe.operators.pitches import with_inning_maximum
 
-AT_BAT_BLOCK = 128
 PITCH_ORDER = ["game_pk", "at_bat_number", "pitch_number"]
 
 
-def _at_bat_block():
-    return F.floor(F.col("at_bat_number") / AT_BAT_BLOCK)
-
-
-def run_expectancy(pitches: DataFrame) -> DataFrame:
+def run_expectancy(pitches: DataFrame, highest: DataFrame | None = None) -> DataFrame:
     """Mean runs to the end of the half-inning, and pitches seen, per state.
 
-    Pitches are first reduced to one row per half-inning and state. The window over a
-    half-inning then sees at most one row per state, however many pitches it had, and
-    pitch rows are never shuffled.
+    ``highest`` are the written maxima of ``inning_maxima``, a small part of the pitches. While
+    they can be broadcast, pitches are not shuffled; otherwise once, by half-inning, in a join
+    that can split a hot one. From there they are reduced to one row per state.
     """
-    score = F.col("bat_score")
-    reduced = pitches.groupBy("game_inning", "out_base_count_state").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(score).alias("scored"),
-        F.sum(score).alias("total"),
-        F.max(score).alias("top"),
-    )
-    inning = Window.partitionBy("game_inning")
-    known = F.sum("n").over(inning) == F.sum("scored").over(inning)
-    to_come = F.col("n") * F.max("top").over(inning) - F.col("total")
-    per_state = reduced.select(
-        "out_base_count_state", "n", F.when(known, to_come).alias("to_come")
+    joined = with_inning_maximum(pitches, highest)
+    to_come = joined.select(
+        "out_base_count_state", (F.col("post_inning_runs") - F.col("bat_score")).alias("to_come")
     )
-    mean = F.sum("to_come").cast("double") / F.sum("n").cast("double")
-    return per_state.groupBy("out_base_count_state").agg(
+    mean = F.sum("to_come").cast("double") / F.count(F.lit(1)).cast("double")
+    return to_come.groupBy("out_base_count_state").agg(
         complete(F.col("to_come"), mean).alias("runs_expected"),
-        F.sum("n").alias("occurrences"),
+        F.count(F.lit(1)).alias("occurrences"),
     )
 
 
@@ -69,7 +56,6 @@ def run_values(pitches: DataFrame, expectancy: DataFrame) -> DataFrame:
             "next_out_base_count_state": "out_base_count_state",
             "_next_expected": "runs_expected",
         },
-        {"game": F.col("game_pk"), "block": _at_bat_block()},
     )
     fresh = F.col("next_out_base_count_state") == K.INNING_START
     return led.withColumn(
@@ -97,7 +83,6 @@ def inning_trajectory(pitches: DataFrame, expectancy: DataFrame) -> DataFrame:
         pitches,
         ["game_inning"],
         ["at_bat_number", "pitch_number", "out_base_count_state", "bat_score"],
-        {"block": _at_bat_block()},
         "pitch_index",
         lowest={"start_score": "bat_score"},
     )
@@ -123,7 +108,6 @@ def batting_slots(pitches: DataFrame, size: int = K.LINEUP_SIZE) -> DataFrame:
         at_bats,
         ["game_pk", "inning_topbot"],
         ["at_bat_number"],
-        {"block": _at_bat_block()},
         "ordinal",
     )
     slot = ((F.col("ordinal") - 1) % size).cast("long")

@@ -73,7 +73,12 @@ def run_expectancy(spark, sf_dir):
 
 def run_values(spark, sf_dir):
     relevant = _relevant(spark, sf_dir)
-    return runs.run_values(relevant, _expectancy(relevant)).select(
+    # The order writes the rows, so only what is wanted goes into it.
+    wanted = relevant.select(
+        "event_id", *runs.PITCH_ORDER, "out_base_count_state", "bat_score", "post_bat_score",
+        "batter", "pitcher", "runs_from_event",
+    )
+    return runs.run_values(wanted, _expectancy(relevant)).select(
         "event_id", "game_pk", "at_bat_number", "pitch_number", "out_base_count_state",
         "next_out_base_count_state", "runs_from_event",
         *_round("runs_expected", "next_runs_expected", "delta_re"),
@@ -82,7 +87,11 @@ def run_values(spark, sf_dir):
 
 def inning_trajectory(spark, sf_dir):
     relevant = _relevant(spark, sf_dir)
-    points = runs.inning_trajectory(relevant, _expectancy(relevant))
+    wanted = relevant.select(
+        "game_inning", "at_bat_number", "pitch_number", "out_base_count_state", "bat_score",
+        "post_bat_score",
+    )
+    points = runs.inning_trajectory(wanted, _expectancy(relevant))
     return points.select("game_inning", "pitch_index", "state", *_round("expected_total"))
 
 

@@ -99,6 +99,18 @@ def test_scoring_needs_no_outcome_and_accepts_missing_inputs(spark, features):
     assert set(row.p) == {"ball", "out", "single", "strike"}
 
 
+def test_an_outcome_without_rows_keeps_its_place(spark, features):
+    """The only rows of the last outcome are not among those that are fitted on."""
+    indexer = M.label_indexer().fit(features)
+    rows = M.feature_assembler().transform(indexer.transform(features))
+    for missing in ("strike", "out"):
+        booster = M.outcome_estimator("ovr_gbt", maxIter=2, maxDepth=2)
+        model = booster.fit(rows.filter(F.col("events") != missing).select("features", "label"))
+        probs = model.transform(rows).select(vector_to_array("probability").alias("p")).collect()
+        place = indexer.labels.index(missing)
+        assert all(len(r.p) == 4 and r.p[place] == 0 and sum(r.p) == pytest.approx(1) for r in probs)
+
+
 def test_search_returns_the_model_fitted_without_fold_0(spark, features):
     # One tree on all rows and features: the same model however the rows are partitioned.
     forest = M.outcome_estimator(

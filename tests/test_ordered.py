@@ -33,12 +33,22 @@ def in_order(rows):
     return sorted(rows, key=lambda r: (last_first(r[1]), last_first(r[2]), r[3], r[0]))
 
 
-@pytest.mark.parametrize("target", [10_000, 700, 40])
-def test_lead_over_the_whole_table(spark, target):
-    rows = skewed_rows(target)
+@pytest.fixture(params=[1, 31, 200])
+def ranges(request, spark):
+    """The number of ranges; not to be made fewer."""
+    keys = {"spark.sql.shuffle.partitions": request.param, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_lead_over_the_whole_table(spark, ranges):
+    rows = skewed_rows(ranges)
     df = spark.createDataFrame(rows, SCHEMA).repartition(7)
-    coarse = {"game": F.col("game"), "block": F.floor(F.col("at_bat") / 16)}
-    led = lead_in_order(df, ORDER, {"nxt": "state", "nxt_id": "id"}, coarse, target=target)
+    led = lead_in_order(df, ORDER, {"nxt": "state", "nxt_id": "id"})
     want = in_order(rows)
     following = {a[0]: (b[4], b[0]) for a, b in zip(want, want[1:])}
     following[want[-1][0]] = (None, None)
@@ -48,17 +58,15 @@ def test_lead_over_the_whole_table(spark, target):
 
 def test_lead_carries_a_null_value_of_the_next_row(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (2, 1, "b")], "g long, p long, s string")
-    led = lead_in_order(df, ["g", "p"], {"nxt": "s"}, {"g": F.col("g")})
+    led = lead_in_order(df, ["g", "p"], {"nxt": "s"})
     assert {(r.g, r.p): r.nxt for r in led.collect()} == {(1, 1): None, (1, 2): "b", (2, 1): None}
 
 
-@pytest.mark.parametrize("target", [10_000, 40])
-def test_row_number_within_partitions(spark, target):
+def test_row_number_within_partitions(spark, ranges):
     rows = skewed_rows(9)
     df = spark.createDataFrame(rows, SCHEMA).repartition(7)
     numbered = number_in_order(
-        df, ["game"], ["at_bat", "pitch", "id"],
-        {"block": F.floor(F.col("at_bat") / 16)}, "n", lowest={"low": "id"}, target=target,
+        df, ["game"], ["at_bat", "pitch", "id"], "n", lowest={"low": "id"},
     )
     want, low, seen = {}, {}, {}
     for row in in_order(rows):
@@ -72,27 +80,29 @@ def test_row_number_within_partitions(spark, target):
 
 def test_lowest_is_null_when_a_value_is_missing(spark):
     df = spark.createDataFrame([(1, 1, 5), (1, 2, None), (2, 1, 3)], "g long, p long, v long")
-    numbered = number_in_order(df, ["g"], ["p"], {"p": F.col("p")}, "n", lowest={"low": "v"})
+    numbered = number_in_order(df, ["g"], ["p"], "n", lowest={"low": "v"})
     assert {(r.g, r.low) for r in numbered.collect()} == {(1, None), (2, 3)}
 
 
-def test_cuts_bound_the_largest_run(spark, monkeypatch):
-    rows = [(i, 5, 1, 1, "x") for i in range(4000)] + skewed_rows(1, 2000)
-    df = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], SCHEMA)
-    key = ordered._order_key([F.col(c) for c in ORDER])
-    cut = ordered._cut_number(df, key, df.count(), 300)
-    sizes = [r["count"] for r in df.groupBy(cut.alias("cut")).count().collect()]
-    assert sum(sizes) == 6000 and len(sizes) > 10 and max(sizes) < 1500
+def test_ranges_are_balanced_whatever_the_keys(spark, ranges):
+    """Nine tenths of the rows without a game, and many of them equal in the whole order."""
+    rows = [(i % 50, None, None, 1, "x" + str(i)) for i in range(9000)] + skewed_rows(1, 1000)
+    df = spark.createDataFrame(rows, SCHEMA)
+    dealt, _ = ordered._in_ranges(df, ORDER)
+    sizes = [r["count"] for r in dealt.groupBy("_range").count().collect()]
+    assert sum(sizes) == 10_000 and len(sizes) == ranges
+    assert max(sizes) <= 3 * 10_000 / ranges
+    numbered = number_in_order(df, ["game"], ["at_bat", "pitch", "id"], "n")
+    lone = sorted(r.n for r in numbered.filter("game is null").collect())
+    assert lone == list(range(1, len(lone) + 1))
 
 
 def test_no_window_over_all_rows(spark):
     df = spark.createDataFrame(skewed_rows(2), SCHEMA)
-    led = lead_in_order(
-        df, ORDER, {"nxt": "state"}, {"game": F.col("game")}, target=40
-    )
+    led = lead_in_order(df, ORDER, {"nxt": "state"})
     plan = led._jdf.queryExecution().executedPlan().toString()
+    # Only the table with one row per range is ever in one partition.
     single = [line for line in plan.splitlines() if "SinglePartition" in line]
-    # Only the table with one row per range of runs is ever in one partition.
     assert len(single) == 1
     whole = df.withColumn("nxt", F.lead("state").over(Window.orderBy(*ORDER)))
     assert "SinglePartition" in whole._jdf.queryExecution().executedPlan().toString()
