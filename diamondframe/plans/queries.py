@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from diamondframe import constants as K
+from diamondframe import constants as K, schemas
 from diamondframe.functions.missing import number
 from diamondframe.functions.transitions import apply_event
 from diamondframe.operators import candidates, expected, lookups, model as M, profiles
@@ -17,7 +17,7 @@ from diamondframe.plans.prepare import handoff_tables, hitter_tables, profile_ta
 from diamondframe.plans.recommend import recommend, thrown
 from diamondframe.session import shared_path, written, written_together
 from diamondframe.sources.models import load_model, save_model
-from diamondframe.sources.pitches import pitch_table
+from diamondframe.sources.pitches import pitch_table, read_pitches
 from diamondframe.sources.tables import read_table, write_tables
 
 TYPE = "pitch_type_condensed"
@@ -359,6 +359,23 @@ def table_round_trip(spark, sf_dir):
     )
 
 
+def csv_pitches(spark, sf_dir):
+    """The pitches written as files of two headers, one with whole numbers as 7.0, and read back."""
+    table, folder = pitch_table(spark, sf_dir), shared_path(spark, "csv_pitches")
+    names, odd = schemas.PITCHES.names, F.col("event_id") % 2 == 1
+    whole = [f.name for f in schemas.PITCHES if f.dataType.typeName() == "long"]
+    half = table.filter(odd).withColumns({c: F.concat(F.col(c).cast("string"), F.lit(".0")) for c in whole})
+    table.filter(~odd).select(*names).write.csv(f"{folder}/a", header=True, nullValue="NA")
+    half.select(*reversed(names)).write.csv(f"{folder}/b", header=True, nullValue="NA")
+    back = read_pitches(spark, [f"{folder}/a", f"{folder}/b"])
+    keys = ["game_pk", "inning", "inning_topbot", "pitch_type_condensed", "description"]
+    return back.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("pitches"), F.count("events").alias("with_event"),
+        *[F.sum(c).alias(f"sum_{c}") for c in whole if c not in keys],
+        *[F.min(c).alias(f"min_{c}") for c in names if c not in whole and c not in keys],
+    )
+
+
 def _small_forest():
     return M.outcome_estimator("rf", numTrees=10, maxDepth=5)
 
@@ -449,6 +466,7 @@ def all_queries() -> dict[str, Query]:
         "outcome_draws": outcome_draws,
         "stratified_folds": stratified_folds,
         "table_round_trip": table_round_trip,
+        "csv_pitches": csv_pitches,
         "cv_results": cv_results,
         "outcome_scores": outcome_scores,
         "recommend": recommend_query,

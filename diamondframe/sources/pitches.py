@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from diamondframe import constants as K, schemas
 from diamondframe.session import shared_path
 
+#: Files whose first line is read at the same time.
+HEADERS_AT_ONCE = 8
 DERIVED_SQL = (Path(__file__).parent / "pitches_from_events.sql").read_text()
 
 
@@ -18,33 +22,55 @@ def null_sentinel(df: DataFrame, token: str = K.NULL_TOKEN) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c), F.lit(token)) for c in text})
 
 
-def read_pitches(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_pitches(spark: SparkSession, path: str | list[str], fmt: str = "csv") -> DataFrame:
     """A pitch table with the explicit schema; ``NA`` and ``NULL`` are missing values.
 
-    A CSV file may hold more columns, in any order: columns are found by name.
+    A CSV file may hold more columns, in any order, and each file its own: columns are found
+    by name, and a file without one of them is refused. Whole numbers may be written as
+    ``7.0``. Text that is no such number is an error that names column and value.
     """
-    if fmt == "csv":
-        names = spark.read.csv(path, header=True, enforceSchema=False).columns
-        every = T.StructType([
-            schemas.PITCHES[n] if n in schemas.PITCHES.names else T.StructField(n, T.StringType())
-            for n in names
-        ])
-        raw = spark.read.schema(every).csv(path, header=True, nullValue="NA", mode="PERMISSIVE")
-    else:
+    if fmt != "csv":
         raw = spark.read.format(fmt).load(path)
-    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.PITCHES]
-    return null_sentinel(raw.select(*typed))
+        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.PITCHES]
+        return null_sentinel(raw.select(*typed))
+    files = spark.read.format("text").load(path).inputFiles()
+    with ThreadPool(HEADERS_AT_ONCE) as pool:
+        headers = pool.map(lambda f: tuple(spark.read.csv(f, header=True).columns), files)
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for file, names in zip(files, headers):
+        missing = set(schemas.PITCHES.names) - set(names)
+        if missing:
+            raise ValueError(f"{file}: no column {', '.join(sorted(missing))}")
+        alike.setdefault(names, []).append(file)
+    tables = [
+        null_sentinel(_csv(spark, paths, names)).select(*map(_typed, schemas.PITCHES))
+        for names, paths in alike.items()
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _csv(spark: SparkSession, files: list[str], names: tuple[str, ...]) -> DataFrame:
+    """Files of one header, everything as text."""
+    every = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    reader = spark.read.schema(every).option("enforceSchema", False)
+    return reader.csv(files, header=True, nullValue="NA")
+
+
+def _typed(field: T.StructField) -> Column:
+    text = F.trim(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return F.col(field.name)
+    value = F.expr(f"try_cast(trim(`{field.name}`) as decimal(38, 6))")
+    readable = value.isNotNull() & (value == F.floor(value))
+    error = F.raise_error(F.concat(F.lit(f"{field.name}: not a whole number: "), text))
+    return (
+        F.when(text.isNull(), None).when(readable, value.cast(field.dataType)).otherwise(error)
+    ).cast(field.dataType).alias(field.name)
 
 
 def pitches_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pitch table derived by fixed arithmetic from the ``events`` table.
-
-    An input of fewer files than cores is first dealt out in as many ranges.
-    """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events, cores = events.select("event_id", "user_id", "value"), spark.sparkContext.defaultParallelism
-    if len(events.inputFiles()) < cores:
-        events = events.repartitionByRange(cores, "event_id")
+    """The pitch table derived by fixed arithmetic from the ``events`` table."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value")
     text = DERIVED_SQL.replace("FROM events", "FROM {events}")
     return null_sentinel(spark.sql(text, events=events))
 

@@ -8,6 +8,12 @@ _PITCHES = (
     Path(__file__).resolve().parent / "diamondframe/sources/pitches_from_events.sql"
 ).read_text()
 
+_CSV_NUMBERS = """at_bat_number pitch_number outs_when_up balls strikes bat_score post_bat_score
+    pitcher batter""".split()
+_CSV_TEXTS = """home_team away_team on_1b on_2b on_3b events p_throws stand release_speed
+    release_pos_x release_pos_y release_pos_z pfx_x pfx_z plate_x plate_z sz_bot sz_top zone
+    launch_speed launch_angle""".split()
+
 # Common table expressions, in the order they depend on each other.
 _CTES: dict[str, str] = {
     "pitches": _PITCHES,
@@ -517,6 +523,13 @@ _SELECTS: dict[str, str] = {
                (ROW_NUMBER() OVER (PARTITION BY label
                     ORDER BY MD5('42:' || event_id), event_id) - 1) % 5 AS fold
         FROM labelled WHERE label IS NOT NULL""",
+    "csv_pitches": f"""
+        SELECT game_pk, inning, inning_topbot,
+               NULLIF(pitch_type_condensed, 'NULL') AS pitch_type_condensed, description,
+               COUNT(*) AS pitches, COUNT(NULLIF(events, 'NULL')) AS with_event,
+               {", ".join(f"CAST(SUM({c}) AS BIGINT) AS sum_{c}" for c in _CSV_NUMBERS)},
+               {", ".join(f"MIN(NULLIF({c}, 'NULL')) AS min_{c}" for c in _CSV_TEXTS)}
+        FROM pitches GROUP BY ALL""",
     "table_round_trip": """
         SELECT state AS out_base_count_state, ROUND(runs_expected, 6) AS runs_expected,
                ROUND(runs_expected, 6) AS parquet_runs_expected, occurrences

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from diamondframe import schemas
 from diamondframe.operators.pitches import relevant_pitches
 from diamondframe.plans.prepare import handoff_tables
@@ -30,6 +32,34 @@ def test_pitches_from_text(spark, tmp_path):
     assert relevant_pitches(got).count() == 2
 
 
+def _write(folder, name, columns, rows):
+    lines = [",".join(columns)] + [",".join("" if r.get(c) is None else str(r[c]) for c in columns) for r in rows]
+    (folder / name).write_text("\n".join(lines) + "\n")
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    names = schemas.PITCHES.names
+    _write(tmp_path, "a.csv", names, [{**PLAIN, "game_pk": 1}])
+    _write(tmp_path, "b.csv", ["more", *reversed(names)], [{**PLAIN, "game_pk": "2.0", "more": "x", "batter": " 7.0 "}])
+    got = {r.game_pk: r for r in read_pitches(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2} and got[2].batter == 7
+    assert got[1].inning == got[2].inning and got[1].home_team == got[2].home_team
+    assert relevant_pitches(read_pitches(spark, str(tmp_path))).count() == 2
+
+
+@pytest.mark.parametrize("value", ["seven", "7.5", "1e3x"])
+def test_unreadable_numbers_are_an_error(spark, tmp_path, value):
+    _write(tmp_path, "a.csv", schemas.PITCHES.names, [{**PLAIN, "inning": value}])
+    with pytest.raises(Exception, match="inning: not a whole number"):
+        read_pitches(spark, str(tmp_path)).collect()
+
+
+def test_a_file_without_a_column_is_refused(spark, tmp_path):
+    _write(tmp_path, "a.csv", schemas.PITCHES.names[1:], [PLAIN])
+    with pytest.raises(ValueError, match="no column game_pk"):
+        read_pitches(spark, str(tmp_path))
+
+
 def test_pitches_from_parquet(spark):
     path = shared_path(spark, "pitches_test")
     pitches(spark, dict(on_3b="NULL")).write.parquet(path)
