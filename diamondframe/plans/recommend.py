@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from diamondframe.functions.labels import side_flags
 from diamondframe.functions.transitions import apply_event
 from diamondframe.operators import candidates, expected, model as M
+from diamondframe.operators.joins import null_safe_join
 from diamondframe.plans.prepare import scoring_tables
 
 
@@ -45,11 +46,30 @@ def recommend(
     include_event_runs: bool = False,
     right_only: bool = False,
 ) -> DataFrame:
-    """``request_id``, pitch type, target and expected runs of the best candidate."""
+    """``request_id``, pitch type, target and expected runs of the best candidate.
+
+    Every request has a row. One without a choice has nulls and a ``reason``: its pitcher has
+    no arsenal, or no candidate has a value.
+    """
+    tables = scoring_tables(tables)
     scored = scored_candidates(
         requests, model, tables, seed, include_event_runs, right_only
     )
-    return expected.best_pitch(scored)
+    return answered(
+        requests, expected.best_pitch(scored), tables, "expected_runs", "no candidate has a value"
+    )
+
+
+def answered(
+    requests: DataFrame, found: DataFrame, tables: dict[str, DataFrame], answer: str, otherwise: str
+) -> DataFrame:
+    """A row per request: the one found, or nulls with a ``reason``."""
+    known = tables["arsenals"].select("pitcher", F.lit(True).alias("_known")).distinct()
+    asked = null_safe_join(requests.select("request_id", "pitcher"), known, ["pitcher"], "left")
+    joined = null_safe_join(asked, found, ["request_id"], "left")
+    why = F.when(F.col("_known").isNull(), "the pitcher has no arsenal").otherwise(otherwise)
+    reason = F.when(F.col(answer).isNull(), why)
+    return joined.withColumn("reason", reason).select(*found.columns, "reason")
 
 
 def thrown(
@@ -63,8 +83,8 @@ def thrown(
 
     ``choices`` are requests with ``pitch_type_condensed, plate_x, plate_z``, picked by
     ``recommend`` or by hand. The pitch misses its target, an outcome is drawn from the
-    model's probabilities and the state moves on. A type the pitcher does not throw
-    drops out.
+    model's probabilities and the state moves on. Every request has a row; where the pitcher
+    has no arsenal or does not throw the type, it has nulls and a ``reason``.
     """
     labels = M.model_labels(model)
     tables = scoring_tables(tables)
@@ -81,7 +101,8 @@ def thrown(
     )
     drawn = candidates.draw_outcome(M.score(rows, model), labels, seed)
     after = apply_event(drawn, "drawn_event")
-    return after.select(
+    found = after.select(
         "request_id", candidates.TYPE, *target, "state", "drawn_event",
         "next_state", "next_outs", "runs_scored", "at_bat_over",
     )
+    return answered(choices, found, tables, "state", "the pitcher does not throw the type")

@@ -8,6 +8,8 @@ from __spark_entry__ import entry
 from compare import compare, duckdb_over
 from conftest import SF, SMALL
 from diamondframe.plans.queries import all_queries as queries
+from diamondframe.operators.pitches import relevant_pitches
+from diamondframe.sources.pitches import pitch_table
 from oracles import ORACLES
 
 FITTED = {"cv_results", "outcome_scores", "recommend", "thrown_pitches"}
@@ -42,13 +44,17 @@ def test_smallest_data_runs(spark, name):
 def test_recommendation_per_request(spark):
     got = queries()["recommend"](spark, SF)
     rows = got.collect()
-    assert len({r.request_id for r in rows}) == len(rows) > 6000
-    assert all(0 <= r.expected_runs < 20 for r in rows)
+    assert len({r.request_id for r in rows}) == len(rows) == relevant_pitches(pitch_table(spark, SF)).count()
+    assert all(0 <= r.expected_runs < 20 for r in rows if r.reason is None)
+    assert all((r.expected_runs is None) == (r.reason is not None) for r in rows)
+    assert sum(r.reason is None for r in rows) > 6000
 
 
 def test_thrown_pitches_move_the_state(spark):
     got = queries()["thrown_pitches"](spark, SF)
-    assert got.filter("drawn_event is null or next_state is null").count() == 0
+    assert got.count() == relevant_pitches(pitch_table(spark, SF)).count()
+    assert got.filter("reason is null and (drawn_event is null or next_state is null)").count() == 0
+    assert got.filter("reason is not null and state is not null").count() == 0
     assert got.filter("state <> next_state").count() > 0
 
 
