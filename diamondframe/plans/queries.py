@@ -18,7 +18,7 @@ from diamondframe.plans.recommend import recommend, thrown
 from diamondframe.session import shared_path, written, written_together
 from diamondframe.sources.models import load_model, save_model
 from diamondframe.sources.pitches import pitch_table, read_pitches
-from diamondframe.sources.tables import read_table, write_tables
+from diamondframe.sources.tables import read_table, read_training, write_tables
 
 TYPE = "pitch_type_condensed"
 LABELS = sorted(K.KEPT_EVENTS)
@@ -359,6 +359,43 @@ def table_round_trip(spark, sf_dir):
     )
 
 
+_HANDED_OVER: dict[tuple[str, str], str] = {}
+
+
+def _handed_over(spark, sf_dir) -> str:
+    """The folder of the handoff tables as CSV, written once per application and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _HANDED_OVER:
+        folder = shared_path(spark, "handoff")
+        write_tables(handoff_tables(pitch_table(spark, sf_dir)), folder, "csv")
+        _HANDED_OVER[key] = folder
+    return _HANDED_OVER[key]
+
+
+def hitters_read_back(spark, sf_dir):
+    table = read_table(spark, _handed_over(spark, sf_dir), "ind_hitter_sum", "csv")
+    return table.select(*profiles.HITTER_KEYS, *_round(*K.HITTER_STATS))
+
+
+def generic_hitters_read_back(spark, sf_dir):
+    table = read_table(spark, _handed_over(spark, sf_dir), "generic_hitter_sum", "csv")
+    return table.select(*profiles.GENERIC_KEYS, *_round(*K.HITTER_STATS))
+
+
+def pitchers_read_back(spark, sf_dir):
+    table = read_table(spark, _handed_over(spark, sf_dir), "ind_pitcher_sum", "csv")
+    return table.select(
+        "pitcher", TYPE, "p_throws", "pitches", "totalPitches",
+        *_round("usagePCT", *profiles.movement_columns()),
+    )
+
+
+def training_read_back(spark, sf_dir):
+    """The rows of the training file that lack no required value."""
+    table = read_training(spark, _handed_over(spark, sf_dir), "csv")
+    return table.select(*training.PITCH_COLUMNS, *_round(*training.FALLBACK_STATS))
+
+
 def csv_pitches(spark, sf_dir):
     """The pitches written as files of two headers, one with whole numbers as 7.0, and read back."""
     table, folder = pitch_table(spark, sf_dir), shared_path(spark, "csv_pitches")
@@ -430,6 +467,67 @@ def thrown_pitches(spark, sf_dir):
     return thrown(choices, model, tables, SEED)
 
 
+def _count_tree(**params):
+    """One whole tree on all rows: with the inputs below, its leaves are the twelve counts."""
+    return M.outcome_estimator(
+        "rf", numTrees=1, bootstrap=False, featureSubsetStrategy="all", **params
+    )
+
+
+def _count_features(complete: DataFrame) -> DataFrame:
+    """Model inputs of which only balls and strikes differ from row to row."""
+    fixed = [c for c in K.FEATURES if c not in ("balls", "strikes")]
+    rows = training.feature_columns(complete).withColumns({c: F.lit(0.0) for c in fixed})
+    return written(rows, "count_features")
+
+
+def _planted(rows: DataFrame) -> DataFrame:
+    """The outcome that a count stands for in place of the recorded one, so that the leaves of
+    the tree are pure and SQL can say what the model must answer."""
+    number = (F.col("balls") * 3 + F.col("strikes")) % len(LABELS)
+    return rows.withColumn("events", F.get(F.array(*map(F.lit, LABELS)), number.cast("int")))
+
+
+def tree_scores(spark, sf_dir):
+    """Probabilities of every outcome by a saved and reloaded tree, fitted on planted outcomes."""
+    complete = training.complete_rows(_training(spark, sf_dir), training.REQUIRED)
+    rows = _planted(_count_features(complete))
+    path = shared_path(spark, "tree")
+    save_model(M.fit_outcomes(rows, _count_tree(maxDepth=12)), path)
+    model = load_model(path)
+    probs = M.probability_map(M.model_labels(model))
+    named = [F.coalesce(F.try_element_at(probs, F.lit(x)), F.lit(0.0)).alias(f"p_{x}") for x in LABELS]
+    scored = M.score(rows, model).select("event_id", *named)
+    return scored.select("event_id", *_round(*[f"p_{x}" for x in LABELS]))
+
+
+def tree_cv(spark, sf_dir):
+    """Five folds for two depths, both enough for the whole tree; the first of equals is best."""
+    complete = training.complete_rows(_training(spark, sf_dir), training.REQUIRED)
+    tree = _count_tree()
+    grid = [{tree.maxDepth: 10}, {tree.maxDepth: 12}]
+    _, results = M.select_model(_count_features(complete), tree, grid, key=["event_id"])
+    means = M.mean_accuracy(results)
+    best = M.best_parameters(means).select("param_idx", F.lit(True).alias("best"))
+    return means.join(best, "param_idx", "left").select(
+        "param_idx", "params", *_round("average_test_accuracy"),
+        F.coalesce("best", F.lit(False)).alias("best"),
+    )
+
+
+def tree_recommend(spark, sf_dir):
+    """The choice for every recorded situation with a model of outcomes planted by count."""
+    pitches = pitch_table(spark, sf_dir)
+    tables = handoff_tables(pitches)
+    complete = training.complete_rows(tables["model_data"], training.REQUIRED)
+    model = M.fit_outcomes(_planted(_count_features(complete)), _count_tree(maxDepth=12))
+    requests = candidates.requests_from_pitches(relevant_pitches(pitches), "event_id")
+    return recommend(requests, model, tables, SEED).select(
+        "request_id", TYPE, *_long("x_idx", "z_idx"),
+        *_round("plate_x", "plate_z", "expected_runs"), "reason",
+    )
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "pitch_states": pitch_states,
@@ -467,6 +565,13 @@ def all_queries() -> dict[str, Query]:
         "stratified_folds": stratified_folds,
         "table_round_trip": table_round_trip,
         "csv_pitches": csv_pitches,
+        "hitters_read_back": hitters_read_back,
+        "generic_hitters_read_back": generic_hitters_read_back,
+        "pitchers_read_back": pitchers_read_back,
+        "training_read_back": training_read_back,
+        "tree_scores": tree_scores,
+        "tree_cv": tree_cv,
+        "tree_recommend": tree_recommend,
         "cv_results": cv_results,
         "outcome_scores": outcome_scores,
         "recommend": recommend_query,

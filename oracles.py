@@ -285,8 +285,50 @@ _CTES: dict[str, str] = {
                 PARTITION BY request_id
                 ORDER BY ROUND(expected_runs, 9), pitch_type_condensed, x_idx, z_idx) AS n
             FROM valued WHERE expected_runs IS NOT NULL) WHERE n = 1""",
+    # Outcomes planted by count, and what a whole tree answers that has learned them.
+    "count_values": """
+        SELECT v.state, CASE WHEN COUNT(v.value) = 10 THEN
+                   MAX(v.value) FILTER (l.code = (t.balls * 3 + t.strikes) % 10)
+               END AS expected_runs
+        FROM next_values v
+        JOIN situations t ON t.state = v.state
+        JOIN labels l ON l.label = v.label
+        GROUP BY v.state""",
+    "folded": """
+        SELECT balls, strikes, label,
+               (ROW_NUMBER() OVER (PARTITION BY label
+                    ORDER BY MD5('42:' || event_id), event_id) - 1) % 5 AS fold
+        FROM complete""",
+    "fold_guesses": """
+        SELECT * FROM (
+            SELECT f.k AS fold, r.balls, r.strikes, r.label,
+                   ROW_NUMBER() OVER (PARTITION BY f.k, r.balls, r.strikes
+                                      ORDER BY COUNT(*) DESC, r.label) AS n
+            FROM folded r JOIN (VALUES (0), (1), (2), (3), (4)) f(k) ON r.fold <> f.k
+            GROUP BY f.k, r.balls, r.strikes, r.label) WHERE n = 1""",
+    "fold_accuracy": """
+        SELECT r.fold, AVG(CASE WHEN r.label = g.label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+                           AS accuracy
+        FROM folded r
+        JOIN fold_guesses g ON g.fold = r.fold AND g.balls = r.balls AND g.strikes = r.strikes
+        GROUP BY r.fold""",
+    "first_types": """
+        SELECT request_id, MIN(pitch_type_condensed) AS pitch_type_condensed
+        FROM request_types GROUP BY request_id""",
+    "first_targets": """
+        SELECT g.request_id, g.state, g.pitch_type_condensed, g.x_idx, g.z_idx, g.plate_x,
+               g.plate_z
+        FROM grid g
+        JOIN first_types t ON t.request_id = g.request_id
+         AND t.pitch_type_condensed = g.pitch_type_condensed
+        WHERE g.x_idx = 0 AND g.z_idx = 0""",
+    "tree_choices": """
+        SELECT f.*, v.expected_runs FROM first_targets f
+        JOIN count_values v ON v.state = f.state WHERE v.expected_runs IS NOT NULL""",
 }
 
+_OUTCOMES = """ball double foul hit_by_pitch home_run out single strike triple walk""".split()
+
 
 def _rounded(*names: str) -> str:
     return ", ".join(f"ROUND({n}, 6) AS {n}" for n in names)
@@ -536,4 +578,35 @@ _SELECTS: dict[str, str] = {
         FROM re""",
 }
 
+_SELECTS |= {
+    "tree_scores": f"""
+        SELECT event_id, {", ".join(
+            f"CASE WHEN (balls * 3 + strikes) % 10 = {n} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+            f" AS p_{x}" for n, x in enumerate(_OUTCOMES))}
+        FROM complete""",
+    "tree_cv": """
+        SELECT CAST(p.i AS INTEGER) AS param_idx, p.params,
+               ROUND(a.mean, 6) AS average_test_accuracy, p.i = 0 AS best
+        FROM (SELECT AVG(accuracy) AS mean FROM fold_accuracy) a
+        JOIN (VALUES (0, 'maxDepth=10'), (1, 'maxDepth=12')) p(i, params) ON TRUE""",
+    "tree_recommend": f"""
+        SELECT s.event_id AS request_id, c.pitch_type_condensed,
+               CAST(c.x_idx AS BIGINT) AS x_idx, CAST(c.z_idx AS BIGINT) AS z_idx,
+               {_rounded("c.plate_x", "c.plate_z", "c.expected_runs").replace("AS c.", "AS ")},
+               CASE WHEN c.request_id IS NOT NULL THEN NULL
+                    WHEN s.pitcher IN (SELECT pitcher FROM arsenal)
+                    THEN 'no candidate has a value'
+                    ELSE 'the pitcher has no arsenal' END AS reason
+        FROM states s LEFT JOIN tree_choices c ON c.request_id = s.event_id""",
+}
+# Tables that went through files; they hold what the queries of their making hold.
+_SELECTS |= {
+    "hitters_read_back": _SELECTS["hitter_profiles"],
+    "generic_hitters_read_back": _SELECTS["generic_hitter_profiles"],
+    "pitchers_read_back": _SELECTS["pitcher_profiles"],
+    "training_read_back": f"""
+        SELECT {_TRAINING.removeprefix("event_id, ")}, {_rounded(*_METRICS, *_SHARED)}
+        FROM complete""",
+}
+
 ORACLES: dict[str, str] = {name: _query(select) for name, select in _SELECTS.items()}
