@@ -9,8 +9,8 @@ survive are verified on the whole sets.
 One tree over everything would send every set to nearly all of its pages. So sets are first
 brought into clusters that no link leaves: sets that link share a key (``shingles.shared_keys``,
 exact by a pigeonhole argument), and a cluster is a component of the sets with a common key.
-A cluster is dealt over leaves of at most about ``LEAF_SETS`` sets; every two leaves of a
-cluster meet in a task, which holds their two trees. Equal sets are one all along. A task hands
+A cluster is dealt over leaves of at most about ``LEAF_SETS`` sets of one band of sizes; every
+two leaves that may hold linked sets meet in a task, which holds their two trees. Equal sets are one all along. A task hands
 on a row per set, with the smallest one it reaches there and the number of its links, never its
 pairs.
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diamondframe.llm.common import id_key, id_value, read_table, text_value
 from diamondframe.llm.components import components
@@ -45,33 +45,45 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(id_key().alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
-def _described(keyed: DataFrame, width: int, percent: int) -> DataFrame:
-    """A row per text: size of its set, two hashes of it, and its keys."""
+def _described(keyed: DataFrame, width: int) -> DataFrame:
+    """A row per text: size of its set and two hashes of it."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, one, two, keys = [], [], [], []
-            for text in batch.column(2).cast(pa.binary()):
-                hashes = shingle_set(text.as_py(), width)
-                n.append(len(hashes))
-                a, b = digest(hashes)
-                one.append(a)
-                two.append(b)
-                keys.append(shared_keys(hashes, percent))
-            starts = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(2).cast(pa.binary())]
+            found = [(len(s), *digest(s)) for s in sets]
+            columns = zip(*found) if found else [[]] * 3
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(one, pa.int64()),
-                 pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))],
-                ["doc", "version", "n", "d1", "d2", "keys"],
+                [*batch.columns[:2], *[pa.array(c, pa.int64()) for c in columns]],
+                ["doc", "version", "n", "d1", "d2"],
             )
 
-    return keyed.mapInArrow(
-        describe, "doc long, version long, n long, d1 long, d2 long, keys array<long>"
-    )
+    return keyed.mapInArrow(describe, "doc long, version long, n long, d1 long, d2 long")
+
+
+def _keys(keyed: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, doc): the keys of every text. They go into a shuffle and are not written before."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(0).to_numpy()
+            found = [
+                shared_keys(shingle_set(t.as_py(), width), percent)
+                for t in batch.column(2).cast(pa.binary())
+            ]
+            if not found:
+                continue
+            owner = np.repeat(docs, [len(k) for k in found])
+            flat = np.concatenate(found)
+            for at in range(0, len(flat), ROWS_OUT):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat[at : at + ROWS_OUT]), pa.array(owner[at : at + ROWS_OUT])], ["key", "doc"]
+                )
+
+    return keyed.mapInArrow(keys, "key long, doc long")
 
 
-def _sharing(described: DataFrame) -> DataFrame:
+def _sharing(keys: DataFrame) -> DataFrame:
     """Edges (a, b) from each document to the smallest one that has a key in common with it."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,31 +100,61 @@ def _sharing(described: DataFrame) -> DataFrame:
             pairs = np.unique(pairs, axis=1) if pairs.shape[1] else pairs
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    rows = described.select(F.explode("keys").alias("key"), "doc")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "doc")
+    dealt = keys.repartition("key").sortWithinPartitions("key", "doc")
     return dealt.mapInArrow(read, "a long, b long").distinct()
 
 
-def _members(described: DataFrame) -> DataFrame:
-    """A row per distinct set of a cluster with several: where its text is, copies and leaf."""
-    of_cluster = components(_sharing(described)).select(
+def _members(described: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """A row per distinct set and meeting of two leaves that it takes part in.
+
+    A leaf holds sets of one cluster and one band of sizes. Sets that link are in the same
+    band or in neighbouring ones, so these leaves meet and no others.
+    """
+    of_cluster = components(_sharing(keys)).select(
         F.col("node").alias("doc"), F.col("component").alias("cluster")
     )
-    sets = described.filter("n > 0").select("doc", "version", "n", "d1", "d2").distinct()
+    sets = described.filter("n > 0").distinct()
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     distinct = written(
         sets.join(of_cluster, "doc").groupBy("cluster", "d1", "d2").agg(
             F.min(F.struct("doc", "version")).alias("first"), F.first("n").alias("n"),
             F.count_distinct("doc").alias("copies"),
-        ).select("cluster", "first.doc", "first.version", "n", "copies"),
+        ).select("cluster", "first.doc", "first.version", "n", "copies", band.alias("band")),
         "cluster-sets",
     )
     leaves = F.ceil(F.greatest(F.count("*") / LEAF_SETS, F.sum("n") / LEAF_SHINGLES)).cast("int")
-    sizes = distinct.groupBy("cluster").agg(F.count("*").alias("sets"), leaves.alias("leaves"))
-    several = written(sizes.filter("sets > 1").select("cluster", "leaves"), "clusters")
-    return distinct.join(several, "cluster").select(
-        "doc", "version", "cluster", "copies", "leaves",
-        F.pmod(F.xxhash64("doc", "version"), "leaves").cast("int").alias("leaf"),
+    sizes = distinct.groupBy("cluster", "band").agg(F.count("*").alias("sets"), leaves.alias("leaves"))
+    # A cluster has a row per band here.
+    bands = Window.partitionBy("cluster").orderBy("band")
+
+    def neighbour(column, step: int):
+        return F.when(column("band").over(bands) == F.col("band") + step, column("leaves").over(bands))
+
+    met = written(
+        sizes.select(
+            "cluster", "band", "sets", "leaves",
+            F.coalesce(neighbour(F.lag, -1), F.lit(0)).alias("below"),
+            F.coalesce(neighbour(F.lead, 1), F.lit(0)).alias("above"),
+        ).filter("sets > 1 or below > 0 or above > 0"),
+        "bands",
+    )
+    leaf, own = F.pmod(F.xxhash64("doc", "version"), "leaves").cast("int"), F.col("band")
+
+    def meetings(count: Column, made) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), count), lambda o: o < count), made)
+
+    def meeting(low, left, high, right) -> Column:
+        parts = zip(("low", "left", "high", "right"), (low, left, high, right))
+        return F.struct(*[c.cast("int").alias(n) for n, c in parts])
+
+    inside = F.when(F.col("sets") > 1, F.col("leaves")).otherwise(0)
+    every = F.concat(
+        meetings(inside, lambda o: meeting(own, F.least("leaf", o), own, F.greatest("leaf", o))),
+        meetings(F.col("above"), lambda o: meeting(own, F.col("leaf"), own + 1, o)),
+        meetings(F.col("below"), lambda o: meeting(own - 1, o, own, F.col("leaf"))),
     )
+    placed = distinct.join(met, ["cluster", "band"]).withColumn("leaf", leaf)
+    return placed.select("doc", "version", "copies", "cluster", "band", "leaf", every.alias("meetings"))
 
 
 def _pack(keyed: DataFrame) -> DataFrame:
@@ -130,16 +172,16 @@ def _pack(keyed: DataFrame) -> DataFrame:
 def _linked(keyed: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc, version, root, n_links): what each set reaches in a task, and its links there."""
     placed = _pack(keyed).join(members, ["doc", "version"])
-    other = F.explode(F.sequence(F.lit(0), F.col("leaves") - 1))
-    met = placed.withColumn("other", other).select(
-        "cluster", F.least("leaf", "other").alias("left"), F.greatest("leaf", "other").alias("right"),
-        "leaf", "doc", "version", "copies", "packed",
+    group = ["cluster", "low", "left", "high", "right"]
+    met = placed.withColumn("meeting", F.explode("meetings")).select(
+        "cluster", "meeting.*",
+        ((F.col("band") == F.col("meeting.low")) & (F.col("leaf") == F.col("meeting.left"))).alias("is_left"),
+        "doc", "version", "copies", "packed",
     )
-    group = ["cluster", "left", "right"]
 
-    def solve(rows: dict[tuple[int, int], tuple[int, int, bytes]], unpack) -> list[tuple]:
+    def solve(rows: dict[tuple[int, int], tuple[bool, int, bytes]], unpack) -> list[tuple]:
         ids = list(rows)
-        sides: dict[int, list[int]] = {}
+        sides: dict[bool, list[int]] = {}
         for i, key in enumerate(ids):
             sides.setdefault(rows[key][0], []).append(i)
         sets = [shingle_set(unpack.decompress(rows[key][2]), width) for key in ids]
@@ -163,7 +205,7 @@ def _linked(keyed: DataFrame, members: DataFrame, width: int, percent: int) -> D
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        held: dict[tuple[int, int], tuple[int, int, bytes]] = {}
+        held: dict[tuple[int, int], tuple[bool, int, bytes]] = {}
         at, out, alone = None, [], False
 
         def done() -> None:
@@ -172,13 +214,13 @@ def _linked(keyed: DataFrame, members: DataFrame, width: int, percent: int) -> D
                 out.extend(solve(held, unpack))
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for *row, packed in zip(*columns, batch.column(7)):
-                if (key := tuple(row[:3])) != at:
+            columns = [batch.column(i).to_pylist() for i in range(len(group) + 4)]
+            for *row, packed in zip(*columns, batch.column(len(group) + 4)):
+                if (key := tuple(row[: len(group)])) != at:
                     done()
-                    at, held, alone = key, {}, row[1] == row[2]
-                leaf, doc, version, copies = row[3:]
-                held[doc, version] = (leaf, copies, packed.as_py())
+                    at, held, alone = key, {}, row[1:3] == row[3:5]
+                is_left, doc, version, copies = row[len(group) :]
+                held[doc, version] = (is_left, copies, packed.as_py())
             if out:
                 yield batch_of(out)
                 out = []
@@ -202,9 +244,9 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     a text links with, its copies under other doc_ids included.
     """
     keyed = _keyed(docs)
-    described = written(_described(keyed, width, percent), "shingle-keys")
-    found = written(_linked(keyed, _members(described), width, percent), "links")
-    rows = described.select("doc", "version", "n", "d1", "d2")
+    rows = written(_described(keyed, width), "shingle-sets")
+    members = _members(rows, _keys(keyed, width, percent), percent)
+    found = written(_linked(keyed, members, width, percent), "links")
     classes = written(
         rows.filter("n > 0").groupBy("d1", "d2").agg(
             F.min("doc").alias("first"), F.count_distinct("doc").alias("copies")
