@@ -36,7 +36,7 @@ from diamondframe.llm.count_tree import CountTree, links
 from diamondframe.llm.shingles import digest, shared_keys, shingle_set
 from diamondframe.session import written
 
-LEAF_SETS, LEAF_SHINGLES = 1024, 400_000
+LEAF_SETS, LEAF_SHINGLES = 4096, 2_000_000
 ROWS_OUT = 1 << 16
 
 

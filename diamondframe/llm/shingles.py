@@ -11,7 +11,7 @@ from diamondframe.llm.text_statistics import window_hashes
 _U = np.uint64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Coordinates of a count vector.
-GROUPS = 32
+GROUPS = 128
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
