@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -43,3 +44,13 @@ def other_columns(docs: DataFrame, *made: str) -> list[Column]:
     """The input's columns, without those that an operator makes under the same name."""
     names = {name.lower() for name in made}
     return [docs[f"`{c}`"] for c in docs.columns if c.lower() not in names]
+
+
+def release_memory() -> None:
+    """Gives back what a task's arrays have left in this process, before the worker waits idle."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

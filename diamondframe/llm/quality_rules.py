@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from diamondframe.llm.common import other_columns, read_table, text_value
+from diamondframe.llm.common import other_columns, read_table, release_memory, text_value
 from diamondframe.llm.text_statistics import statistics
 from diamondframe.session import written
 
@@ -74,6 +74,7 @@ def _counted(docs: DataFrame, kept: list[Column]) -> DataFrame:
                 [*batch.columns[:2], *[pa.array(c, pa.int64()) for c in columns]],
                 ["row", "group", *names],
             )
+        release_memory()
 
     schema = T.StructType(
         [carried.schema["row"], carried.schema["group"], *[T.StructField(n, T.LongType()) for n in names]]

@@ -30,7 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from diamondframe.llm.common import id_key, id_value, read_table, text_value
+from diamondframe.llm.common import id_key, id_value, read_table, release_memory, text_value
 from diamondframe.llm.components import components
 from diamondframe.llm.count_tree import CountTree, links
 from diamondframe.llm.shingles import digest, shared_keys, shingle_set
@@ -57,6 +57,7 @@ def _described(keyed: DataFrame, width: int) -> DataFrame:
                 [*batch.columns[:2], *[pa.array(c, pa.int64()) for c in columns]],
                 ["doc", "version", "n", "d1", "d2"],
             )
+        release_memory()
 
     return keyed.mapInArrow(describe, "doc long, version long, n long, d1 long, d2 long")
 
@@ -79,6 +80,7 @@ def _keys(keyed: DataFrame, width: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(flat[at : at + ROWS_OUT]), pa.array(owner[at : at + ROWS_OUT])], ["key", "doc"]
                 )
+        release_memory()
 
     return keyed.mapInArrow(keys, "key long, doc long")
 
@@ -226,6 +228,8 @@ def _linked(keyed: DataFrame, members: DataFrame, width: int, percent: int) -> D
                 out = []
         done()
         yield batch_of(out)
+        held.clear()
+        release_memory()
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) if rows else [[]] * 4
