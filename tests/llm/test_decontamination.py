@@ -26,7 +26,8 @@ def overlaps(docs, items):
         a, b = words(t), words(u)
         size = min(WINDOW, len(b))
         least = size - SUBSTITUTED if size == WINDOW else size
-        if len(b) < SPAN:
+        known = set(a)
+        if len(b) < SPAN or sum(w in known for w in b) < least:  # no window can have so many
             continue
         for at in range(len(a) - size + 1):
             for to in range(len(b) - size + 1):
