@@ -16,7 +16,7 @@ from diamondframe.llm.decontamination import clean_documents
 from diamondframe.llm.line_dedup import drop_repeated_lines
 from diamondframe.llm.packing import packed_documents
 from diamondframe.llm.quality_rules import kept_documents
-from diamondframe.llm.shingle_join import one_of_each_group
+from diamondframe.llm.shingle_join import one_text_of_each_group
 from diamondframe.llm.word_pieces import tokenizer_file
 from diamondframe.session import written
 
@@ -40,8 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are 80 % alike."""
-    return one_of_each_group(docs, width=5, percent=80)
+    """One document of each group whose five-word shingles are 80 % alike, whatever its doc_id."""
+    return one_text_of_each_group(docs, width=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

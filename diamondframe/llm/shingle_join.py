@@ -18,7 +18,8 @@ Defined results: a missing or empty text has no shingles and links with nothing;
 than a shingle are one shingle of their own length; rows without doc_id are one document that
 comes first, with a missing id in results; rows with equal doc_id are one document, which
 links with whatever one of its texts links with; an empty table gives an empty table; only
-doc_id and text are read.
+doc_id and text are read. ``one_text_of_each_group`` goes by texts instead: there a doc_id links
+nothing.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from diamondframe.llm.common import id_key, id_value, read_table, release_memory, text_value
+from diamondframe.llm.common import BLANKS, id_key, id_value, read_table, release_memory, text_value
 from diamondframe.llm.components import components
 from diamondframe.llm.count_tree import CountTree, links
 from diamondframe.llm.shingles import digest, shared_keys, shingle_set
@@ -106,19 +107,19 @@ def _sharing(keys: DataFrame) -> DataFrame:
     return dealt.mapInArrow(read, "a long, b long").distinct()
 
 
-def _members(described: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+def _members(described: DataFrame, keys: DataFrame, percent: int, node: str = "doc") -> DataFrame:
     """A row per distinct set and meeting of two leaves that it takes part in.
 
-    A leaf holds sets of one cluster and one band of sizes. Sets that link are in the same
+    ``node`` is the column whose values the keys belong to. A leaf holds sets of one cluster and one band of sizes. Sets that link are in the same
     band or in neighbouring ones, so these leaves meet and no others.
     """
     of_cluster = components(_sharing(keys)).select(
-        F.col("node").alias("doc"), F.col("component").alias("cluster")
+        F.col("node").alias(node), F.col("component").alias("cluster")
     )
     sets = described.filter("n > 0").distinct()
     band = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     distinct = written(
-        sets.join(of_cluster, "doc").groupBy("cluster", "d1", "d2").agg(
+        sets.join(of_cluster, node).groupBy("cluster", "d1", "d2").agg(
             F.min(F.struct("doc", "version")).alias("first"), F.first("n").alias("n"),
             F.count_distinct("doc").alias("copies"),
         ).select("cluster", "first.doc", "first.version", "n", "copies", band.alias("band")),
@@ -172,7 +173,7 @@ def _pack(keyed: DataFrame) -> DataFrame:
 
 
 def _linked(keyed: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc, version, root, n_links): what each set reaches in a task, and its links there."""
+    """(doc, version, root, root_version, n_links): what each set reaches in a task, and its links there."""
     placed = _pack(keyed).join(members, ["doc", "version"])
     group = ["cluster", "low", "left", "high", "right"]
     met = placed.withColumn("meeting", F.explode("meetings")).select(
@@ -203,7 +204,7 @@ def _linked(keyed: DataFrame, members: DataFrame, width: int, percent: int) -> D
             count[y] += rows[ids[x]][1]
             x, y = sorted((find(x), find(y)), key=lambda k: ids[k])
             root[y] = x
-        return [(*ids[i], ids[find(i)][0], count[i]) for i in range(len(ids)) if count[i]]
+        return [(*ids[i], *ids[find(i)], count[i]) for i in range(len(ids)) if count[i]]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -232,13 +233,13 @@ def _linked(keyed: DataFrame, members: DataFrame, width: int, percent: int) -> D
         release_memory()
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [[]] * 4
+        columns = list(zip(*rows)) if rows else [[]] * 5
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in columns], ["doc", "version", "root", "n_links"]
+            [pa.array(c, pa.int64()) for c in columns], ["doc", "version", "root", "root_version", "n_links"]
         )
 
     dealt = met.repartition(*group).sortWithinPartitions(*group)
-    return dealt.mapInArrow(join, "doc long, version long, root long, n_links long")
+    return dealt.mapInArrow(join, "doc long, version long, root long, root_version long, n_links long")
 
 
 def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -298,6 +299,44 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     return kept.filter("n = 1").select("row.*")
 
 
+def one_text_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows without all but the first of each group of linked texts; the input's columns.
+
+    The nodes are the distinct sets, so different texts stay apart under one doc_id or without
+    one. The first text of a group has the smallest (doc_id, hash); of rows that repeat both, one
+    stays. Rows without words all stay.
+    """
+    keyed = _keyed(docs)
+    rows = written(_described(keyed, width), "shingle-sets")
+    # Texts of equal hash would only widen a cluster.
+    of_text = keyed.select(F.col("version").alias("doc"), "version", "text")
+    members = _members(rows, _keys(of_text, width, percent), percent, "version")
+    found = written(_linked(keyed, members, width, percent), "links")
+    sets = written(
+        rows.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "version")).alias("first"))
+        .select("first.*", F.monotonically_increasing_id().alias("node")), "sets",
+    )
+    # A set takes part in meetings as its first text.
+    roots = sets.select(
+        F.col("doc").alias("root"), F.col("version").alias("root_version"), F.col("node").alias("b")
+    )
+    edges = found.join(sets, ["doc", "version"]).join(roots, ["root", "root_version"])
+    ends = written(components(edges.select(F.col("node").alias("a"), "b")), "components")
+    first = written(
+        sets.join(ends, "node", "left")
+        .groupBy(F.coalesce("component", "node").alias("component"))
+        .agg(F.min(F.struct("doc", "version")).alias("first"))
+        .select("first.doc", "first.version"), "first-of-group",
+    )
+    text = text_value()
+    has_words = text.rlike(f"[^{BLANKS}]")
+    of_row = (id_key() == first["doc"]) & (F.xxhash64(text) == first["version"])
+    same = Window.partitionBy(first["doc"], first["version"]).orderBy(first["doc"])
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    kept = docs.filter(has_words).join(first, of_row).select(row, F.row_number().over(same).alias("n"))
+    return kept.filter("n = 1").select("row.*").unionByName(docs.filter(~has_words))
+
+
 def op2_shingle_join(spark, sf_dir):
     found = jaccard_components(read_table(spark, sf_dir, "documents"), width=3, percent=90)
     return found.select(

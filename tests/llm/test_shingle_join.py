@@ -7,14 +7,15 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
+import corpus_pipeline
 from __spark_entry__ import queries
 from diamondframe.llm.common import NO_ID
 from diamondframe.llm.components import components
 from diamondframe.llm.count_tree import CountTree, links
-from diamondframe.llm.shingle_join import jaccard_components, one_of_each_group
+from diamondframe.llm.shingle_join import jaccard_components, one_of_each_group, one_text_of_each_group
 from diamondframe.llm.shingles import shared_keys
 
-from llm.brute import COLUMNS, edge_table, fold, key
+from llm.brute import COLUMNS, edge_rows, edge_table, fold, key, prose
 
 
 def shingles(text, width):
@@ -68,6 +69,12 @@ def test_empty_table(no_docs):
     assert one_of_each_group(no_docs).collect() == []
 
 
+def test_no_texts(no_docs, edge_docs):
+    assert one_text_of_each_group(no_docs).collect() == []
+    empty = edge_docs.filter("doc_id = 5")
+    assert one_text_of_each_group(empty).collect() == empty.collect()
+
+
 def test_one_of_each_group(edge_docs):
     rows = edge_table()
     want = joined(rows, 5, 80)
@@ -80,6 +87,35 @@ def test_one_of_each_group(edge_docs):
     assert kept == Counter(min(x)[0] for x in first.values())
 
 
+def texts_left(rows, width=5, percent=80):
+    """The (doc, text) that stay, with texts as nodes; a group's first one may be any of a doc's."""
+    texts = sorted({t for _, t in rows if shingles(t, width)})
+    groups = defaultdict(set)
+    for n, (_, component, _) in joined(list(enumerate(texts)), width, percent).items():
+        groups[component].add(n[1])
+    return [(min(key(i) for i, t in rows if t in group), group) for group in groups.values()]
+
+
+def test_texts_without_or_under_one_doc_id(spark):
+    a, b, c, d, e = (prose(500 + k, 80) for k in range(5))
+    near = lambda t: t + " the end"
+    texts = [(None, a), (None, b), (None, c), (5, near(a)), (9, near(b)), (7, d), (7, e), (8, near(d)), (7, d)]
+    texts += [(None, ""), (None, None), (3, " \n"), (3, " \n"), (10, near(e)), (11, e.upper())]
+    rows = [(i, t, None, None, None, 0, "", 0, "", "") for i, t in texts] + edge_rows()
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    left = [(key(r.doc_id), r.text) for r in got.collect()]
+    want = texts_left([(r[0], r[1]) for r in rows])
+    with_words = [x for x in left if shingles(x[1], 5)]
+    assert len(with_words) == len(want) and {t for _, t in with_words} >= {a, b, c}
+    for i, group in want:
+        assert [j for j, t in with_words if t in group] == [i]
+    assert Counter(x for x in left if not shingles(x[1], 5)) == Counter(
+        (key(r[0]), r[1]) for r in rows if not shingles(r[1], 5)
+    )
+
+
 def test_a_large_family_over_several_leaves(spark, monkeypatch):
     """Texts at all distances from each other; leaves of 16 sets, so many pairs of leaves."""
     monkeypatch.setattr("diamondframe.llm.shingle_join.LEAF_SETS", 16)
