@@ -22,8 +22,10 @@ CACHE_WORDS, CACHE_LETTERS = 700_000, 40
 #: Marks that close a word.
 MARKS = string.punctuation
 
-#: Letters below U+0250 in the form that the tokenizer gives them, without the one that grows.
-_LETTERS = "".join(c for c in map(chr, range(0xAA, 0x250)) if c.isalpha() and c != "\u0130")
+#: Letters below U+0250 whose small form, as the tokenizer gives it, is one letter below U+0250 too.
+_LETTERS = "".join(
+    c for c in map(chr, range(0xAA, 0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower() < "\u0250"
+)
 _BLANK = re.compile(r"[ \t-\r]")
 _RUNS = re.compile(r"[^ \t-\r]+")
 _ODD = re.compile(f"[^\x00-\x7f{_LETTERS}]|'|<\\|")

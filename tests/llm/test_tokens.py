@@ -43,6 +43,18 @@ def test_words_have_the_ids_of_the_text():
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == ids_of(text), repr(text)
 
 
+def test_letters_below_0250_inside_words():
+    cache = WordCache(tokenizer_file(), word_pieces.VALUES["bytes"])
+    letters = [c for c in map(chr, range(0xAA, 0x250)) if c.isalpha()]
+    texts = [word for c in letters for word in (f"{c}li", f"a{c}yes", f"NO{c} and more, {c}{c}")]
+    found = [b""] * len(texts)
+    for row, text in enumerate(texts):  # one by one, as a part with one other letter is cut exactly
+        for _, ids in cache.values([text]):
+            found[row] += b"".join(ids)
+    wrong = [t for t, ids in zip(texts, found) if list(struct.unpack(f"<{len(ids) // 4}I", ids)) != ids_of(t)]
+    assert not wrong
+
+
 def test_full_caches_and_long_texts(monkeypatch):
     monkeypatch.setattr(word_pieces, "CACHE_WORDS", 20)
     monkeypatch.setattr(word_pieces, "PART", 64)
