@@ -1,15 +1,17 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text. Blocks and templates are sets of words. Words of the templates are
-ordered by how many lines of the corpus hold them, rare ones first. A block contains a template
-if it holds at least ``THRESHOLD`` of its words. Then it holds a word of the template's
-prefix: its rarest words, one more than may be missing. The join goes over these words:
-
-* prefix: a block's words meet the prefixes of the templates, a table that is small by nature
+A block is a window of a text's words, across line ends: for each template, ``SPAN`` times as
+many words as it has, from each of its words on. Blocks and templates are sets of words. A block
+contains a template if it holds at least ``THRESHOLD`` of its words. Only texts that hold as
+much of a template are cut into blocks. Those are found by a join: words of the templates are
+ordered by how many texts of the corpus hold them, rare ones first, and a text with enough
+words of a template holds one of its prefix: its rarest words, one more than may be missing.
+
+* prefix: a text's words meet the prefixes of the templates, a table that is small by nature
   (``TEMPLATES``, or the caller's, at most ``MOST_TEMPLATES``);
-* length: the block has enough words of templates at all;
+* length: the text has enough words of templates at all;
 * position: enough words are left, on both sides, from the first common word on;
-* then the words in common are counted.
+* then the words in common are counted, in the text and in its blocks.
 
 Phrases are counted beside that, in the whole text. Columns and rows only.
 
@@ -24,12 +26,14 @@ import math
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diamondframe.llm.common import id_key, id_value, read_table, text_value
 from diamondframe.session import written
 
 THRESHOLD, MOST_TEMPLATES = 0.8, 10_000
+#: Words of a block for each word of a template.
+SPAN = 2
 
 # Phrases and notices of common licenses.
 PHRASES = (
@@ -101,48 +105,56 @@ def base_columns(text: Column, phrases=PHRASES) -> dict[str, Column]:
     }
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
     text = text_value()
-    lines = docs.select(
-        id_key().alias("id"), F.xxhash64(text).alias("version"),
-        F.posexplode(F.split(text, "\n")).alias("block", "line"),
+    return docs.select(
+        id_key().alias("id"), F.xxhash64(text).alias("version"), words(text).alias("words")
     )
-    return lines.select("id", "version", "block", words(F.col("line")).alias("words"))
 
 
-def _ordered_words(blocks: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The templates' words by the number of blocks that hold them; the words are the templates' own."""
+def _ordered_words(texts: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The templates' words by the number of texts that hold them; the words are the templates' own."""
     known = F.array(*map(F.lit, vocabulary))
-    counted = blocks.select(F.explode(F.array_intersect(known, "words")).alias("word")).groupBy("word")
+    counted = texts.select(F.explode(F.array_intersect(known, "words")).alias("word")).groupBy("word")
     n = {r["word"]: r["n"] for r in counted.agg(F.count("*").alias("n")).collect()}
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
+def _contained(template: Column, words: Column, need: Column, span: Column) -> Column:
+    """(at, end, common) of the blocks that contain a template, by their first word."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(template, F.get(words, i)))
+    blocks = F.transform(starts, lambda i: F.struct(
+        i.alias("at"), (i + span).alias("end"), F.array_intersect(template, F.slice(words, i + 1, span)).alias("common")
+    ))
+    return F.filter(blocks, lambda b: F.size(b["common"]) >= need)
+
+
 def contained_templates(
     docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """(id, version, block, label, containment) for every line and template that it contains."""
+    """(id, version, at, end, common, label, containment) for every block and template that it contains."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"at most {MOST_TEMPLATES} templates")
-    sets = [(label, _template_words(text)) for label, text in templates]
-    sets = [(label, found) for label, found in sets if found]
-    blocks = _blocks(docs)
-    order = _ordered_words(blocks, sorted({w for _, found in sets for w in found}))
+    sets = [(label, _template_words(text), text) for label, text in templates]
+    sets = [(label, found, text) for label, found, text in sets if found]
+    texts = _texts(docs)
+    order = _ordered_words(texts, sorted({w for _, found, _ in sets for w in found}))
     rank = {w: n for n, w in enumerate(order)}
     prefixes = []
-    for label, found in sets:
+    for label, found, text in sets:
         ranked = sorted(found, key=rank.get)
         need = math.ceil(threshold * len(ranked) - 1e-9)
+        span = SPAN * len([w for w in re.split(SEPARATOR + "+", text) if w])
         prefixes += [
-            (w, at, label, need, ranked) for at, w in enumerate(ranked[: len(ranked) - need + 1])
+            (w, at, label, need, span, ranked) for at, w in enumerate(ranked[: len(ranked) - need + 1])
         ]
     table = docs.sparkSession.createDataFrame(
-        prefixes, "word string, at int, label string, need int, template array<string>"
+        prefixes, "word string, at int, label string, need int, span int, template array<string>"
+    )
+    # The words of templates in a text, rare ones first.
+    ranked = texts.select("*", F.array_intersect(F.array(*map(F.lit, order)), "words").alias("known")).filter(
+        F.size("known") >= min(need for _, _, _, need, _, _ in prefixes)
     )
-    # The words of templates in a block, rare ones first.
-    ranked = blocks.select(
-        "id", "version", "block", F.array_intersect(F.array(*map(F.lit, order)), "words").alias("known")
-    ).filter(F.size("known") >= min(need for _, _, _, need, _ in prefixes))
     placed = ranked.select("*", F.posexplode("known").alias("known_at", "word"))
     left = F.least(F.size("template") - F.col("at"), F.size("known") - F.col("known_at"))
     candidates = placed.join(F.broadcast(table), "word").filter(
@@ -150,8 +162,10 @@ def contained_templates(
     )
     common = F.array_intersect("template", "known")
     # A pair is taken at its first common word, so once.
-    return candidates.filter((F.get(common, F.lit(0)) == F.col("word")) & (F.size(common) >= F.col("need"))).select(
-        "id", "version", "block", "label", (F.size(common) / F.size("template")).alias("containment")
+    pairs = candidates.filter((F.get(common, F.lit(0)) == F.col("word")) & (F.size(common) >= F.col("need")))
+    blocks = _contained(F.col("template"), F.col("words"), F.col("need"), F.col("span"))
+    return pairs.select("id", "version", "label", "template", F.explode(blocks).alias("block")).select(
+        "id", "version", "block.*", "label", (F.size("block.common") / F.size("template")).alias("containment")
     )
 
 
@@ -160,20 +174,21 @@ def license_scan(
 ) -> DataFrame:
     """doc_id, the counts of phrases, ``base_labels``, ``labels`` and ``score`` of every row.
 
-    A line gives the labels of the templates that it contains best. The score is 1 where a phrase was found, else the best containment over the threshold, else 0.
+    A place gives the labels of the templates that blocks there contain best. The score is 1 where
+    a phrase was found, else the best containment over the threshold, else 0.
     """
     pairs = contained_templates(docs, templates, threshold)
-    # Of a block's templates, which share most of their words, the ones it contains best.
-    of_block = pairs.groupBy("id", "version", "block").agg(
-        F.max("containment").alias("most"), F.collect_list(F.struct("containment", "label")).alias("pairs")
-    )
-    best = F.transform(
-        F.filter("pairs", lambda p: p["containment"] == F.col("most")), lambda p: p["label"]
-    )
+    # Blocks of templates that share most of their words meet in one place; the best contained stay.
+    widest = SPAN * max((len(re.split(SEPARATOR + "+", text)) for _, text in templates), default=0)
+    near = Window.partitionBy("id", "version").orderBy("at").rangeBetween(-widest, widest)
+    others = F.collect_set(F.struct("at", "end", "common", "containment")).over(near)
+    better = F.exists("others", lambda o: (
+        (o["containment"] > F.col("containment")) & (o["at"] < F.col("end")) & (F.col("at") < o["end"])
+    ))
+    best = pairs.withColumn("others", others).filter(~better)
     found = written(
-        of_block.select("id", "version", "most", F.explode(best).alias("label"))
-        .groupBy("id", "version")
-        .agg(F.collect_set("label").alias("found"), F.max("most").alias("containment")),
+        best.groupBy("id", "version")
+        .agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment")),
         "licenses",
     )
     text = text_value()

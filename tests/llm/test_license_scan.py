@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -77,3 +78,19 @@ def test_all_documents(spark):
 
 def test_empty_table(no_docs):
     assert license_scan(no_docs).collect() == []
+
+
+def labels_of(spark, texts):
+    rows = [(n, t, None, None, 0, 1, "v", 1, "k", "z") for n, t in enumerate(texts)]
+    found = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, COLUMNS)).collect()}
+    return [(found[n].labels, round(found[n].score, 9)) for n in range(len(texts))]
+
+
+def test_wrapped_and_scattered_notices(spark):
+    bsd, mit = (next(t for _, t in TEMPLATES if t.startswith(w)) for w in ("Redistribution", "Permission"))
+    wrapped = [textwrap.fill(t, width) for t in (bsd, mit) for width in (30, 72)]
+    wrapped.append("# " + wrapped[0].replace("\n", "\n# "))
+    filler = " ".join(f"w{n}" for n in range(200))
+    scattered = f" {filler} ".join("Released under the MIT License.".split())
+    got = labels_of(spark, [*wrapped, scattered, f"{filler} {wrapped[3]} {filler}"])
+    assert got == [("bsd", 1.0)] * 2 + [("mit", 1.0)] * 2 + [("bsd", 1.0), ("", 0.0), ("mit", 1.0)]
