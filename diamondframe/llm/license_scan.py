@@ -2,7 +2,8 @@
 
 A block is a window of a text's words, across line ends: for each template, ``SPAN`` times as
 many words as it has, from each of its words on. Blocks and templates are sets of words. A block
-contains a template if it holds at least ``THRESHOLD`` of its words. Only texts that hold as
+contains a template if it holds at least ``THRESHOLD`` of its words and, in order, those that set
+the license apart from others (``MARKS``). Only texts that hold as
 much of a template are cut into blocks. Those are found by a join: words of the templates are
 ordered by how many texts of the corpus hold them, rare ones first, and a text with enough
 words of a template holds one of its prefix: its rarest words, one more than may be missing.
@@ -63,6 +64,24 @@ TEMPLATES = (
 )
 # End of the fixed values.
 
+#: What sets a license apart from others whose notices share most of its words, by label: a pattern
+#: over a block's words, each between single blanks. A block without it does not contain the template.
+_VERSION = "(version |v )?v?"
+MARKS = {
+    "agpl-3.0": f" gnu affero general public licen[cs]e (agpl )?{_VERSION}3 ",
+    "apache-2.0": f" apache licen[cs]e {_VERSION}2 0 ",
+    "bsd-3-clause": " bsd 3 clause | 3 clause bsd ",
+    "cc-by-4.0": f" creative commons attribution {_VERSION}4 0 ",
+    "cc-by-nc-4.0": f" cc by nc {_VERSION}4 0 ",
+    "cc-by-sa-4.0": f" cc by sa {_VERSION}4 0 ",
+    "cc0-1.0": " cc0 ",
+    "gpl-2.0": f" gnu general public licen[cs]e (gpl )?{_VERSION}2 ",
+    "gpl-3.0": f" gnu general public licen[cs]e (gpl )?{_VERSION}3 ",
+    "lgpl-3.0": f" gnu lesser general public licen[cs]e (lgpl )?{_VERSION}3 ",
+    "mit": r" mit (?!0 )(\S+ ){0,2}licen[cs]e | permission is hereby granted ",
+    "mpl-2.0": f" mozilla public licen[cs]e (mpl )?{_VERSION}2 0 ",
+}
+
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
@@ -120,17 +139,23 @@ def _ordered_words(texts: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
-def _contained(template: Column, words: Column, need: Column, span: Column) -> Column:
+def _contained(template: Column, words: Column, need: Column, span: Column, mark: Column) -> Column:
     """(at, end, common) of the blocks that contain a template, by their first word."""
     starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(template, F.get(words, i)))
     blocks = F.transform(starts, lambda i: F.struct(
         i.alias("at"), (i + span).alias("end"), F.array_intersect(template, F.slice(words, i + 1, span)).alias("common")
     ))
-    return F.filter(blocks, lambda b: F.size(b["common"]) >= need)
+    enough = F.filter(blocks, lambda b: F.size(b["common"]) >= need)
+
+    def marked(block: Column) -> Column:
+        of_block = F.slice(words, block["at"] + 1, span)
+        return F.rlike(F.concat(F.lit(" "), F.array_join(of_block, " "), F.lit(" ")), mark)
+
+    return F.filter(enough, lambda b: mark.isNull() | marked(b))
 
 
 def contained_templates(
-    docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
+    docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, marks=MARKS
 ) -> DataFrame:
     """(id, version, at, end, common, label, containment) for every block and template that it contains."""
     if len(templates) > MOST_TEMPLATES:
@@ -146,14 +171,14 @@ def contained_templates(
         need = math.ceil(threshold * len(ranked) - 1e-9)
         span = SPAN * len([w for w in re.split(SEPARATOR + "+", text) if w])
         prefixes += [
-            (w, at, label, need, span, ranked) for at, w in enumerate(ranked[: len(ranked) - need + 1])
+            (w, at, label, need, span, marks.get(label), ranked) for at, w in enumerate(ranked[: len(ranked) - need + 1])
         ]
     table = docs.sparkSession.createDataFrame(
-        prefixes, "word string, at int, label string, need int, span int, template array<string>"
+        prefixes, "word string, at int, label string, need int, span int, mark string, template array<string>"
     )
     # The words of templates in a text, rare ones first.
     ranked = texts.select("*", F.array_intersect(F.array(*map(F.lit, order)), "words").alias("known")).filter(
-        F.size("known") >= min(need for _, _, _, need, _, _ in prefixes)
+        F.size("known") >= min(need for _, _, _, need, *_ in prefixes)
     )
     placed = ranked.select("*", F.posexplode("known").alias("known_at", "word"))
     left = F.least(F.size("template") - F.col("at"), F.size("known") - F.col("known_at"))
@@ -163,27 +188,29 @@ def contained_templates(
     common = F.array_intersect("template", "known")
     # A pair is taken at its first common word, so once.
     pairs = candidates.filter((F.get(common, F.lit(0)) == F.col("word")) & (F.size(common) >= F.col("need")))
-    blocks = _contained(F.col("template"), F.col("words"), F.col("need"), F.col("span"))
+    blocks = _contained(F.col("template"), F.col("words"), F.col("need"), F.col("span"), F.col("mark"))
     return pairs.select("id", "version", "label", "template", F.explode(blocks).alias("block")).select(
         "id", "version", "block.*", "label", (F.size("block.common") / F.size("template")).alias("containment")
     )
 
 
 def license_scan(
-    docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD
+    docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, marks=MARKS
 ) -> DataFrame:
     """doc_id, the counts of phrases, ``base_labels``, ``labels`` and ``score`` of every row.
 
-    A place gives the labels of the templates that blocks there contain best. The score is 1 where
-    a phrase was found, else the best containment over the threshold, else 0.
+    A text gives the labels of all templates that its blocks contain, but for those whose words are
+    among the words of a better contained one in the same place. The score is 1 where a phrase was
+    found, else the best containment over the threshold, else 0.
     """
-    pairs = contained_templates(docs, templates, threshold)
-    # Blocks of templates that share most of their words meet in one place; the best contained stay.
+    pairs = contained_templates(docs, templates, threshold, marks)
+    # Blocks that meet are in one place.
     widest = SPAN * max((len(re.split(SEPARATOR + "+", text)) for _, text in templates), default=0)
     near = Window.partitionBy("id", "version").orderBy("at").rangeBetween(-widest, widest)
     others = F.collect_set(F.struct("at", "end", "common", "containment")).over(near)
     better = F.exists("others", lambda o: (
         (o["containment"] > F.col("containment")) & (o["at"] < F.col("end")) & (F.col("at") < o["end"])
+        & (F.size(F.array_except("common", o["common"])) == 0)
     ))
     best = pairs.withColumn("others", others).filter(~better)
     found = written(

@@ -94,3 +94,23 @@ def test_wrapped_and_scattered_notices(spark):
     scattered = f" {filler} ".join("Released under the MIT License.".split())
     got = labels_of(spark, [*wrapped, scattered, f"{filler} {wrapped[3]} {filler}"])
     assert got == [("bsd", 1.0)] * 2 + [("mit", 1.0)] * 2 + [("bsd", 1.0), ("", 0.0), ("mit", 1.0)]
+
+
+def test_marks_and_several_notices(spark):
+    texts = {
+        "Released under the Apache License.": "", "Released under the GPL license": "",
+        "released under the label's own license": "", "Licensed under CC BY 4.0.": "cc-by",
+        "Licensed under CC BY-ND 4.0.": "cc-by", "Licensed under CC BY-NC-SA 4.0.": "cc-by",
+        "Licensed under the BSD 2-Clause License.": "", "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa-4.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "gpl,lgpl-3.0",
+        "Released under the MIT License. Licensed under the Apache License, v 2.0.": "apache-2.0,mit",
+    }
+    assert [labels for labels, _ in labels_of(spark, texts)] == list(texts.values())
+
+
+def test_words_within_a_better_match(spark):
+    templates = [("short", "alpha beta gamma delta epsilon"), ("long", "alpha beta gamma delta zeta"),
+                 ("other", "one two three four five")]
+    text = "alpha beta gamma delta epsilon one two three four"
+    docs = spark.createDataFrame([(1, text, None, None, 0, 1, "v", 1, "k", "z")], COLUMNS)
+    assert [r.labels for r in license_scan(docs, templates=templates).collect()] == ["other,short"]
