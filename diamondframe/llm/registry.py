@@ -18,6 +18,9 @@ MODULES = [
     "toxicity",
     "decontamination",
     "license_scan",
+    "winnowing",
+    "prefix_trie",
+    "centroids",
 ]
 
 
