@@ -17,7 +17,8 @@ in equal groups at the end are exactly the repeated windows.
 A task sorts its own rows first and hands on the first of each group; the rest are repeats for
 certain. Groups are read as a sorted stream, one row of memory each, so a passage in a third
 of all documents needs no room. Hashes have 64 bits; second keys add 64 more, or 16 beside the
-bytes themselves. Texts cross the shuffle compressed, by their document.
+bytes themselves. Texts cross the shuffle compressed, by doc_id and hash of the text, which
+every row carries, so texts that share a doc_id or have none never take each other's places.
 
 Documents are ordered by doc_id. Defined results: a missing or empty text has no bytes; a text
 shorter than the window keeps all; rows with equal doc_id and text are one document and get
@@ -48,15 +49,21 @@ PACKED_LEVEL = 5
 BLOCK, BESIDE = 8, 7
 
 _RUN_KEYS, _CORE_KEYS = ["k1", "k2"], ["k1", "left", "right"]
+#: What follows the keys: the document, the place in its text, the hash of the text.
+_OWNER = ["doc", "place", "version"]
 
 
 def _schema(keys: list[str]) -> str:
-    return ", ".join(f"{name} long" for name in [*keys, "doc", "place"])
+    return ", ".join(f"{name} long" for name in [*keys, *_OWNER])
 
 
-def _place(start: np.ndarray, version: int, before: np.ndarray | int, after: np.ndarray | int) -> np.ndarray:
-    """Anchor, 16 bits of the text's hash, and how far first and last start are before the anchor."""
-    return start.astype(np.int64) << 32 | (version & 0xFFFF) << 16 | before << 8 | after
+def _place(start: np.ndarray, before: np.ndarray | int, after: np.ndarray | int) -> np.ndarray:
+    """Anchor, and how far first and last start are before the anchor."""
+    return start.astype(np.int64) << 16 | before << 8 | after
+
+
+def _owners(doc: int, version: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.full(n, doc, np.int64), np.full(n, version, np.int64)
 
 
 def _firsts(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -65,20 +72,20 @@ def _firsts(columns: list[np.ndarray]) -> list[np.ndarray]:
     A row that says the same as the first, from a repeated row of the table, counts as the first.
     """
     order = np.lexsort(columns[::-1])
-    *keys, doc, place = (c[order] for c in columns)
+    *keys, doc, place, version = (c[order] for c in columns)
     new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
     head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    repeat = (doc != doc[head]) | (place != place[head])
+    repeat = (doc != doc[head]) | (place != place[head]) | (version != version[head])
     # Settled rows go on under a digit of their own, so that they are dealt evenly.
-    keys[0] = np.where(repeat, place * 0x5851F42D4C957F2D ^ doc, keys[0])
-    return [*keys, doc, np.where(repeat, -1 - place, place)]
+    keys[0] = np.where(repeat, place * 0x5851F42D4C957F2D ^ doc ^ version, keys[0])
+    return [*keys, doc, np.where(repeat, -1 - place, place), version]
 
 
 class _Sorter:
     """Collects rows of a task and hands them on block by block."""
 
     def __init__(self, keys: list[str]):
-        self.names = [*keys, "doc", "place"]
+        self.names = [*keys, *_OWNER]
         self.held: list[list[np.ndarray]] = []
         self.size = 0
 
@@ -121,8 +128,9 @@ def _first_digits(docs: DataFrame, window: int) -> DataFrame:
             for doc, version, text in zip(keys, versions, batch.column(2).cast(pa.binary())):
                 for at, data in segments(text.as_py(), window):
                     gram, whole, anchor, first, last = runs(data, window)
-                    place = _place(anchor + at, version, anchor - first, anchor - last)
-                    yield from sorter.add(gram, whole, np.full(len(gram), doc, np.int64), place)
+                    owner, text_hash = _owners(doc, version, len(gram))
+                    place = _place(anchor + at, anchor - first, anchor - last)
+                    yield from sorter.add(gram, whole, owner, place, text_hash)
         yield from sorter.flush()
 
     return docs.mapInArrow(digits, _schema(_RUN_KEYS))
@@ -134,7 +142,7 @@ def _groups(rows: DataFrame, keys: list[str], undecided: bool) -> DataFrame:
     A negative place is a repeat. A place from 0 on (only if ``undecided``) is the first row of
     its further keys, in a group of the first key that has others too.
     """
-    names, n_keys = [*keys, "doc", "place"], len(keys)
+    names, n_keys = [*keys, *_OWNER], len(keys)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last group's rows that may still matter: its first one, and the first of its last
@@ -143,25 +151,25 @@ def _groups(rows: DataFrame, keys: list[str], undecided: bool) -> DataFrame:
         held_done = np.empty(0, dtype=bool)
         for batch in batches:
             new = np.stack([batch.column(i).to_numpy() for i in range(len(names))])
-            settled = new[:, new[-1] < 0]
-            new = new[:, new[-1] >= 0]
+            settled = new[:, new[-2] < 0]
+            new = new[:, new[-2] >= 0]
             rows = np.concatenate([held, new], axis=1)
             done = np.concatenate([held_done, np.zeros(new.shape[1], dtype=bool)])
             out = [settled]
             if rows.shape[1]:
-                doc, place = rows[-2], rows[-1]
+                doc, place, version = rows[-3:]
                 index = np.arange(len(doc))
                 changed = rows[:n_keys, 1:] != rows[:n_keys, :-1]
                 first = np.concatenate([[True], changed[0]])
                 first_of_all = np.concatenate([[True], changed.any(axis=0)])
                 head = np.maximum.accumulate(np.where(first_of_all, index, 0))
-                repeat = ((doc != doc[head]) | (place != place[head])) & ~done
+                repeat = ((doc != doc[head]) | (place != place[head]) | (version != version[head])) & ~done
                 group = np.cumsum(first) - 1
                 several = np.bincount(group, weights=first_of_all)[group] > 1
                 # A row equal to its head is a repeated row of the table; the head speaks for it.
                 more = first_of_all & several & ~done
                 repeats = rows[:, repeat]
-                repeats[-1] = -1 - repeats[-1]
+                repeats[-2] = -1 - repeats[-2]
                 out += [repeats, rows[:, more]] if undecided else [repeats]
                 keep = np.unique([index[group == group[-1]][0], head[-1]])
                 held, held_done = rows[:, keep], (done | more)[keep]
@@ -203,11 +211,8 @@ def _cores(data: np.ndarray, anchor, before, after, window: int) -> tuple[np.nda
 
 def _second_digits(docs: DataFrame, open_runs: DataFrame, window: int) -> DataFrame:
     """A row per block of the runs that go on: core, bytes beside it, document, place."""
-    of_doc = open_runs.groupBy("doc", _version16("place").alias("version16")).agg(
-        F.collect_set("place").alias("places")
-    )
-    packed = _packed(docs).withColumn("version16", F.col("version").bitwiseAND(0xFFFF))
-    joined = packed.join(of_doc, ["doc", "version16"]).select("doc", "version", "text", "places")
+    of_doc = open_runs.groupBy("doc", "version").agg(F.collect_set("place").alias("places"))
+    joined = _packed(docs).join(of_doc, ["doc", "version"]).select("doc", "version", "text", "places")
 
     def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sorter, unpack = _Sorter(_CORE_KEYS), zstandard.ZstdDecompressor()
@@ -216,7 +221,7 @@ def _second_digits(docs: DataFrame, open_runs: DataFrame, window: int) -> DataFr
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
             ):
                 place = places.values.to_numpy()
-                anchor, before, after = place >> 32, place >> 8 & 0xFF, place & 0xFF
+                anchor, before, after = place >> 16, place >> 8 & 0xFF, place & 0xFF
                 text = unpack.decompress(packed.as_py())
                 for at, data in segments(text, window):
                     inside = (anchor - before >= at) & (anchor - before <= at + len(data) - window)
@@ -224,8 +229,8 @@ def _second_digits(docs: DataFrame, open_runs: DataFrame, window: int) -> DataFr
                         core, left, right, found, most, least = _cores(
                             data, anchor[inside] - at, before[inside], after[inside], window
                         )
-                        owner = np.full(len(core), doc, np.int64)
-                        yield from sorter.add(core, left, right, owner, _place(found + at, version, most, least))
+                        owner, text_hash = _owners(doc, version, len(core))
+                        yield from sorter.add(core, left, right, owner, _place(found + at, most, least), text_hash)
         yield from sorter.flush()
 
     return joined.mapInArrow(digits, _schema(_CORE_KEYS))
@@ -237,8 +242,8 @@ def _last_digits(open_blocks: DataFrame) -> DataFrame:
     def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sorter = _Sorter(_RUN_KEYS)
         for batch in batches:
-            core, left, right, doc, place = (batch.column(i).to_numpy() for i in range(5))
-            anchor, before, after = place >> 32, place >> 8 & 0xFF, place & 0xFF
+            core, left, right, doc, place, version = (batch.column(i).to_numpy() for i in range(6))
+            anchor, before, after = place >> 16, place >> 8 & 0xFF, place & 0xFF
             more = (left >> 59 & 0x1F | (right >> 59 & 0x1F) << 5).astype(np.uint64)
             for k in range(BLOCK):
                 offset = before // BLOCK * BLOCK + k
@@ -250,36 +255,31 @@ def _last_digits(open_blocks: DataFrame) -> DataFrame:
                 one = core[some].view(np.uint64) ^ mix(own_left | np.uint64(k << 56))
                 two = mix(own_right | np.uint64(k << 56)) + mix(own_left ^ more[some] << np.uint64(58))
                 start = anchor[some] - offset[some]
-                version = place[some] >> 16 & 0xFFFF
                 yield from sorter.add(
                     mix(one ^ mix(own_right)), mix(two ^ core[some].view(np.uint64)), doc[some],
-                    start << 32 | version << 16,
+                    _place(start, 0, 0), version[some],
                 )
         yield from sorter.flush()
 
-    return open_blocks.select(*_CORE_KEYS, "doc", "place").mapInArrow(digits, _schema(_RUN_KEYS))
-
-
-def _version16(place: str):
-    return F.shiftright(place, 16).bitwiseAND(0xFFFF)
+    return open_blocks.select(*_CORE_KEYS, *_OWNER).mapInArrow(digits, _schema(_RUN_KEYS))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, place) of runs of windows that start earlier too; written, see ``_place``."""
+    """(doc, place, version) of runs of windows that start earlier too; written, see ``_place``."""
     if window <= max(GRAM, BESIDE):
         raise ValueError(f"a window has more than {max(GRAM, BESIDE)} bytes")
-    first = written(_groups(_first_digits(docs, window), _RUN_KEYS, True).select("doc", "place"), "first-digits")
+    first = written(_groups(_first_digits(docs, window), _RUN_KEYS, True).select(*_OWNER), "first-digits")
     cores = _second_digits(docs, first.filter("place >= 0"), window)
     second = written(_groups(cores, _CORE_KEYS, True), "second-digits")
     last = _groups(_last_digits(second.filter("place >= 0")), _RUN_KEYS, False)
-    settled = first.unionByName(second.select("doc", "place")).filter("place < 0")
-    found = settled.unionByName(last.select("doc", "place"))
-    return written(found.select("doc", (-1 - F.col("place")).alias("place")), "repeated-windows")
+    settled = first.unionByName(second.select(*_OWNER)).filter("place < 0")
+    found = settled.unionByName(last.select(*_OWNER))
+    return written(found.select("doc", (-1 - F.col("place")).alias("place"), "version"), "repeated-windows")
 
 
 def _covered(place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal stretches that the windows cover."""
-    anchor = place >> 32
+    anchor = place >> 16
     first, last = anchor - (place >> 8 & 0xFF), anchor - (place & 0xFF)
     order = np.argsort(first, kind="stable")
     start, end = first[order], np.maximum.accumulate(last[order] + window)
@@ -298,11 +298,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         id_key().alias("doc"), F.xxhash64(text_value()).alias("version"), text_value().alias("text")
     )
     found = repeated_windows(keyed, window)
-    of_doc = found.groupBy("doc", _version16("place").alias("version16")).agg(
-        F.collect_set("place").alias("places")
-    )
-    packed = _packed(keyed).withColumn("version16", F.col("version").bitwiseAND(0xFFFF))
-    joined = packed.join(of_doc, ["doc", "version16"], "left").select("doc", "text", "places")
+    of_doc = found.groupBy("doc", "version").agg(F.collect_set("place").alias("places"))
+    joined = _packed(keyed).join(of_doc, ["doc", "version"], "left").select("doc", "text", "places")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()

@@ -5,7 +5,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from diamondframe.llm.byte_windows import runs, segments
@@ -59,6 +61,25 @@ def test_edges(edge_docs):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans
 
 
+@pytest.mark.parametrize("ids", [(5, 6), (5, 5), (None, None), (None, 5)])
+def test_texts_whose_hashes_end_alike_stay_apart(spark, ids):
+    """One text repeats itself, the other nowhere; their hashes agree in the low 16 bits."""
+    made = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    half = "".join(made.choices(letters, k=300))
+    one = half + "--------" + half
+    body = "".join(made.choices(letters, k=688))
+    tail = F.lpad(F.col("id").cast("string"), 12, "q")
+    hashed = spark.range(1_000_000).select(tail.alias("tail"), F.xxhash64(F.concat(F.lit(body), tail)).alias("h"))
+    low = spark.range(1).select(F.xxhash64(F.lit(one)).bitwiseAND(0xFFFF)).first()[0]
+    other = body + hashed.filter(F.col("h").bitwiseAND(0xFFFF) == low).first().tail
+    rows = [(ids[0], one), (ids[1], other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = removed(rows)
+    got = {(r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(docs).collect()}
+    assert got == {v[:3] for v in want.values()} == {(608, 300, 1), (700, 0, 0)}
+
+
 def test_empty_table(no_docs):
     assert remove_repeats(no_docs).collect() == []
 
