@@ -37,12 +37,12 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from diamondframe.llm.byte_windows import GRAM, Hashes, mix, runs, segments
-from diamondframe.llm.common import id_key, id_value, read_table, text_value
+from diamondframe.llm.common import id_key, id_value, read_table, release_memory, text_value
 from diamondframe.session import written
 
 WINDOW = 100
 #: Rows that a task sorts at once, and hands on at once.
-SORTED_ROWS, ROWS_OUT = 1 << 20, 1 << 16
+SORTED_ROWS, ROWS_OUT = 1 << 19, 1 << 16
 PACKED_LEVEL = 5
 
 #: Windows that share a core, and the bytes beside it that they reach.
@@ -114,6 +114,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(texts, pa.binary())], ["doc", "version", "text"]
             )
+        release_memory()
 
     return docs.mapInArrow(pack, "doc long, version long, text binary")
 
@@ -132,6 +133,7 @@ def _first_digits(docs: DataFrame, window: int) -> DataFrame:
                     place = _place(anchor + at, anchor - first, anchor - last)
                     yield from sorter.add(gram, whole, owner, place, text_hash)
         yield from sorter.flush()
+        release_memory()
 
     return docs.mapInArrow(digits, _schema(_RUN_KEYS))
 
@@ -175,6 +177,7 @@ def _groups(rows: DataFrame, keys: list[str], undecided: bool) -> DataFrame:
                 held, held_done = rows[:, keep], (done | more)[keep]
             found = np.concatenate(out, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names)
+        release_memory()
 
     dealt = rows.repartition("k1").sortWithinPartitions(*names)
     return dealt.mapInArrow(read, _schema(keys))
@@ -232,6 +235,7 @@ def _second_digits(docs: DataFrame, open_runs: DataFrame, window: int) -> DataFr
                         owner, text_hash = _owners(doc, version, len(core))
                         yield from sorter.add(core, left, right, owner, _place(found + at, most, least), text_hash)
         yield from sorter.flush()
+        release_memory()
 
     return joined.mapInArrow(digits, _schema(_CORE_KEYS))
 
@@ -260,6 +264,7 @@ def _last_digits(open_blocks: DataFrame) -> DataFrame:
                     _place(start, 0, 0), version[some],
                 )
         yield from sorter.flush()
+        release_memory()
 
     return open_blocks.select(*_CORE_KEYS, *_OWNER).mapInArrow(digits, _schema(_RUN_KEYS))
 
@@ -315,6 +320,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                              [{"start": a, "end": b} for a, b in spans], kept))
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+        release_memory()
 
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     types = [pa.int64()] * 4 + [pa.list_(span), pa.binary()]
