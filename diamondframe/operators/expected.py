@@ -5,13 +5,15 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from diamondframe import constants as K
 from diamondframe.functions.states import state_key
 from diamondframe.functions.transitions import apply_event
 
 TYPE = "pitch_type_condensed"
+#: Bits of a target's number on one axis, in the rank of a candidate.
+TARGET_BITS = 5
 
 
 def outcome_frequencies(
@@ -91,15 +93,40 @@ def best_pitch(candidates: DataFrame, keep: list[str] | None = None) -> DataFram
 
     Equal values go to the first pitch type, then target. Values are compared to nine
     decimals so that the choice does not hang on the order of a sum. Candidates without
-    a value cannot be chosen.
+    a value, or of a type that is none of the seven, cannot be chosen.
+
+    Value, type and target are packed into one number that keeps their order, so the minimum
+    is a hash aggregate over numbers and no candidate is sorted. ``keep`` names the columns of
+    the result: the type, columns of numbers, and arrays of a number per outcome.
     """
     keep = keep or [TYPE, "x_idx", "z_idx", "plate_x", "plate_z", "expected_runs"]
-    # Missing values rank last and are dropped afterwards: a filter up front would be
+    kinds = dict(candidates.dtypes)
+    arrays = {c: len(K.KEPT_EVENTS) for c in keep if kinds[c] == "array<double>"}
+    numbers = {f"_{c}_{i}": F.get(c, F.lit(i)) for c, n in arrays.items() for i in range(n)}
+    flat = candidates.withColumns(numbers) if numbers else candidates
+    names = [c for c in keep if c != TYPE and c not in arrays] + list(numbers)
+    # A missing value makes a missing number, which no minimum takes. A filter up front would be
     # pushed below the model and evaluate it once more for every outcome.
-    value = F.col("expected_runs")
-    rank = F.struct(value.isNull().alias("none"), F.round(value, 9).alias("ev"), TYPE,
-                    "x_idx", "z_idx")
-    best = candidates.groupBy("request_id").agg(
-        F.min_by(F.struct(*keep), rank).alias("_best"), F.count(value).alias("_valued")
+    best = flat.withColumn("_rank", _rank()).groupBy("request_id").agg(
+        F.min("_rank").alias("_best"), *[F.min_by(n, "_rank").alias(n) for n in names]
     )
-    return best.filter(F.col("_valued") > 0).select("request_id", "_best.*")
+    kind = F.get(_types(), F.shiftright("_best", 2 * TARGET_BITS).bitwiseAND(7).cast("int") - 1)
+    made = {TYPE: kind} | {
+        c: F.when(F.col(f"_{c}_0").isNotNull(), F.array(*[F.col(f"_{c}_{i}") for i in range(n)]))
+        for c, n in arrays.items()
+    }
+    chosen = best.filter(F.col("_best").isNotNull())
+    return chosen.select("request_id", *[made.get(c, F.col(c)).alias(c) for c in keep])
+
+
+def _types() -> Column:
+    return F.array(*[F.lit(t) for t in sorted(K.PITCH_TYPES)])
+
+
+def _rank() -> Column:
+    """Expected runs to nine decimals, then type, then target, as one number in their order."""
+    value = F.round(F.round("expected_runs", 9) * 1e9).cast("long")
+    number = F.nullif(F.array_position(_types(), F.col(TYPE)), F.lit(0).cast("long"))
+    for bits, part in ((3, number), (TARGET_BITS, F.col("x_idx")), (TARGET_BITS, F.col("z_idx"))):
+        value = value * (1 << bits) + part
+    return value

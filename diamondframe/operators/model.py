@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from multiprocessing.pool import ThreadPool
+from threading import Event
 from typing import Any
 
 from pyspark import keyword_only
+from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Normalizer, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
@@ -13,11 +16,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from diamondframe import constants as K
 from diamondframe.functions.draws import key_hash
 from diamondframe.operators.ordered import number_in_order
+from diamondframe.session import shared_path, written
 
 
 def stratified_folds(
@@ -49,12 +53,18 @@ def _classes(dataset: DataFrame) -> int:
     return len(named) if named else int(dataset.agg(F.max("label")).first()[0]) + 1
 
 
+#: Boosting rounds after which a booster's lineage is cut.
+CHECKPOINT_ROUNDS = 10
+
+
 class BoostedOutcomes(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Boosted trees for more than two outcomes.
 
     One binary booster per outcome on the same features; their probabilities are scaled
-    to sum to one. Each fitted stage is a Spark ML stage, so the result is an ordinary
-    pipeline model. It is not the same as boosting a joint softmax.
+    to sum to one. Of two outcomes one booster says both. Each fitted stage is a Spark ML
+    stage, so the result is an ordinary pipeline model. It is not the same as boosting a
+    joint softmax. Every ``CHECKPOINT_ROUNDS`` rounds a booster's lineage is cut in the folder
+    named by ``spark.checkpoint.dir``.
     """
 
     maxDepth = Param(Params._dummy(), "maxDepth", "depth of a tree", TypeConverters.toInt)
@@ -69,6 +79,10 @@ class BoostedOutcomes(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         self._setDefault(maxDepth=5, stepSize=0.1, maxIter=50, seed=K.FOLD_SEED)
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
+        # The boosters cut their lineage only if the context has a folder for it.
+        context = dataset.sparkSession.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(shared_path(dataset.sparkSession, "boosting"))
         classes = _classes(dataset)
         present = {int(r["label"]) for r in dataset.select("label").distinct().collect()}
 
@@ -78,11 +92,14 @@ class BoostedOutcomes(Estimator, DefaultParamsReadable, DefaultParamsWritable):
                 maxDepth=self.getOrDefault("maxDepth"),
                 stepSize=self.getOrDefault("stepSize"),
                 maxIter=self.getOrDefault("maxIter"), seed=self.getOrDefault("seed"),
+                checkpointInterval=CHECKPOINT_ROUNDS,
             )
             booster.setRawPredictionCol(f"_raw_{code}").setProbabilityCol(f"_prob_{code}")
             target = (F.col("label") == code).cast("double")
             return booster.fit(dataset.select("features", target.alias("_is")))
 
+        if classes == 2 and len(present) == 2:
+            return PipelineModel([boost(1).setProbabilityCol("probability")])
         # An outcome without rows has the probability 0; the others are fitted side by side.
         with ThreadPool(min(4, max(1, len(present)))) as pool:
             fitted = dict(zip(sorted(present), pool.map(boost, sorted(present), chunksize=1)))
@@ -130,68 +147,133 @@ def predicted_code(probabilities: Column) -> Column:
     return F.array_position(probabilities, F.array_max(probabilities)) - 1
 
 
-def accuracy(scored: DataFrame) -> float:
+def accuracy(scored: DataFrame) -> float | None:
     """Share of rows whose likeliest outcome is the recorded one."""
-    code = predicted_code(vector_to_array("probability"))
-    hit = (code == F.col("label")).cast("double")
-    return scored.agg(F.avg(hit)).first()[0]
+    counted = confusion(scored).withColumn("hit", F.col("label") == F.col("guess"))
+    hits = F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0))
+    row = counted.agg(hits.alias("hits"), F.sum("n").alias("rows")).first()
+    return row["hits"] / row["rows"] if row["rows"] else None
 
 
 def _named(params: dict) -> str:
     return ", ".join(f"{p.name}={v}" for p, v in params.items())
 
 
+def _recorded(spark, path: str, schema: str) -> list:
+    """Rows of a table that may not have been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path).collect()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+
+
+def _rows_by_fold(prepared: DataFrame, path: str) -> DataFrame:
+    """The prepared rows below ``path``, a folder per fold; written unless an earlier run did."""
+    spark = prepared.sparkSession
+    if not _recorded(spark, f"{path}/rows_written", "done boolean"):
+        rows = prepared.select("features", "label", F.col("fold").cast("int").alias("fold"))
+        rows.write.mode("overwrite").partitionBy("fold").parquet(f"{path}/rows")
+        spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{path}/rows_written")
+    schema = prepared.select("features", "label").schema.add("fold", T.IntegerType())
+    return spark.read.schema(schema).parquet(f"{path}/rows")
+
+
+def confusion(scored: DataFrame) -> DataFrame:
+    """How often each outcome was answered by each: ``label, guess, n``, at most classes squared."""
+    guess = predicted_code(vector_to_array("probability")).cast("int")
+    return scored.groupBy(F.col("label").cast("int").alias("label"), guess.alias("guess")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+_TASK = "params string, label int, guess int, n long, param_idx int, fold int"
+
+
 def grid_search(
     prepared: DataFrame,
     estimator: Estimator,
     grid: list[dict],
     folds: int = K.FOLDS,
     parallelism: int = 4,
-) -> tuple[DataFrame, list]:
+    path: str | None = None,
+) -> tuple[DataFrame, dict[int, str]]:
     """Fit and test every parameter set on every fold.
 
-    ``prepared`` has ``features, label, fold`` and should be persisted. Returns one row
-    per parameter set and fold, and the models fitted without fold 0, one per set.
+    ``prepared`` has ``features, label, fold``. Its rows are written once below ``path``, by
+    fold, so a fit reads the other folds' files and a test its own. Each pair is done when the
+    confusion matrix of its one scoring job is written there; a search that is started again
+    with the same ``path`` goes on with what is missing. Without ``path`` a fresh folder of the
+    shared ones is taken. Returns one row per parameter set and fold, with counted ``hits``
+    and ``rows``, and where the models fitted without fold 0 are, by parameter set.
     """
-    def run(task: tuple[int, int]):
-        index, fold = task
-        model = estimator.fit(prepared.filter(F.col("fold") != fold), grid[index])
-        score = accuracy(model.transform(prepared.filter(F.col("fold") == fold)))
-        return index, fold, score, model if fold == 0 else None
-
-    tasks = [(i, f) for i in range(len(grid)) for f in range(folds)]
+    spark = prepared.sparkSession
+    path = path or shared_path(spark, "grid-search")
+    rows = _rows_by_fold(prepared, path)
+    models = {i: f"{path}/models/param_idx={i}" for i in range(len(grid))}
+    found = _recorded(spark, f"{path}/confusion", _TASK)
+    for r in found:
+        if r["param_idx"] >= len(grid) or r["params"] != _named(grid[r["param_idx"]]):
+            raise ValueError(f"{path} holds another search: {r['params']}")
+    done = {(r["param_idx"], r["fold"]) for r in found}
+
+    failed = Event()
+
+    def run(task: tuple[int, int]) -> None:
+        # After a failure nothing more is begun, so that the search can be started again.
+        if failed.is_set():
+            return
+        try:
+            fit_and_test(*task)
+        except BaseException:
+            failed.set()
+            raise
+
+    def fit_and_test(index: int, fold: int) -> None:
+        model = estimator.fit(rows.filter(F.col("fold") != fold), grid[index])
+        if fold == 0:
+            PipelineModel([model]).write().overwrite().save(models[index])
+        counted = confusion(model.transform(rows.filter(F.col("fold") == fold)))
+        record = counted.select(F.lit(_named(grid[index])).alias("params"), "label", "guess", "n")
+        target = f"{path}/confusion/param_idx={index}/fold={fold}"
+        record.coalesce(1).write.mode("overwrite").parquet(target)
+
+    tasks = [(i, f) for i in range(len(grid)) for f in range(folds) if (i, f) not in done]
     with ThreadPool(parallelism) as pool:
-        done = pool.map(run, tasks, chunksize=1)
-    rows = [(i, _named(grid[i]), f, score) for i, f, score, _ in done]
-    schema = "param_idx int, params string, fold int, accuracy double"
-    results = prepared.sparkSession.createDataFrame(rows, schema)
-    return results, [model for _, fold, _, model in done if fold == 0]
+        pool.map(run, tasks, chunksize=1)
+    hit = F.col("label") == F.col("guess")
+    counted = spark.read.schema(_TASK).parquet(f"{path}/confusion").groupBy("param_idx", "params", "fold").agg(
+        F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("hits"), F.sum("n").alias("rows")
+    )
+    results = counted.withColumn("accuracy", F.col("hits").cast("double") / F.col("rows").cast("double"))
+    return results, models
 
 
 def mean_accuracy(results: DataFrame) -> DataFrame:
-    """Mean over the folds, per parameter set."""
-    return results.groupBy("param_idx", "params").agg(
-        F.avg("accuracy").alias("average_test_accuracy")
-    )
+    """Mean over the folds, per parameter set.
+
+    The mean of the fractions ``hits`` / ``rows`` is exact and rounded once, so that it hangs on
+    no order of a sum. There is a row per parameter set and fold, whatever the table's size.
+    """
+    exact: dict[tuple, list[Fraction]] = {}
+    for r in results.select("param_idx", "params", "hits", "rows").collect():
+        exact.setdefault((r["param_idx"], r["params"]), []).append(Fraction(r["hits"], r["rows"]))
+    means = [(*names, float(sum(shares) / len(shares))) for names, shares in sorted(exact.items())]
+    schema = "param_idx int, params string, average_test_accuracy double"
+    return results.sparkSession.createDataFrame(means, schema)
 
 
 def best_parameters(means: DataFrame) -> DataFrame:
-    """The parameter set with the highest mean, the first of equals."""
-    rank = F.struct("average_test_accuracy", -F.col("param_idx"))
-    best = F.max_by(F.struct("param_idx", "params", "average_test_accuracy"), rank)
-    return means.agg(best.alias("b")).select("b.*")
+    """The parameter set with the highest mean, the first of equals; a row per set, few."""
+    return means.orderBy(F.col("average_test_accuracy").desc(), "param_idx").limit(1)
 
 
 def fit_outcomes(training: DataFrame, estimator: Estimator) -> PipelineModel:
     """Fit on a training table with feature columns: codes, vector, classifier."""
     indexer, assembler = label_indexer().fit(training), feature_assembler()
     prepared = assembler.transform(indexer.transform(training)).select("features", "label")
-    prepared.persist()
-    try:
-        fitted = estimator.fit(prepared)
-    finally:
-        prepared.unpersist()
-    return PipelineModel([indexer, assembler, fitted])
+    return PipelineModel([indexer, assembler, estimator.fit(written(prepared, "prepared"))])
 
 
 def select_model(
@@ -203,24 +285,28 @@ def select_model(
     seed: int = K.FOLD_SEED,
     refit: bool = False,
     parallelism: int = 4,
+    path: str | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
     """Cross-validated grid search and the model of the best parameter set.
 
     The model returned is the one fitted without fold 0; with ``refit`` it is fitted
-    again on all rows. Also returns the accuracy per parameter set and fold.
+    again on all rows. Also returns the mean accuracy of each parameter set, with ``best``
+    marking the one whose model it is: one result serves report and choice. With ``path`` a
+    search that was cut off goes on where it stopped (see ``grid_search``).
     """
     grid = grid or parameter_grid(estimator)
     indexer, assembler = label_indexer().fit(training), feature_assembler()
     folded = stratified_folds(training, "events", key or training.columns, folds, seed)
     prepared = assembler.transform(indexer.transform(folded))
-    prepared = prepared.select("features", "label", "fold").persist()
-    try:
-        results, first_fold = grid_search(prepared, estimator, grid, folds, parallelism)
-        index = best_parameters(mean_accuracy(results)).first()["param_idx"]
-        chosen = estimator.fit(prepared, grid[index]) if refit else first_fold[index]
-    finally:
-        prepared.unpersist()
-    return PipelineModel([indexer, assembler, chosen]), results
+    path = path or shared_path(training.sparkSession, "grid-search")
+    results, models = grid_search(prepared, estimator, grid, folds, parallelism, path)
+    means = mean_accuracy(results)
+    index = best_parameters(means).first()["param_idx"]
+    if refit:
+        chosen = estimator.fit(_rows_by_fold(prepared, path), grid[index])
+    else:
+        chosen = PipelineModel.load(models[index]).stages[0]
+    return PipelineModel([indexer, assembler, chosen]), means.withColumn("best", F.col("param_idx") == index)
 
 
 def model_labels(model: PipelineModel) -> list[str]:

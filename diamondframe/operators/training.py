@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from diamondframe.functions.labels import side_flags
 from diamondframe.functions.missing import number
@@ -61,9 +61,29 @@ def training_table(
     return rows.select(*PITCH_COLUMNS, *extra, *profile, *stats)
 
 
-def complete_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows without a missing value, in all columns or in those named."""
-    return df.dropna("any", subset=columns)
+def complete_rows(
+    df: DataFrame, columns: list[str] | None = None, report: Observation | None = None
+) -> DataFrame:
+    """Rows without a missing value, in all columns or in those named.
+
+    A ``report`` counts in the same pass what is left out and why: ``rows``, ``kept`` and, per
+    column, ``missing_<column>``, the rows that lack it. It is filled by the first action.
+    """
+    if report is None:
+        return df.dropna("any", subset=columns)
+    names, kinds = columns or df.columns, dict(df.dtypes)
+    lacks = [
+        F.col(c).isNull() | F.isnan(c) if kinds[c] in ("double", "float") else F.col(c).isNull()
+        for c in names
+    ]
+    # One list per row, which every count reads: the conditions themselves are not multiplied.
+    listed = F.array_compact(F.array(*[F.when(lack, F.lit(c)) for c, lack in zip(names, lacks)]))
+    complete = F.size("_lacks") == 0
+    counted = df.withColumn("_lacks", listed).observe(
+        report, F.count(F.lit(1)).alias("rows"), F.count_if(complete).alias("kept"),
+        *[F.count_if(F.array_contains("_lacks", c)).alias(f"missing_{c}") for c in names],
+    )
+    return counted.filter(complete).drop("_lacks")
 
 
 # Columns a training row must have. The profile's own side and zone are not among them,

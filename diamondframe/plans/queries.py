@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from multiprocessing.pool import ThreadPool
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from diamondframe import constants as K, schemas
 from diamondframe.functions.missing import number
+from diamondframe.functions.states import state_key
 from diamondframe.functions.transitions import apply_event
 from diamondframe.operators import candidates, expected, lookups, model as M, profiles
 from diamondframe.operators import runs, training
 from diamondframe.operators.joins import null_safe_join
 from diamondframe.operators.pitches import inning_runs, labelled_pitches, relevant_pitches
 from diamondframe.plans.prepare import handoff_tables, hitter_tables, profile_tables
-from diamondframe.plans.recommend import recommend, thrown
+from diamondframe.plans.recommend import recommend, thrown, typed_requests
 from diamondframe.session import shared_path, written, written_together
 from diamondframe.sources.models import load_model, save_model
-from diamondframe.sources.pitches import pitch_table, read_pitches
+from diamondframe.sources.pitches import odd_pitches, pitch_table, read_pitches
 from diamondframe.sources.tables import read_table, read_training, write_tables
 
 TYPE = "pitch_type_condensed"
@@ -184,7 +189,8 @@ def _features(spark, sf_dir) -> DataFrame:
 
 
 def model_features(spark, sf_dir):
-    features = _features(spark, sf_dir)
+    # The indexer reads the rows once to fit and once to transform.
+    features = written(_features(spark, sf_dir), "features")
     coded = M.label_indexer().fit(features).transform(features)
     flags = K.FEATURES[K.FEATURES.index("outs"):]
     means = training.FALLBACK_STATS
@@ -194,6 +200,24 @@ def model_features(spark, sf_dir):
     )
 
 
+def feature_vectors(spark, sf_dir):
+    """What the model is given, place by place."""
+    rows = M.feature_assembler().transform(_features(spark, sf_dir))
+    placed = rows.select("event_id", vector_to_array("features").alias("v"))
+    places = [F.round(F.get("v", F.lit(i)), 6).alias(f"v{i:02d}") for i in range(len(K.FEATURES))]
+    return placed.select("event_id", *places)
+
+
+def missing_values(spark, sf_dir):
+    """Per required column, training rows that lack it, counted while the rest is written."""
+    report = Observation("training rows")
+    complete = training.complete_rows(_training(spark, sf_dir), training.REQUIRED, report)
+    written(training.feature_columns(complete), "features")
+    counts = report.get
+    rows = [(c, counts[f"missing_{c}"], counts["kept"], counts["rows"]) for c in training.REQUIRED]
+    return spark.createDataFrame(rows, "column_name string, missing long, kept long, rows long")
+
+
 def keyed_lookup(spark, sf_dir):
     rows = _relevant(spark, sf_dir).select(
         "pitcher", "p_throws", TYPE, "event_id", "release_speed", "description"
@@ -309,8 +333,9 @@ def location_jitter(spark, sf_dir):
 
 def pitch_outcomes(spark, sf_dir):
     """The best pitch of each request with a drawn outcome and the state after it."""
-    keep = [TYPE, "x_idx", "z_idx", "state", *candidates.SITUATION, "probs"]
+    keep = [TYPE, "x_idx", "z_idx", *candidates.SITUATION, "probs"]
     best = expected.best_pitch(_valued(spark, sf_dir), keep)
+    best = best.withColumn("state", state_key(*[F.col(c) for c in candidates.SITUATION]))
     drawn = candidates.draw_outcome(best, LABELS, SEED)
     return apply_event(drawn, "drawn_event").select(
         "request_id", TYPE, "state", "drawn_event", "next_state",
@@ -422,12 +447,8 @@ def cv_results(spark, sf_dir):
     features = written(_features(spark, sf_dir), "features")
     forest = M.outcome_estimator("rf", numTrees=5)
     grid = [{forest.maxDepth: d, forest.numTrees: n} for d in (3, 5) for n in (5, 10)]
-    _, results = M.select_model(features, forest, grid, key=["event_id"])
-    means = M.mean_accuracy(results)
-    best = M.best_parameters(means).select("param_idx", F.lit(True).alias("best"))
-    return means.join(best, "param_idx", "left").withColumn(
-        "best", F.coalesce("best", F.lit(False))
-    )
+    _, means = M.select_model(features, forest, grid, key=["event_id"])
+    return means
 
 
 def outcome_scores(spark, sf_dir):
@@ -506,13 +527,8 @@ def tree_cv(spark, sf_dir):
     complete = training.complete_rows(_training(spark, sf_dir), training.REQUIRED)
     tree = _count_tree()
     grid = [{tree.maxDepth: 10}, {tree.maxDepth: 12}]
-    _, results = M.select_model(_count_features(complete), tree, grid, key=["event_id"])
-    means = M.mean_accuracy(results)
-    best = M.best_parameters(means).select("param_idx", F.lit(True).alias("best"))
-    return means.join(best, "param_idx", "left").select(
-        "param_idx", "params", *_round("average_test_accuracy"),
-        F.coalesce("best", F.lit(False)).alias("best"),
-    )
+    _, means = M.select_model(_count_features(complete), tree, grid, key=["event_id"])
+    return means.select("param_idx", "params", *_round("average_test_accuracy"), "best")
 
 
 def tree_recommend(spark, sf_dir):
@@ -528,7 +544,104 @@ def tree_recommend(spark, sf_dir):
     )
 
 
+def boosted_scores(spark, sf_dir):
+    """Probabilities of all ten outcomes by boosted trees that have learned them by count."""
+    complete = training.complete_rows(_training(spark, sf_dir), training.REQUIRED)
+    rows = _planted(_count_features(complete))
+    booster = M.outcome_estimator("ovr_gbt", maxDepth=7, maxIter=5, stepSize=0.1)
+    path = shared_path(spark, "boosted")
+    save_model(M.fit_outcomes(rows, booster), path)
+    model = load_model(path)
+    probs = M.probability_map(M.model_labels(model))
+    named = [F.coalesce(F.try_element_at(probs, F.lit(x)), F.lit(0.0)).alias(f"p_{x}") for x in LABELS]
+    scored = M.score(rows, model).select("event_id", *named)
+    return scored.select("event_id", *_round(*[f"p_{x}" for x in LABELS]))
+
+
+def boosted_search(spark, sf_dir):
+    """All 27 parameter sets of the boosted model on five folds, on two outcomes by strikes."""
+    complete = training.complete_rows(_training(spark, sf_dir), training.REQUIRED)
+    rows = _count_features(complete).withColumn(
+        "events", F.when(F.col("strikes") == 2, F.lit("strike")).otherwise(F.lit("ball"))
+    )
+    booster = M.outcome_estimator("ovr_gbt")
+    _, means = M.select_model(rows, booster, key=["event_id"], parallelism=8)
+    return means.select("param_idx", "params", *_round("average_test_accuracy"), "best")
+
+
+#: Where the one split of each model input is planted, inside the usual range of the input.
+INPUT_SPLITS = {
+    "release_speed": 89.7, "release_pos_x": 0.1, "release_pos_y": 52.4, "release_pos_z": 5.4,
+    "pfx_x": 0.1, "pfx_z": 0.4, "plate_x": 0.3, "plate_z": 2.1, "sz_bot": 1.503,
+    "sz_top": 3.503, "avgEV": 84.3, "avgLA": 9.3, "zSwingPCT": 0.431, "oSwingPCT": 0.432,
+    "outs": 0.5, "balls": 1.5, "strikes": 0.5, "stand_L": 0.5, "stand_R": 0.5,
+    "p_throws_L": 0.5, "p_throws_R": 0.5,
+}
+
+
+def _input_trees(rows: DataFrame) -> PipelineModel:
+    """For each model input a tree that splits on it alone, into ``above_<input>``.
+
+    A tree learns from rows of which only its input differs, so the split lies halfway
+    between the two values it takes.
+    """
+    assembler, above = M.feature_assembler(), F.col("event_id") % 2
+
+    def fit(name: str):
+        at = INPUT_SPLITS[name]
+        inputs = {c: F.lit(0.0) for c in K.FEATURES} | {name: F.lit(at - 1) + 2 * above}
+        made = rows.withColumns(inputs).withColumn("label", above.cast("double"))
+        tree = _count_tree(maxDepth=1).setPredictionCol(f"above_{name}")
+        tree.setRawPredictionCol(f"_raw_{name}").setProbabilityCol(f"_share_{name}")
+        return tree.fit(assembler.transform(made).select("features", "label"))
+
+    with ThreadPool(4) as pool:
+        return PipelineModel([assembler, *pool.map(fit, K.FEATURES, chunksize=1)])
+
+
+def input_splits(spark, sf_dir):
+    """Targets of every request and pitch type whose inputs are above the split, input by input.
+
+    The inputs come the way they do in a recommendation: situation, drawn movement, the
+    batter's own or generic profile, target and sides. Each has a tree of its own in the model.
+    """
+    pitches = pitch_table(spark, sf_dir)
+    tables = handoff_tables(pitches)
+    path = shared_path(spark, "input_trees")
+    save_model(_input_trees(written(pitches.select("event_id"), "tree_rows")), path)
+    requests = candidates.requests_from_pitches(relevant_pitches(pitches), "event_id")
+    grid = candidates.candidate_grid(typed_requests(requests, tables, SEED))
+    split = load_model(path).transform(grid)
+    return split.groupBy("request_id", TYPE).agg(
+        *[F.sum(F.col(f"above_{c}").cast("long")).alias(f"above_{c}") for c in K.FEATURES]
+    )
+
+
+def _odd(query: Query) -> Query:
+    """The query over pitches with switch hitters, missing values and doubled keys."""
+
+    def over_odd_pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with odd_pitches():
+            return query(spark, sf_dir)
+
+    return over_odd_pitches
+
+
+#: Queries that the odd pitches make a difference to.
+ODD = [
+    "pitch_states", "inning_runs", "run_expectancy", "run_values", "inning_trajectory",
+    "batting_slots", "hitter_counts", "hitter_profiles", "generic_hitter_profiles",
+    "pitcher_usage", "pitcher_profiles", "training_table", "complete_rows", "missing_values",
+    "keyed_lookup", "profile_map", "pitcher_arsenals", "hitter_features", "best_pitch",
+]
+
+
 def all_queries() -> dict[str, Query]:
+    clean = _clean_queries()
+    return clean | {f"odd_{name}": _odd(clean[name]) for name in ODD}
+
+
+def _clean_queries() -> dict[str, Query]:
     return {
         "pitch_states": pitch_states,
         "outcome_labels": outcome_labels,
@@ -548,6 +661,8 @@ def all_queries() -> dict[str, Query]:
         "complete_rows": complete_rows,
         "filled_and_unfilled": filled_and_unfilled,
         "model_features": model_features,
+        "feature_vectors": feature_vectors,
+        "missing_values": missing_values,
         "keyed_lookup": keyed_lookup,
         "profile_map": profile_map,
         "pitcher_arsenals": pitcher_arsenals,
@@ -572,6 +687,9 @@ def all_queries() -> dict[str, Query]:
         "tree_scores": tree_scores,
         "tree_cv": tree_cv,
         "tree_recommend": tree_recommend,
+        "boosted_scores": boosted_scores,
+        "boosted_search": boosted_search,
+        "input_splits": input_splits,
         "cv_results": cv_results,
         "outcome_scores": outcome_scores,
         "recommend": recommend_query,

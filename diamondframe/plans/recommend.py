@@ -12,6 +12,19 @@ from diamondframe.operators.joins import null_safe_join
 from diamondframe.plans.prepare import scoring_tables
 
 
+def typed_requests(
+    requests: DataFrame, tables: dict[str, DataFrame], seed: int = 0, right_only: bool = False
+) -> DataFrame:
+    """Requests by pitch type with every model input but the target, under the model's names."""
+    tables = scoring_tables(tables)
+    rows = candidates.request_types(candidates.spread(requests), tables["arsenals"])
+    rows = candidates.draw_movement(rows, seed)
+    rows = candidates.hitter_features(
+        rows, tables["first_stands"], tables["ind_hitter_sum"], tables["generic_hitter_sum"]
+    )
+    return rows.withColumns(side_flags(F.col("stand"), F.col("p_throws"), right_only))
+
+
 def scored_candidates(
     requests: DataFrame,
     model: PipelineModel,
@@ -26,14 +39,8 @@ def scored_candidates(
     the row or against small tables.
     """
     labels = M.model_labels(model)
-    tables = scoring_tables(tables)
     values = expected.next_state_values(tables["re288"], labels, include_event_runs)
-    rows = candidates.request_types(candidates.spread(requests), tables["arsenals"])
-    rows = candidates.draw_movement(rows, seed)
-    rows = candidates.hitter_features(
-        rows, tables["first_stands"], tables["ind_hitter_sum"], tables["generic_hitter_sum"]
-    )
-    rows = rows.withColumns(side_flags(F.col("stand"), F.col("p_throws"), right_only))
+    rows = typed_requests(requests, tables, seed, right_only)
     grid = candidates.candidate_grid(expected.with_next_values(rows, values))
     return expected.expected_runs(M.score(grid, model), labels)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import product
 from pathlib import Path
 
-_PITCHES = (
-    Path(__file__).resolve().parent / "diamondframe/sources/pitches_from_events.sql"
-).read_text()
+_SOURCES = Path(__file__).resolve().parent / "diamondframe/sources"
+_PITCHES = (_SOURCES / "pitches_from_events.sql").read_text()
+_ODD_PITCHES = (_SOURCES / "odd_pitches.sql").read_text()
 
 _CSV_NUMBERS = """at_bat_number pitch_number outs_when_up balls strikes bat_score post_bat_score
     pitcher batter""".split()
@@ -43,7 +44,8 @@ _CTES: dict[str, str] = {
                TRY_CAST(zone AS DOUBLE) AS zone,
                TRY_CAST(launch_speed AS DOUBLE) AS launch_speed,
                TRY_CAST(launch_angle AS DOUBLE) AS launch_angle,
-               game_pk || '_' || inning || '_' || inning_topbot AS game_inning
+               COALESCE(CAST(game_pk AS VARCHAR), 'NA') || '_' || inning || '_'
+                   || inning_topbot AS game_inning
         FROM pitches WHERE inning < 10 AND balls < 4 AND strikes < 3""",
     "states": """
         SELECT *, outs || '_' || b1 || b2 || b3 || '_' || balls || strikes AS state,
@@ -63,17 +65,19 @@ _CTES: dict[str, str] = {
         WHERE label IS NULL OR label IN ('double', 'hit_by_pitch', 'home_run', 'single',
               'triple', 'walk', 'out', 'strike', 'ball', 'foul')""",
     "inning_max": """
-        SELECT *, MAX(bat_score) OVER (PARTITION BY game_inning) AS post_inning_runs
-        FROM states""",
+        SELECT *, CASE WHEN COUNT(bat_score) OVER w = COUNT(*) OVER w
+                       THEN MAX(bat_score) OVER w END AS post_inning_runs
+        FROM states WINDOW w AS (PARTITION BY game_inning)""",
     "re": """
-        SELECT state, AVG(post_inning_runs - bat_score) AS runs_expected,
+        SELECT state, CASE WHEN COUNT(post_inning_runs - bat_score) = COUNT(*)
+                           THEN AVG(post_inning_runs - bat_score) END AS runs_expected,
                COUNT(*) AS occurrences
         FROM inning_max GROUP BY state""",
     "hitter_count": """
         SELECT batter, pitch_type_condensed, p_throws, stand, COUNT(*) AS pitches,
                MAX(total) AS total_pitches,
-               CAST(SUM(CASE WHEN description = 'hit_into_play' THEN 1 ELSE 0 END) AS BIGINT)
-                   AS bip
+               CASE WHEN COUNT(description) = COUNT(*)
+                    THEN COUNT(*) FILTER (description = 'hit_into_play') END AS bip
         FROM (SELECT *, COUNT(*) OVER (PARTITION BY batter) AS total FROM states)
         GROUP BY ALL""",
     "hitter_result": """
@@ -89,7 +93,9 @@ _CTES: dict[str, str] = {
         GROUP BY ALL""",
     "hitters": """
         SELECT r.* FROM hitter_result r
-        JOIN hitter_count c USING (batter, pitch_type_condensed, p_throws, stand)
+        JOIN hitter_count c ON c.batter IS NOT DISTINCT FROM r.batter
+         AND c.pitch_type_condensed = r.pitch_type_condensed
+         AND c.p_throws = r.p_throws AND c.stand = r.stand
         WHERE c.total_pitches > 500 AND c.pitches > 50 AND c.bip > 10""",
     "generic": """
         SELECT stand, pitch_type_condensed, p_throws,
@@ -121,7 +127,8 @@ _CTES: dict[str, str] = {
         HAVING MAX(total) > 500 AND COUNT(*) / MAX(total) > 0.03""",
     "pitchers": """
         SELECT m.*, u.pitches, u.total_pitches, u.usage_pct
-        FROM usage u JOIN movement m USING (pitcher, pitch_type_condensed)""",
+        FROM usage u JOIN movement m ON m.pitcher IS NOT DISTINCT FROM u.pitcher
+         AND m.pitch_type_condensed = u.pitch_type_condensed""",
     "training": """
         SELECT l.event_id, l.state, l.pitcher, l.p_throws, l.pitch_type_condensed,
                l.release_speed, l.release_pos_x, l.release_pos_z, l.release_pos_y,
@@ -156,12 +163,13 @@ _CTES: dict[str, str] = {
           AND zSwingPCT IS NOT NULL AND oSwingPCT IS NOT NULL""",
     "arsenal": """
         SELECT * FROM pitchers p
-        WHERE p_throws = (SELECT q.p_throws FROM pitchers q WHERE q.pitcher = p.pitcher
+        WHERE p_throws = (SELECT q.p_throws FROM pitchers q
+                          WHERE q.pitcher IS NOT DISTINCT FROM p.pitcher
                           ORDER BY q.pitch_type_condensed, q.p_throws LIMIT 1)""",
     "request_types": """
         SELECT r.event_id AS request_id, r.batter, r.outs, r.b1, r.b2, r.b3,
                r.balls, r.strikes, r.state, a.*
-        FROM states r JOIN arsenal a ON a.pitcher = r.pitcher""",
+        FROM states r JOIN arsenal a ON a.pitcher IS NOT DISTINCT FROM r.pitcher""",
     "first_stand": """
         SELECT batter, p_throws, stand FROM (
             SELECT *, ROW_NUMBER() OVER (PARTITION BY batter, p_throws
@@ -169,7 +177,8 @@ _CTES: dict[str, str] = {
             FROM hitters) WHERE n = 1""",
     "sided": """
         SELECT r.*, COALESCE(f.stand, 'R') AS stand FROM request_types r
-        LEFT JOIN first_stand f ON f.batter = r.batter AND f.p_throws = r.p_throws""",
+        LEFT JOIN first_stand f ON f.batter IS NOT DISTINCT FROM r.batter
+              AND f.p_throws = r.p_throws""",
     "profiled": """
         SELECT s.*,
                CASE WHEN h.batter IS NOT NULL THEN h.avgEV ELSE g.avgEV END AS avgEV,
@@ -181,7 +190,7 @@ _CTES: dict[str, str] = {
                CASE WHEN h.batter IS NOT NULL THEN h.sz_bot ELSE g.sz_bot END AS sz_bot,
                CASE WHEN h.batter IS NOT NULL THEN h.sz_top ELSE g.sz_top END AS sz_top
         FROM sided s
-        LEFT JOIN hitters h ON h.batter = s.batter AND h.p_throws = s.p_throws
+        LEFT JOIN hitters h ON h.batter IS NOT DISTINCT FROM s.batter AND h.p_throws = s.p_throws
               AND h.stand = s.stand AND h.pitch_type_condensed = s.pitch_type_condensed
         LEFT JOIN generic g ON g.stand = s.stand AND g.p_throws = s.p_throws
               AND g.pitch_type_condensed = s.pitch_type_condensed""",
@@ -346,17 +355,17 @@ def _normal(text: str) -> str:
     )
 
 
-def _query(select: str) -> str:
+def _query(select: str, ctes: dict[str, str] = _CTES) -> str:
     """The select with the expressions it needs, and those they need."""
     needed: list[str] = []
     text = select
-    for name in reversed(list(_CTES)):
+    for name in reversed(list(ctes)):
         words = text.replace("(", " ").replace(")", " ").replace(",", " ").split()
         sources = [b for a, b in zip(words, words[1:]) if a in ("FROM", "JOIN")]
         if name in sources:
             needed.append(name)
-            text += "\n" + _CTES[name]
-    body = ",\n".join(f"{n} AS MATERIALIZED (\n{_CTES[n]}\n)" for n in reversed(needed))
+            text += "\n" + ctes[name]
+    body = ",\n".join(f"{n} AS MATERIALIZED (\n{ctes[n]}\n)" for n in reversed(needed))
     return f"WITH {body}\n{select}"
 
 
@@ -405,17 +414,24 @@ _SELECTS: dict[str, str] = {
                            LEAD(re.runs_expected) OVER w AS following
                     FROM states r JOIN re ON re.state = r.state
                     WINDOW w AS (ORDER BY game_pk NULLS LAST, at_bat_number NULLS LAST,
-                                          pitch_number NULLS LAST)))""",
+                                          pitch_number NULLS LAST, r.state,
+                                          bat_score NULLS LAST, post_bat_score NULLS LAST,
+                                          batter NULLS LAST, pitcher NULLS LAST)))""",
     "inning_trajectory": """
         SELECT game_inning, ROW_NUMBER() OVER (PARTITION BY game_inning
-                                ORDER BY at_bat_number, pitch_number) AS pitch_index,
+                                ORDER BY at_bat_number, pitch_number, r.state,
+                                         bat_score NULLS LAST) AS pitch_index,
                r.state,
                ROUND(re.runs_expected + bat_score
-                     - MIN(bat_score) OVER (PARTITION BY game_inning), 6) AS expected_total
+                     - CASE WHEN COUNT(bat_score) OVER i = COUNT(*) OVER i
+                            THEN MIN(bat_score) OVER i END, 6) AS expected_total
         FROM states r JOIN re ON re.state = r.state
+        WINDOW i AS (PARTITION BY game_inning)
         UNION ALL
         SELECT game_inning, COUNT(*) + 1, '3_000_00',
-               ROUND(CAST(MAX(post_bat_score) - MIN(bat_score) AS DOUBLE), 6)
+               ROUND(CAST(CASE WHEN COUNT(bat_score) = COUNT(*)
+                                AND COUNT(post_bat_score) = COUNT(*)
+                               THEN MAX(post_bat_score) - MIN(bat_score) END AS DOUBLE), 6)
         FROM states GROUP BY game_inning""",
     "batting_slots": """
         SELECT game_pk, inning_topbot, at_bat_number, (n - 1) % 9 AS slot, n % 9 AS next_slot
@@ -609,4 +625,74 @@ _SELECTS |= {
         FROM complete""",
 }
 
+# The model's inputs in their order; the query's columns are numbered.
+_INPUTS = """release_speed release_pos_x release_pos_y release_pos_z pfx_x pfx_z plate_x plate_z
+    sz_bot sz_top avgEV avgLA zSwingPCT oSwingPCT outs balls strikes""".split()
+_SIDES = {"stand_L": "stand = 'L'", "stand_R": "stand = 'R'",
+          "p_throws_L": "p_throws = 'L'", "p_throws_R": "p_throws = 'R'"}
+_REQUIRED = """pitcher p_throws pitch_type_condensed release_speed release_pos_x release_pos_z
+    release_pos_y pfx_x pfx_z plate_x plate_z batter stand sz_bot sz_top""".split()
+_SELECTS |= {
+    "feature_vectors": "SELECT event_id, " + ", ".join(
+        f"ROUND(CAST({c} AS DOUBLE), 6) AS v{i:02d}"
+        for i, c in enumerate([*_INPUTS, *_SIDES.values()])
+    ) + " FROM complete",
+    "missing_values": " UNION ALL ".join(
+        f"SELECT '{name}' AS column_name, COUNT(*) FILTER ({c} IS NULL) AS missing, "
+        "(SELECT COUNT(*) FROM complete) AS kept, COUNT(*) AS rows FROM training"
+        for name, c in [("out_base_count_state", "state"), *[(c, c) for c in _REQUIRED],
+                        ("events", "label"), *[(c, c) for c in _SHARED]]
+    ),
+    # Pure leaves: every round adds the same step to the margin of an outcome's own rows, and
+    # takes it from all others; ten such answers are scaled to one.
+    "boosted_scores": f"""
+        SELECT event_id, {", ".join(
+            f"ROUND(CASE WHEN (balls * 3 + strikes) % 10 = {n} THEN yes ELSE 1 - yes END"
+            f" / (yes + 9 * (1 - yes)), 6) AS p_{x}" for n, x in enumerate(_OUTCOMES))}
+        FROM complete, (
+            SELECT 1 / (1 + EXP(-2 * list_reduce([1.0::DOUBLE, 2, 3, 4, 5], lambda f, k:
+                       f + 0.1::DOUBLE * 4 / (1 + EXP(2 * f))))) AS yes)""",
+    "boosted_search": """
+        SELECT CAST(i AS INTEGER) AS param_idx, params, 1.0::DOUBLE AS average_test_accuracy,
+               i = 0 AS best
+        FROM (VALUES """ + ", ".join(
+            f"({i}, 'maxDepth={d}, stepSize={r}, maxIter={n}')"
+            for i, (d, r, n) in enumerate(product((3, 5, 7), (0.01, 0.05, 0.1), (50, 100, 200)))
+        ) + """) v(i, params)
+        WHERE EXISTS (SELECT 1 FROM complete)""",
+}
+
+# What the input trees split at; a request's inputs as in the candidates, movement as drawn.
+_SPLITS = {
+    "release_speed": 89.7, "release_pos_x": 0.1, "release_pos_y": 52.4, "release_pos_z": 5.4,
+    "pfx_x": 0.1, "pfx_z": 0.4, "plate_x": 0.3, "plate_z": 2.1, "sz_bot": 1.503,
+    "sz_top": 3.503, "avgEV": 84.3, "avgLA": 9.3, "zSwingPCT": 0.431, "oSwingPCT": 0.432,
+    "outs": 0.5, "balls": 1.5, "strikes": 0.5,
+}
+_SELECTS["input_splits"] = (
+    "SELECT request_id, pitch_type_condensed, "
+    + ", ".join(
+        f"COUNT(*) FILTER (({c} <= {at}) IS NOT TRUE) AS above_{c}" for c, at in _SPLITS.items()
+    )
+    + ", "
+    + ", ".join(f"COUNT(*) FILTER ({test}) AS above_{c}" for c, test in _SIDES.items())
+    + " FROM (SELECT *, "
+    + ", ".join(
+        f"CASE WHEN sd{s} IS NULL THEN avg{s} ELSE avg{s} + sd{s} * "
+        + _normal(f"'7:' || request_id || ':' || pitch_type_condensed || ':{s}'") + f" END AS {m}"
+        for m, s in _MOVES.items()
+    )
+    + " FROM grid) GROUP BY request_id, pitch_type_condensed"
+)
+
 ORACLES: dict[str, str] = {name: _query(select) for name, select in _SELECTS.items()}
+
+# The same queries over pitches with switch hitters, missing values and doubled keys.
+_ODD_CTES = {"clean_pitches": _PITCHES} | _CTES | {
+    "pitches": _ODD_PITCHES.replace("FROM pitches", "FROM clean_pitches")
+}
+_ODD = """pitch_states inning_runs run_expectancy run_values inning_trajectory batting_slots
+    hitter_counts hitter_profiles generic_hitter_profiles pitcher_usage pitcher_profiles
+    training_table complete_rows missing_values keyed_lookup profile_map pitcher_arsenals
+    hitter_features best_pitch""".split()
+ORACLES |= {f"odd_{name}": _query(_SELECTS[name], _ODD_CTES) for name in _ODD}

@@ -53,6 +53,34 @@ def test_last_row_wins(spark):
     assert [(r["k"], r["v"]) for r in got] == [(1, 30.0), (None, None)]
 
 
+def test_rows_that_tie_in_the_order_give_one_whole_row(spark):
+    rows = spark.createDataFrame(
+        [(1, 5, "x", 1.0), (1, 5, "y", 2.0), (1, 5, "y", 2.0), (1, 4, "z", 3.0), (2, None, "u", 4.0),
+         (2, None, "v", 5.0), (3, None, "w", 6.0), (3, 0, "w", 7.0)],
+        "k long, row long, s string, v double",
+    )
+    found = [collected(lookups.keyed_lookup(rows.repartition(n), ["k"], ["row"]), "k") for n in (1, 6)]
+    assert found[0] == found[1] and [r["k"] for r in found[0]] == [1, 2, 3]
+    assert (found[0][0]["s"], found[0][0]["v"]) in {("x", 1.0), ("y", 2.0)}
+    assert found[0][2]["v"] == 7.0
+    two = collected(lookups.keyed_lookup(rows, ["k"], ["row", "v"]), "k")
+    assert [r["v"] for r in two] == [2.0, 5.0, 7.0]
+
+
+def test_a_doubled_or_missing_map_key_is_named(spark):
+    schema = f"pitcher long, {TYPE} string, avgVelo double"
+    doubled = spark.createDataFrame([(1, "FF", 95.0), (1, "FF", 96.0), (2, "FF", 91.0)], schema)
+    with pytest.raises(ValueError, match=f"2 rows with pitcher=1, {TYPE}=FF"):
+        lookups.profile_map(doubled, ["pitcher"], TYPE)
+    missing = spark.createDataFrame([(1, None, 95.0)], schema)
+    with pytest.raises(ValueError, match=f"{TYPE}=None"):
+        lookups.profile_map(missing, ["pitcher"], TYPE)
+    many = spark.createDataFrame([(1, f"T{k}", 95.0) for k in range(5)], schema)
+    assert lookups.profile_map(many, ["pitcher"], TYPE).count() == 1
+    with pytest.raises(ValueError, match="5 entries for pitcher=1: more than 4"):
+        lookups.profile_map(many, ["pitcher"], TYPE, most=4)
+
+
 def test_profiles_as_a_map(spark):
     rows = spark.createDataFrame(
         [(1, "R", "SL", 80.0), (1, "R", "FF", 95.0), (2, "L", "FF", 91.0)],
@@ -193,3 +221,28 @@ def test_best_pitch_is_the_minimum_whatever_the_partitioning(spark):
     )
     assert one == eight
     assert {k: r.expected_runs for k, r in one.items()} == lowest
+
+
+def test_best_pitch_packs_value_type_and_target_in_order(spark):
+    """Against a plain sort, with values that differ in the ninth decimal and in the sign."""
+    made = spark.range(4000).select(
+        (F.col("id") % 97).alias("request_id"),
+        F.get(F.array(*[F.lit(t) for t in [*K.PITCH_TYPES, "EP"]]), (F.col("id") % 8).cast("int")).alias(TYPE),
+        (F.col("id") * 7 % 5).cast("int").alias("x_idx"), (F.col("id") * 3 % 5).cast("int").alias("z_idx"),
+        F.when(F.col("id") % 11 == 0, None).otherwise(((F.col("id") * 31 % 13) - 3) / 1e9 + 0.25 * (F.col("id") % 3)).alias("expected_runs"),
+        F.col("id").cast("double").alias("plate_x"), F.lit(1.0).alias("plate_z"),
+        F.array(*[F.col("id").cast("double") + k for k in range(10)]).alias("probs"),
+    )
+    want = {}
+    for r in made.collect():
+        if r.expected_runs is not None and r[TYPE] != "EP":
+            key = (round(r.expected_runs, 9), r[TYPE], r.x_idx, r.z_idx)
+            want.setdefault(r.request_id, []).append((key, r.plate_x))
+    keep = [TYPE, "x_idx", "z_idx", "plate_x", "expected_runs", "probs"]
+    got = expected.best_pitch(made.repartition(5), keep).collect()
+    assert len(got) == len(want) == 97
+    for r in got:
+        least = min(key for key, _ in want[r.request_id])
+        assert (round(r.expected_runs, 9), r[TYPE], r.x_idx, r.z_idx) == least
+        assert r.plate_x in {p for key, p in want[r.request_id] if key == least}
+        assert r.probs == [r.plate_x + k for k in range(10)]

@@ -117,10 +117,10 @@ def test_search_returns_the_model_fitted_without_fold_0(spark, features):
         "rf", numTrees=1, bootstrap=False, featureSubsetStrategy="all"
     )
     grid = [{forest.maxDepth: 1}, {forest.maxDepth: 4}]
-    model, results = M.select_model(features, forest, grid, key=["event_id"], folds=3)
-    assert results.count() == 6
-    best = M.best_parameters(M.mean_accuracy(results)).first()
-    assert best.params == "maxDepth=4"
+    model, means = M.select_model(features, forest, grid, key=["event_id"], folds=3)
+    found = {r.params: r for r in means.collect()}
+    assert set(found) == {"maxDepth=1", "maxDepth=4"}
+    assert found["maxDepth=4"].best and not found["maxDepth=1"].best
 
     folded = M.stratified_folds(features, "events", ["event_id"], 3)
     indexed = M.label_indexer().fit(features).transform(folded)
@@ -132,6 +132,75 @@ def test_search_returns_the_model_fitted_without_fold_0(spark, features):
     assert joined.count() == 900
 
 
+def prepared_rows(features, folds=3):
+    folded = M.stratified_folds(features, "events", ["event_id"], folds)
+    indexed = M.label_indexer().fit(features).transform(folded)
+    return M.feature_assembler().transform(indexed).select("features", "label", "fold")
+
+
+class Counting:
+    """An estimator that notes its fits, and breaks off where it is told to."""
+
+    def __init__(self, inner, stop_at=None):
+        self.inner, self.stop_at, self.fits = inner, stop_at, 0
+
+    def fit(self, rows, params):
+        self.fits += 1
+        if self.stop_at == self.fits:
+            raise RuntimeError("driver lost")
+        return self.inner.fit(rows, params)
+
+
+def test_a_search_goes_on_where_it_was_cut_off(spark, features):
+    tree = M.outcome_estimator("rf", numTrees=1, bootstrap=False, featureSubsetStrategy="all")
+    grid = [{tree.maxDepth: 1}, {tree.maxDepth: 4}]
+    rows, path = prepared_rows(features), shared_path(spark, "cut-off")
+    broken = Counting(tree, stop_at=4)
+    with pytest.raises(RuntimeError):
+        M.grid_search(rows, broken, grid, 3, parallelism=1, path=path)
+    rest = Counting(tree)
+    results, models = M.grid_search(rows, rest, grid, 3, parallelism=1, path=path)
+    assert broken.fits >= 4 and rest.fits == 3
+    whole, _ = M.grid_search(rows, tree, grid, 3)
+    assert sorted(map(tuple, results.collect())) == sorted(map(tuple, whole.collect()))
+    assert results.agg(F.sum("rows")).first()[0] == 900 * 2
+    again = Counting(tree)
+    M.grid_search(rows, again, grid, 3, path=path)
+    assert again.fits == 0 and set(models) == {0, 1}
+    with pytest.raises(ValueError, match="another search"):
+        M.grid_search(rows, tree, [{tree.maxDepth: 2}], 3, path=path)
+
+
+def test_accuracy_counts_hits(spark, features):
+    model = M.fit_outcomes(features, M.outcome_estimator("rf", numTrees=3, maxDepth=5))
+    scored = model.transform(features)
+    matrix = {(r.label, r.guess): r.n for r in M.confusion(scored).collect()}
+    assert sum(matrix.values()) == 900
+    assert M.accuracy(scored) == sum(n for (a, b), n in matrix.items() if a == b) / 900
+    assert M.accuracy(scored.limit(0)) is None
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 8])
+def test_equal_means_tie_whatever_the_order_of_the_folds(spark, partitions):
+    shares = [(1, 10), (2, 10), (3, 10), (7, 10), (1, 3)]
+    rows = []
+    for index in range(12):
+        turned = shares[index % 5:] + shares[: index % 5]
+        rows += [(index, f"set {index}", fold, n, of) for fold, (n, of) in enumerate(turned)]
+    rows += [(12, "less", fold, n, of) for fold, (n, of) in enumerate([(0, 10), *shares[1:]])]
+    results = spark.createDataFrame(rows, "param_idx int, params string, fold int, hits long, rows long")
+    means = M.mean_accuracy(results.repartition(partitions, "fold"))
+    assert means.select("average_test_accuracy").distinct().count() == 2
+    assert M.best_parameters(means).first().param_idx == 0
+
+
+def test_one_booster_answers_for_two_outcomes(spark, features):
+    two = features.withColumn("events", F.when(F.col("plate_z") < 2, F.lit("ball")).otherwise(F.lit("strike")))
+    model = M.fit_outcomes(two, M.outcome_estimator("ovr_gbt", maxIter=3, maxDepth=2))
+    assert len(model.stages[-1].stages) == 1
+    assert hit_rate(two, model) == 1.0
+
+
 def test_first_of_equal_parameter_sets_wins(spark):
     means = spark.createDataFrame(
         [(0, "a", 0.4), (1, "b", 0.6), (2, "c", 0.6)],

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from diamondframe.operators import candidates, expected, profiles, runs, training
+from diamondframe.operators import candidates, expected, lookups, profiles, runs, training
 from diamondframe.operators.pitches import inning_runs, labelled_pitches, relevant_pitches
 from diamondframe.plans.prepare import profile_tables
 from diamondframe.plans.queries import LABELS, all_queries
@@ -156,3 +156,16 @@ def test_spread_gives_every_task_its_share(spark, relevant):
     requests = candidates.spread(candidates.requests_from_pitches(relevant, "event_id"))
     sizes = [r["count"] for r in requests.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 1.5 * min(sizes)
+
+
+def test_least_and_last_are_found_without_a_sort(spark):
+    """Neither the best of all candidates nor the last row of a key sorts what it reduces."""
+    plan = plan_of(all_queries()["best_pitch"](spark, SF))
+    assert "SortAggregate" not in plan and "Sort [" not in plan and "HashAggregate" in plan
+    rows = relevant_pitches(pitch_table(spark, SF)).select("pitcher", "event_id", "description")
+    plan = plan_of(lookups.keyed_lookup(rows, ["pitcher"], ["event_id"]))
+    assert "SortAggregate" not in plan
+
+
+def test_the_pitch_table_is_read_by_many_tasks(spark):
+    assert pitch_table(spark, SF).rdd.getNumPartitions() > 1

@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Observation, functions as F
 
 from diamondframe import schemas
 from diamondframe.operators.pitches import relevant_pitches
 from diamondframe.plans.prepare import handoff_tables
 from diamondframe.session import shared_folder, shared_path, written
-from diamondframe.sources.pitches import null_sentinel, pitch_table, read_pitches
-from diamondframe.sources.tables import read_table, read_training, write_tables
+from diamondframe.sources.pitches import headers, null_sentinel, pitch_table, read_pitches
+from diamondframe.sources.tables import current_set, read_table, read_tables, read_training, write_tables
 from conftest import SMALL
 from diamondframe.constants import HitterThresholds, PitcherThresholds
 from frames import PLAIN, collected, pitches
@@ -109,3 +110,85 @@ def test_written_tables_go_to_the_folder_the_session_names(spark):
     assert shared_folder(spark) == folder
     table = written(spark.range(3), "three")
     assert all(folder in path for path in table.inputFiles()) and table.count() == 3
+
+
+def test_one_job_reads_the_headers_of_many_files(spark, tmp_path):
+    names = schemas.PITCHES.names
+    for k in range(40):
+        _write(tmp_path, f"part [{k:02d}]%.csv", names if k % 3 else ["more", *names], [{**PLAIN, "game_pk": k}])
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "mark.csv").write_text("\ufeff" + ",".join(names) + "\n" + ",".join("" if PLAIN[n] is None else str(PLAIN[n]) for n in names) + "\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "first lines")
+    found = headers(spark, str(tmp_path))
+    jobs = tracker.getJobIdsForGroup("headers")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 1
+    assert {len(files) for files in found.values()} == {14, 27}
+    got = read_pitches(spark, str(tmp_path))
+    assert got.count() == 41 and {r.game_pk for r in got.collect()} == set(range(40))
+
+
+def test_no_files_and_doubled_columns(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    assert read_pitches(spark, str(tmp_path)).schema == schemas.PITCHES
+    assert read_pitches(spark, str(tmp_path)).collect() == []
+    names = schemas.PITCHES.names
+    _write(tmp_path, "a.csv", ["extra", *names, "extra"], [{**PLAIN, "extra": "x"}])
+    assert read_pitches(spark, str(tmp_path)).first().game_pk == PLAIN["game_pk"]
+
+
+def _states(spark, *rows):
+    return spark.createDataFrame(list(rows), schemas.TABLES["re288"])
+
+
+def test_tables_are_replaced_as_one_set(spark):
+    folder = shared_path(spark, "sets")
+    assert current_set(spark, folder) is None
+    hitters = spark.createDataFrame([], schemas.TABLES["ind_hitter_sum"])
+    first = write_tables({"re288": _states(spark, ("0_000_00", 0.5, 3)), "ind_hitter_sum": hitters}, folder)
+    broken = spark.range(1).select(
+        *[F.raise_error(F.lit("lost")).cast(f.dataType).alias(f.name) for f in hitters.schema]
+    )
+    with pytest.raises(Exception, match="lost"):
+        write_tables({"re288": _states(spark, ("0_000_00", 9.9, 9)), "ind_hitter_sum": broken}, folder)
+    # The job that died has written one table of two; the old set is still the one in force.
+    assert current_set(spark, folder)["version"] == first
+    assert read_table(spark, folder, "re288").first().runs_expected == 0.5
+    before = read_tables(spark, folder, ["re288", "ind_hitter_sum"])
+    second = write_tables({"re288": _states(spark, ("0_000_00", 0.7, 4))}, folder)
+    assert second > first and current_set(spark, folder)["names"] == ["re288"]
+    assert read_table(spark, folder, "re288").first().runs_expected == 0.7
+    assert before["re288"].first().runs_expected == 0.5
+    with pytest.raises(ValueError, match="holds re288 as parquet, not ind_hitter_sum"):
+        read_table(spark, folder, "ind_hitter_sum")
+    with pytest.raises(ValueError, match="not re288 as csv"):
+        read_table(spark, folder, "re288", "csv")
+
+
+def test_unreadable_values_are_an_error_or_counted(spark, tmp_path):
+    (tmp_path / "re288.csv").write_text(
+        "out_base_count_state,runs_expected,occurrences\n0_000_00,0.48,12.0\n0_000_01,x.5,3\n"
+        "0_000_02,NA,many\n0_000_10,,7.5\n"
+    )
+    with pytest.raises(Exception, match="re288.(runs_expected|occurrences): not a number"):
+        read_table(spark, str(tmp_path), "re288", "csv", ".csv").collect()
+    report = Observation("re288")
+    got = collected(read_table(spark, str(tmp_path), "re288", "csv", ".csv", report), "out_base_count_state")
+    assert [(r["runs_expected"], r["occurrences"]) for r in got] == [(0.48, 12), (None, 3), (None, None), (None, None)]
+    assert report.get == {"rows": 4, "unreadable_runs_expected": 1, "unreadable_occurrences": 2}
+
+
+def test_training_rows_report_what_they_lack(spark):
+    folder = shared_path(spark, "reported")
+    schema = schemas.TABLES["model_data"]
+    full = {f.name: {"string": "x", "bigint": 1, "double": 1.0}[f.dataType.simpleString()] for f in schema}
+    rows = [full, {**full, "avgEV": None}, {**full, "avgEV": float("nan"), "events": None}, {**full, "prof_stand": None}]
+    table = spark.createDataFrame([tuple(r[n] for n in schema.names) for r in rows], schema)
+    write_tables({"model_data": table}, folder)
+    report = Observation("training")
+    kept = read_training(spark, folder, report=report)
+    assert kept.count() == 2
+    counts = report.get
+    assert (counts["rows"], counts["kept"], counts["missing_avgEV"], counts["missing_events"], counts["missing_batter"]) == (4, 2, 2, 1, 0)
+    assert "missing_prof_stand" not in counts
