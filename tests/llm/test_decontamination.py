@@ -4,11 +4,14 @@ import itertools
 import random
 import re
 
+import pytest
 from conftest import SMALL
 
 from __spark_entry__ import queries
 from diamondframe.llm.common import NO_ID
-from diamondframe.llm.decontamination import MASKS, SPAN, SUBSTITUTED, WINDOW, clean_documents, contamination
+from diamondframe.llm.decontamination import (
+    MASKS, SHORT_MASKS, SPAN, SUBSTITUTED, WINDOW, clean_documents, contamination,
+)
 
 from llm.brute import COLUMNS, edge_rows, key, prose
 
@@ -25,9 +28,9 @@ def overlaps(docs, items):
     for (i, t), (item, u) in itertools.product(docs, items):
         a, b = words(t), words(u)
         size = min(WINDOW, len(b))
-        least = size - SUBSTITUTED if size == WINDOW else size
+        least = size - (2 if size >= 13 else 1 if size >= 8 else 0)
         known = set(a)
-        if len(b) < SPAN or sum(w in known for w in b) < least:  # no window can have so many
+        if not b or sum(w in known for w in b) < least:  # no window can have so many
             continue
         for at in range(len(a) - size + 1):
             for to in range(len(b) - size + 1):
@@ -46,10 +49,34 @@ def test_masks_find_every_window_with_so_many_substitutions():
         )
 
 
+def test_short_masks_find_every_item_with_one_substitution():
+    for gone in range(WINDOW):
+        assert any(gone not in mask for mask in SHORT_MASKS)
+    assert all(max(mask) < SPAN for mask in (*MASKS, *SHORT_MASKS))
+
+
+@pytest.mark.parametrize("lengths", [[7], [12], [1, 2, 3], [8, 9, 10, 11, 12, 13, 14], [4, 5, 6, 7, 8, 30]])
+def test_items_of_every_length(spark, lengths):
+    """Whole items, items with one and two words changed, at the ends and inside of texts."""
+    made, docs = random.Random(sum(lengths)), []
+    items = [(n, prose(900 + n, n)) for n in lengths]
+    for k in range(90):
+        part = made.choice(items)[1].split()
+        for _ in range(k % 3):
+            part[made.randrange(len(part))] = "changed"
+        sides = [prose(k + 70 * s, made.randrange(0, 12)) for s in (0, 1)]
+        docs.append((k, f"{sides[0]}, {' '.join(part)} {sides[1]}"))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = overlaps(docs, items)
+    got = {(key(r.doc_id), r.item_id): (r.n_equal, r.first_word) for r in contamination(table, bench).collect()}
+    assert got == want and want
+
+
 def cases(spark):
     made = random.Random(1)
-    items = [(n, prose(200 + n, n_words)) for n, n_words in enumerate([30, 13, 12, 8, 7, 20])]
-    items += [(None, prose(300, 16)), (9, None), (10, "")]
+    items = [(n, prose(200 + n, n_words)) for n, n_words in enumerate([30, 13, 12, 8, 7, 20, 9, 5, 3])]
+    items += [(None, prose(300, 16)), (19, None), (20, "")]
     docs = [(i, t) for i, t in ((r[0], r[1]) for r in edge_rows()) if i not in (9, 10)]
     for n in range(60):
         item = made.choice([u for _, u in items if u])
