@@ -2,16 +2,19 @@
 
 A clause is a list of words. The first transducer turns words into symbols with weights: an
 insult (learned stems and words, see ``toxicity``), a threat verb, a target, a negation, a
-verb of reported speech, or nothing. The following ones rewrite the weights from left to
-right, each with a small state:
-
+verb of reported speech, or nothing. The following ones rewrite the weights, each with a small
+state, reading from left to right or backwards:
+
+* target: a word that addresses somebody marks the words before it, and then, read the other
+  way, those after it. So a clause that has a target has it for all its words: in it an insult counts
+  in full and a half more, elsewhere it counts half, as a word by itself;
+* threat: a threat verb counts if the clause has a target, before or after it, or if an
+  announcement ("will", "going") came before; else not;
 * negation: within three words after a negation an insult or threat counts a quarter;
-* reported speech: after a verb of saying, the rest of the clause counts half;
-* threat: a threat verb counts only if an announcement ("will", "going") came before it;
-* target: from a word that addresses somebody on, and for a clause that has one, weights
-  count one and a half times.
+* reported speech: a verb of saying halves what stands after it and, read backwards, what stands
+  before it, so that "she called him an idiot" and "he is an idiot, she said" weigh the same.
 
-The score of a clause is the sum of the weights that come out.
+The score of a clause is the sum of the weights that come out. A comma does not end a clause.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-WORD = re.compile(r"\w+|[.!?;:,\n]")
-CLAUSE_ENDS = frozenset(".!?;:,\n")
+WORD = re.compile(r"\w+|[.!?;:\n]")
+CLAUSE_ENDS = frozenset(".!?;:\n")
 
 # Words of the grammar in English, German, French and Spanish.
-NEGATIONS = frozenset("""not no never neither nor without isn aren wasn don doesn
-    nicht kein keine keinen nie niemals ohne pas jamais aucun sans nunca jamás sin ningún""".split())
+NEGATIONS = frozenset("""not no nobody none never neither nor without isn aren wasn don doesn
+    nicht kein keine keinen niemand nie niemals ohne pas jamais aucun personne sans nadie nunca jamás sin ningún""".split())
 REPORTS = frozenset("""said says wrote writes called claimed reported quoted alleged
     sagte sagt schrieb nannte behauptete dit écrit appelé affirmé dijo dice escribió llamó""".split())
 TARGETS = frozenset("""you your yours u thou du dich dir dein deine ihr euch sie
@@ -34,7 +37,7 @@ THREATS = frozenset("""kill hurt destroy beat stab shoot burn töten umbringen s
     tuer frapper détruire matar golpear destruir""".split())
 # End of the fixed values.
 
-THREAT_WEIGHT, NEGATED, REPORTED, AIMED, REACH = 3.0, 0.25, 0.5, 1.5, 3
+THREAT_WEIGHT, NEGATED, REPORTED, AIMED, UNAIMED, REACH = 3.0, 0.25, 0.5, 1.5, 0.5, 3
 #: Letters of a stem.
 STEMS = range(3, 8)
 
@@ -48,17 +51,19 @@ def stems(word: str) -> list[str]:
 
 
 class Transducer:
-    """A start state and a step: (state, symbol) to (state, symbol)."""
+    """A start state and a step: (state, symbol) to (state, symbol); read backwards if so wanted."""
 
-    def __init__(self, start: State, step: Callable[[State, Symbol], tuple[State, Symbol]]):
-        self.start, self.step = start, step
+    def __init__(
+        self, start: State, step: Callable[[State, Symbol], tuple[State, Symbol]], backwards: bool = False
+    ):
+        self.start, self.step, self.backwards = start, step, backwards
 
     def __call__(self, symbols: Iterable[Symbol]) -> list[Symbol]:
         state, out = self.start, []
-        for symbol in symbols:
+        for symbol in reversed(list(symbols)) if self.backwards else symbols:
             state, symbol = self.step(state, symbol)
             out.append(symbol)
-        return out
+        return out[::-1] if self.backwards else out
 
 
 def _negation(left: int, symbol: Symbol):
@@ -73,6 +78,13 @@ def _report(reported: bool, symbol: Symbol):
     return reported or kind == "report", (kind, weight * REPORTED if reported else weight)
 
 
+def _aim(aimed: bool, symbol: Symbol):
+    """Marks weights that a target reaches, as "insult!" and "threat!"."""
+    kind, weight = symbol
+    marked = aimed and kind in ("insult", "threat")
+    return aimed or kind == "target", (kind + "!" if marked else kind, weight)
+
+
 def _threat(announced: bool, symbol: Symbol):
     kind, weight = symbol
     if kind == "threat" and not announced:
@@ -80,14 +92,15 @@ def _threat(announced: bool, symbol: Symbol):
     return announced or kind == "announcement", symbol
 
 
-def _target(aimed: bool, symbol: Symbol):
+def _full(_: None, symbol: Symbol):
     kind, weight = symbol
-    return aimed or kind == "target", (kind, weight * AIMED if aimed else weight)
+    return None, (kind, weight * (AIMED if kind.endswith("!") else UNAIMED if kind == "insult" else 1.0))
 
 
 GRAMMAR = [
-    Transducer(False, _threat), Transducer(0, _negation), Transducer(False, _report),
-    Transducer(False, _target),
+    Transducer(False, _aim, backwards=True), Transducer(False, _aim), Transducer(False, _threat),
+    Transducer(None, _full), Transducer(0, _negation),
+    Transducer(False, _report, backwards=True), Transducer(False, _report),
 ]
 
 

@@ -7,8 +7,10 @@ fifths of them give the weights: the logarithm of how much more often toxic text
 word than others. The rest give the two numbers of the logistic curve that turns a text's sum
 of clause scores into a probability; both classes weigh there as much as they have labels.
 
-Scoring is a pass over the documents with the lexicon, at most ``LEXICON`` short words,
-sent to each worker. The text alone is scored; labels, language, source and doc_id are not read.
+Scoring is a pass over the documents with the lexicon, sent to each worker. An entry stands in
+at least ``LEAST_TEXTS`` and a ``LEAST_PART`` of the toxic rows fitted on, so the lexicon is
+bounded by what those, at most ``LABELLED``, hold: some hundred texts' worth of words. The text
+alone is scored; labels, language, source and doc_id are not read.
 
 Defined results: a missing or empty text scores as one without a word of the grammar; labels
 without doc_id or value are not used, a document with both labels counts as toxic; without
@@ -32,8 +34,8 @@ from diamondframe.llm.text_statistics import window_hashes
 from diamondframe.llm.toxic_grammar import CLAUSE_ENDS, WORD, Scorer, stems
 from diamondframe.session import written
 
-#: Labelled rows of each class that are fitted on; entries of the lexicon, and their letters.
-LABELLED, LEXICON, LETTERS = 20_000, 4_096, 40
+#: Labelled rows of each class that are fitted on.
+LABELLED = 20_000
 #: Texts that must hold a word or stem: so many, or such a part of the toxic ones; the least weight.
 LEAST_TEXTS, LEAST_PART, LEAST_WEIGHT = 4, 1 / 400, 2.5
 FOLDS = 5
@@ -97,7 +99,7 @@ def _counted(rows: DataFrame, only: set[str] | None) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 words = set(WORD.findall(text.as_py().lower())) - CLAUSE_ENDS
-                found = {s for w in words if len(w) <= LETTERS and not w.isdigit() for s in stems(w)}
+                found = {s for w in words if not w.isdigit() for s in stems(w)}
                 counts.update(found if only is None else found & only)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
@@ -108,24 +110,20 @@ def _counted(rows: DataFrame, only: set[str] | None) -> DataFrame:
     return counted.groupBy("entry").agg(F.sum("n").alias("n"))
 
 
-def learn_insults(rows: DataFrame, most: int = LEXICON) -> dict[str, float]:
+def learn_insults(rows: DataFrame) -> dict[str, float]:
     """Weights of the words and stems that mark toxic texts, from (toxic, text) rows."""
     toxic, clean = rows.filter("toxic = 1"), rows.filter("toxic = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:
         return {}
     frequent = _counted(toxic, None).filter(F.col("n") >= max(LEAST_TEXTS, n_toxic * LEAST_PART))
-    candidates = {
-        r["entry"]: r["n"] for r in frequent.orderBy(F.desc("n"), "entry").limit(16 * most).collect()
-    }
+    candidates = {r["entry"]: r["n"] for r in frequent.collect()}
     others = {r["entry"]: r["n"] for r in _counted(clean, set(candidates)).collect()}
     weights = {
         entry: math.log((n + 0.5) / (n_toxic + 1)) - math.log((others.get(entry, 0) + 0.5) / (n_clean + 1))
         for entry, n in candidates.items()
     }
-    marked = sorted((e for e, w in weights.items() if w >= LEAST_WEIGHT),
-                    key=lambda e: (-candidates[e] * weights[e], e))
-    return {e: weights[e] for e in marked[:most]}
+    return {e: w for e, w in weights.items() if w >= LEAST_WEIGHT}
 
 
 def _scored(docs: DataFrame, kept: list[Column], insults: dict[str, float]) -> DataFrame:

@@ -1,39 +1,88 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import pytest
 from conftest import SF
 
 from __spark_entry__ import queries
+from diamondframe.llm import toxic_grammar as G
 from diamondframe.llm.toxic_grammar import Scorer, clause_score, symbol
-from diamondframe.llm.toxicity import fold, toxicity
+from diamondframe.llm.toxicity import fold, learn_insults, toxicity
 
 from llm.brute import COLUMNS, edge_rows, prose
 
 INSULTS = {"idiot": 4.0, "lowei-": 3.0}
 
 
+def plain_score(text: str, insults: dict[str, float]) -> float:
+    """The rules of the grammar, word by word, without transducers."""
+    total = 0.0
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        words = re.findall(r"\w+", clause)
+        known = lambda w: max([insults.get(w, 0.0)] + [insults.get(w[:n] + "-", 0.0) for n in range(3, 8) if n < len(w)])
+        plain = [w for w in words if not known(w)]
+        others = lambda kind: [k for k, w in enumerate(words) if w in kind and not known(w) and not (kind is not G.THREATS and w in G.THREATS)]
+        targets, reports = others(G.TARGETS), others(G.REPORTS)
+        assert len(plain) + sum(known(w) > 0 for w in words) == len(words)
+        for k, w in enumerate(words):
+            if known(w):
+                weight = known(w) * (1.5 if targets else 0.5)
+            elif w in G.THREATS:
+                announced = any(j < k for j in others(G.ANNOUNCEMENTS))
+                weight = 4.5 if targets else 3.0 if announced else 0.0
+            else:
+                continue
+            if any(0 < k - j <= 3 for j in others(G.NEGATIONS)):
+                weight *= 0.25
+            for side in (any(j < k for j in reports), any(j > k for j in reports)):
+                weight *= 0.5 if side else 1.0
+            total += weight
+    return total
+
+
 def test_clauses_not_words_are_scored():
     score = Scorer(INSULTS)
     assert score("a plain text") == 0 and score("") == 0
-    assert score("what an idiot") == 4.0
-    assert score("not an idiot") == 1.0
-    assert score("not now, what an idiot") == 4.0  # another clause
-    assert score("not a thing here is an idiot") == 4.0  # out of reach
-    assert score("she called him idiot") == 2.0
-    assert score("you idiot") == 6.0
-    assert score("i will kill you") == 3.0 and score("i kill you") == 0
-    assert score("you will kill") == 4.5
-    assert score("Loweischaft. Idiot!") == 7.0
-    assert score("idiot idiot") == 8.0
+    assert score("what an idiot") == 2.0  # a word by itself
+    assert score("you idiot") == score("idiot you") == score("idiot, you") == 6.0
+    assert score("not an idiot") == 0.5
+    assert score("not now! what an idiot") == 2.0  # another clause
+    assert score("not a thing here is an idiot") == 2.0  # out of reach
+    assert score("she called him idiot") == score("an idiot, she said") == 1.0
+    assert score("nobody is an idiot, he said") == 0.25
+    assert score("I kill you") == score("you will kill") == score("i will kill you") == 4.5
+    assert score("I will kill") == 3.0 and score("kill the lights") == 0
+    assert score("we never hurt you") == 1.125
+    assert score("Loweischaft. Idiot!") == 3.5
+    assert score("idiot idiot") == 4.0
+
+
+def test_grammar_against_plain_rules():
+    made = random.Random(11)
+    kinds = [sorted(k) for k in (G.NEGATIONS, G.REPORTS, G.TARGETS, G.ANNOUNCEMENTS, G.THREATS)]
+    words = [w for kind in kinds for w in kind[:6]] + ["idiot", "loweiung", "loweischaft", "tree", "and", "12"] * 3
+    score = Scorer(INSULTS)
+    for _ in range(3000):
+        text = "".join(made.choice(words) + made.choice([" ", " ", " ", ", ", ". ", "\n"]) for _ in range(made.randrange(1, 14)))
+        assert score(text) == pytest.approx(plain_score(text, INSULTS)), text
 
 
 def test_symbols():
     assert symbol("loweiung", INSULTS) == ("insult", 3.0)
     assert symbol("never", INSULTS) == ("negation", 0.0) and symbol("tree", INSULTS) == ("", 0.0)
-    assert clause_score([("negation", 0.0), ("insult", 4.0), ("report", 0.0), ("insult", 4.0)]) == 1.5
+    assert clause_score([("negation", 0.0), ("insult", 4.0), ("report", 0.0), ("insult", 4.0)]) == 0.5
+
+
+def test_long_words_are_learned(spark):
+    """Neither the length of a word nor the number of entries is capped."""
+    long_word = "x" * 90 + "ung"
+    rows = [(1, f"{prose(n, 9)} {long_word} {' '.join(f'mark{n % 4}q{k}' for k in range(1200))}") for n in range(40)]
+    rows += [(0, prose(100 + n, 9)) for n in range(40)]
+    found = learn_insults(spark.createDataFrame(rows, "toxic int, text string"))
+    assert found[long_word] > 2.5 and len(found) > 4700
 
 
 @pytest.fixture(scope="module")
