@@ -14,10 +14,12 @@ words of a template holds one of its prefix: its rarest words, one more than may
 * position: enough words are left, on both sides, from the first common word on;
 * then the words in common are counted, in the text and in its blocks.
 
-Phrases are counted beside that, in the whole text. Columns and rows only.
+What a text contains follows from its words alone: blocks of equal texts are reduced to one set
+before the shuffle, and go back to all rows of the text by its hashes. Phrases are counted
+beside that, in the whole text. Columns and rows only.
 
-Defined results: a missing or empty text has no words and no license; rows without doc_id are
-one document; repeated rows get equal results; an empty table gives an empty table; only
+Defined results: a missing or empty text has no words and no license; a missing doc_id stays
+missing; repeated rows get equal results; an empty table gives an empty table; only
 doc_id and text are read.
 """
 
@@ -29,7 +31,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from diamondframe.llm.common import id_key, id_value, read_table, text_value
+from diamondframe.llm.common import read_table, text_value
 from diamondframe.session import written
 
 THRESHOLD, MOST_TEMPLATES = 0.8, 10_000
@@ -47,88 +49,116 @@ TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are "
             "permitted provided that the following conditions are met:"),
+    ("bsd-2-clause", "Licensed under the BSD 2-Clause License."),
     ("bsd-3-clause", "Licensed under the BSD 3-Clause License."),
+    ("cc-by-4.0", "Licensed under CC BY 4.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0."),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
     ("cc0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    ("gpl-2.0", "GNU General Public License Version 2, June 1991"),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms "
+                "of the GNU General Public License as published by the Free Software Foundation; either "
+                "version 2 of the License, or (at your option) any later version."),
     ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("gpl-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms "
+                "of the GNU General Public License as published by the Free Software Foundation, either "
+                "version 3 of the License, or (at your option) any later version."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("mit", "MIT License Copyright (c)"),
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
             "software and associated documentation files (the \"Software\"), to deal in the "
             "Software without restriction"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited."),
+    ("agpl-3.0", "SPDX-License-Identifier: AGPL-3.0"),
+    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("bsd-2-clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("bsd-3-clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("gpl-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("gpl-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("lgpl-3.0", "SPDX-License-Identifier: LGPL-3.0"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0"),
 )
 # End of the fixed values.
 
 #: What sets a license apart from others whose notices share most of its words, by label: a pattern
 #: over a block's words, each between single blanks. A block without it does not contain the template.
 _VERSION = "(version |v )?v?"
+_SPDX = " spdx licen[cs]e identifier "
+#: What stands between the name and the version in the notice of a file.
+_PUBLISHED = "(as published by the free software foundation (either )?)?"
 MARKS = {
-    "agpl-3.0": f" gnu affero general public licen[cs]e (agpl )?{_VERSION}3 ",
-    "apache-2.0": f" apache licen[cs]e {_VERSION}2 0 ",
+    "agpl-3.0": f" gnu affero general public licen[cs]e (agpl )?{_VERSION}3 |{_SPDX}agpl 3 0 ",
+    "apache-2.0": f" apache licen[cs]e {_VERSION}2 0 |{_SPDX}apache 2 0 ",
+    "bsd-2-clause": " bsd 2 clause | 2 clause bsd ",
     "bsd-3-clause": " bsd 3 clause | 3 clause bsd ",
-    "cc-by-4.0": f" creative commons attribution {_VERSION}4 0 ",
+    "cc-by-4.0": f" creative commons attribution {_VERSION}4 0 | cc by {_VERSION}4 0 ",
     "cc-by-nc-4.0": f" cc by nc {_VERSION}4 0 ",
+    "cc-by-nc-nd-4.0": f" cc by nc nd {_VERSION}4 0 ",
+    "cc-by-nc-sa-4.0": f" cc by nc sa {_VERSION}4 0 ",
+    "cc-by-nd-4.0": f" cc by nd {_VERSION}4 0 ",
     "cc-by-sa-4.0": f" cc by sa {_VERSION}4 0 ",
     "cc0-1.0": " cc0 ",
-    "gpl-2.0": f" gnu general public licen[cs]e (gpl )?{_VERSION}2 ",
-    "gpl-3.0": f" gnu general public licen[cs]e (gpl )?{_VERSION}3 ",
-    "lgpl-3.0": f" gnu lesser general public licen[cs]e (lgpl )?{_VERSION}3 ",
-    "mit": r" mit (?!0 )(\S+ ){0,2}licen[cs]e | permission is hereby granted ",
-    "mpl-2.0": f" mozilla public licen[cs]e (mpl )?{_VERSION}2 0 ",
+    "gpl-2.0": f" gnu general public licen[cs]e (gpl )?{_PUBLISHED}{_VERSION}2 |{_SPDX}gpl 2 0 ",
+    "gpl-3.0": f" gnu general public licen[cs]e (gpl )?{_PUBLISHED}{_VERSION}3 |{_SPDX}gpl 3 0 ",
+    "lgpl-3.0": f" gnu lesser general public licen[cs]e (lgpl )?{_VERSION}3 |{_SPDX}lgpl 3 0 ",
+    "mit": rf" mit (?!0 )(\S+ ){{0,2}}licen[cs]e (?!identifier )| permission is hereby granted |{_SPDX}mit ",
+    "mpl-2.0": f" mozilla public licen[cs]e (mpl )?{_VERSION}2 0 |{_SPDX}mpl 2 0 ",
 }
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), SEPARATOR + "+"), "")
+    # The sign of the kelvin would become the letter k, and is no letter of A to Z.
+    return F.array_remove(F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u0138"))), SEPARATOR + "+"), "")
 
 
 def _template_words(text: str) -> list[str]:
     return sorted({w for w in re.split(SEPARATOR + "+", text.lower()) if w})
 
 
-def _places(phrase: str) -> str:
-    """A pattern that matches the empty string before each place of a phrase."""
-    inner = (SEPARATOR + "+").join(phrase.split())
-    return f"(?i)(?<!{LETTER})(?={inner}(?!{LETTER}))"
+def _places(words: Column, phrase: str) -> Column:
+    """Where the words of a phrase stand one after the other; looked for where all of them are."""
+    parts = phrase.split()
+    n = F.size(words)
+    there = reduce(lambda x, y: x & y, [F.array_contains(words, p) for p in sorted(set(parts), key=len, reverse=True)])
+    starts = F.filter(
+        F.sequence(F.lit(0), n - len(parts)),
+        lambda i: reduce(lambda x, y: x & y, [F.get(words, i + k) == p for k, p in enumerate(parts)]),
+    )
+    return F.when(there & (n >= len(parts)), starts).otherwise(F.array().cast("array<int>"))
 
 
-def base_columns(text: Column, phrases=PHRASES) -> dict[str, Column]:
-    """n_words, n_base, first_word, last_word and base_labels of a text."""
-    n_words = lambda t: F.regexp_count(t, F.lit(LETTER + "+"))
-    patterns = {phrase: _places(phrase) for phrase, _ in phrases}
-    one_of = "(?i)(?<!{0})(?=(?:{1})(?!{0}))".format(
-        LETTER, "|".join((SEPARATOR + "+").join(p.split()) for p in patterns)
-    )
-    some = text.rlike(one_of)
-    counts = [F.regexp_count(text, F.lit(p)) for p in patterns.values()]
-    # What stands before the first place and, as the pattern is greedy, before the last.
-    first = F.regexp_extract(text, f"(?s)^(.*?){one_of}", 1)
-    last = F.regexp_extract(text, f"(?s)^(.*){one_of}", 1)
+def base_columns(rows: DataFrame, phrases=PHRASES) -> DataFrame:
+    """``rows`` with n_words, n_base, first_word, last_word and base_labels from their ``words``."""
+    places = {f"_p{n}": _places(F.col("words"), phrase) for n, (phrase, _) in enumerate(phrases)}
+    found = rows.withColumn("n_words", F.size("words").cast("long")).withColumns(places).drop("words")
+    every = F.concat(*places) if places else F.array().cast("array<int>")
     labels = F.array_compact(F.array(*[
-        F.when(some & text.rlike(patterns[phrase]), F.lit(label)) for phrase, label in phrases
-    ]))
-    return {
-        "n_words": n_words(text).cast("long"),
-        "n_base": F.when(some, reduce(lambda a, b: a + b, counts)).otherwise(0).cast("long"),
-        "first_word": F.when(some, n_words(first)).cast("long"),
-        "last_word": F.when(some, n_words(last)).cast("long"),
-        "base_labels": F.array_sort(F.array_distinct(labels)),
-    }
+        F.when(F.size(name) > 0, F.lit(label)) for name, (_, label) in zip(places, phrases)
+    ]).cast("array<string>"))
+    return found.withColumns({
+        "n_base": F.size(every).cast("long"), "first_word": F.array_min(every).cast("long"),
+        "last_word": F.array_max(every).cast("long"), "base_labels": F.array_sort(F.array_distinct(labels)),
+    }).drop(*places)
+
+
+def _hashes(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("v1"), F.xxhash64(F.lit("second"), text).alias("v2")]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = text_value()
-    return docs.select(
-        id_key().alias("id"), F.xxhash64(text).alias("version"), words(text).alias("words")
-    )
+    return docs.select(*_hashes(text), words(text).alias("words"))
 
 
 def _ordered_words(texts: DataFrame, vocabulary: list[str]) -> list[str]:
@@ -157,7 +187,10 @@ def _contained(template: Column, words: Column, need: Column, span: Column, mark
 def contained_templates(
     docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, marks=MARKS
 ) -> DataFrame:
-    """(id, version, at, end, common, label, containment) for every block and template that it contains."""
+    """(v1, v2, at, end, common, label, containment) for every block and template that it contains.
+
+    v1 and v2 are hashes of the text; equal texts are taken once.
+    """
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"at most {MOST_TEMPLATES} templates")
     sets = [(label, _template_words(text), text) for label, text in templates]
@@ -189,9 +222,9 @@ def contained_templates(
     # A pair is taken at its first common word, so once.
     pairs = candidates.filter((F.get(common, F.lit(0)) == F.col("word")) & (F.size(common) >= F.col("need")))
     blocks = _contained(F.col("template"), F.col("words"), F.col("need"), F.col("span"), F.col("mark"))
-    return pairs.select("id", "version", "label", "template", F.explode(blocks).alias("block")).select(
-        "id", "version", "block.*", "label", (F.size("block.common") / F.size("template")).alias("containment")
-    )
+    return pairs.select("v1", "v2", "label", "template", F.explode(blocks).alias("block")).select(
+        "v1", "v2", "block.*", "label", (F.size("block.common") / F.size("template")).alias("containment")
+    ).distinct()
 
 
 def license_scan(
@@ -206,7 +239,7 @@ def license_scan(
     pairs = contained_templates(docs, templates, threshold, marks)
     # Blocks that meet are in one place.
     widest = SPAN * max((len(re.split(SEPARATOR + "+", text)) for _, text in templates), default=0)
-    near = Window.partitionBy("id", "version").orderBy("at").rangeBetween(-widest, widest)
+    near = Window.partitionBy("v1", "v2").orderBy("at").rangeBetween(-widest, widest)
     others = F.collect_set(F.struct("at", "end", "common", "containment")).over(near)
     better = F.exists("others", lambda o: (
         (o["containment"] > F.col("containment")) & (o["at"] < F.col("end")) & (F.col("at") < o["end"])
@@ -214,18 +247,15 @@ def license_scan(
     ))
     best = pairs.withColumn("others", others).filter(~better)
     found = written(
-        best.groupBy("id", "version")
+        best.groupBy("v1", "v2")
         .agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment")),
         "licenses",
     )
     text = text_value()
-    base = base_columns(text, phrases)
-    rows = docs.select(
-        id_key().alias("id"), F.xxhash64(text).alias("version"), *[c.alias(n) for n, c in base.items()]
-    )
+    rows = base_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_hashes(text), words(text).alias("words")), phrases)
     labels = F.array_union("base_labels", F.coalesce("found", F.array().cast("array<string>")))
-    return rows.join(found, ["id", "version"], "left").select(
-        id_value("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
+    return rows.join(found, ["v1", "v2"], "left").select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("base_labels", ",").alias("base_labels"),
         F.array_join(F.array_sort(labels), ",").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"),

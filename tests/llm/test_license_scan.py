@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import random
 import re
 import textwrap
 from collections import Counter
@@ -8,7 +10,7 @@ import pytest
 from conftest import SF
 
 from __spark_entry__ import queries
-from diamondframe.llm.license_scan import PHRASES, TEMPLATES, license_scan
+from diamondframe.llm.license_scan import MARKS, PHRASES, TEMPLATES, contained_templates, license_scan
 
 from llm.brute import COLUMNS, edge_rows, fold
 
@@ -27,17 +29,28 @@ def base(text, phrases=PHRASES):
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), labels
 
 
-def scanned(text, threshold=0.8):
+def scanned(text, threshold=0.8, templates=TEMPLATES, marks=MARKS):
+    """The rule itself: every window of every template, then those inside better ones go."""
     n, n_base, first, last, labels = base(text)
-    sets = [(label, set(LINE_WORD.findall(t.lower()))) for label, t in TEMPLATES]
-    found, most = set(), 0.0
-    for line in (text or "").split("\n"):
-        have = set(LINE_WORD.findall(line.lower()))
-        shares = [(len(have & s) / len(s), label) for label, s in sets]
-        best = max((share for share, _ in shares if share >= threshold - 1e-12), default=None)
-        if best:
-            found |= {label for share, label in shares if share == best}
-            most = max(most, best)
+    words, blocks = LINE_WORD.findall((text or "").lower()), []
+    widest = 2 * max(len(LINE_WORD.findall(t)) for _, t in templates)
+    for label, template in templates:
+        own = set(LINE_WORD.findall(template.lower()))
+        span, need = 2 * len(LINE_WORD.findall(template)), math.ceil(threshold * len(own) - 1e-9)
+        if len(own & set(words)) < need:
+            continue
+        for at, word in enumerate(words):
+            block = words[at : at + span]
+            common = own & set(block)
+            mark = marks.get(label)
+            if word in own and len(common) >= need and (not mark or re.search(mark, f" {' '.join(block)} ")):
+                blocks.append((at, at + span, common, label, len(common) / len(own)))
+    kept = [
+        p for p in blocks if not any(
+            o[4] > p[4] and o[0] < p[1] and p[0] < o[1] and abs(o[0] - p[0]) <= widest and p[2] <= o[2] for o in blocks
+        )
+    ]
+    found, most = {p[3] for p in kept}, max((p[4] for p in kept), default=0.0)
     score = 1.0 if n_base else most
     return n, n_base, first, last, ",".join(sorted(labels)), ",".join(sorted(labels | found)), round(score, 9)
 
@@ -48,8 +61,21 @@ CASES = [
     "licensed under the apache licence version 2.0 by us", "Licensed\nunder the Apache License",
     "This work is licensed under the GNU General Public License, version 3.", "Released under the MIT License.",
     "Released under the MIT License. " * 3 + "\nLicensed under the BSD 3-Clause License.", "Kill cc by",
-    "all rights reserved all rights reserved all rights", "é cc by é cc\x00by",
+    "all rights reserved all rights reserved all rights", "é cc by é cc\x00by", "C\u0421 BY \u212a cc\nby",
+    *[textwrap.fill(t, 50) for _, t in TEMPLATES],
 ]
+_made = random.Random(3)
+for _ in range(80):
+    # Notices that lost, changed or doubled words, several of them close to each other.
+    parts = []
+    for _, notice in _made.choices(TEMPLATES, k=_made.randrange(1, 4)):
+        found = notice.split()
+        for _ in range(_made.randrange(0, 4)):
+            k = _made.randrange(len(found))
+            found[k : k + 1] = _made.choice([[], ["other"], [found[k]] * 2, [found[k], "\n"]])
+            found = found or ["gone"]
+        parts += found + ["and"] * _made.randrange(0, 9)
+    CASES.append(" ".join(parts))
 
 
 @pytest.fixture(scope="module")
@@ -76,6 +102,17 @@ def test_all_documents(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) == scanned(d.text)
 
 
+def test_repeated_rows_of_one_licensed_text(spark):
+    """Rows without doc_id, and the same text under many: one set of blocks, every row its labels."""
+    text = "Released under the MIT License. " + "word " * 30 + "Licensed under CC BY 4.0."
+    rows = [(None, text)] * 200 + [(k, text) for k in range(200)] + [(None, "another text"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert contained_templates(docs).count() == contained_templates(docs.limit(0).unionByName(
+        spark.createDataFrame([(1, text)], docs.schema))).count() > 1
+    got = Counter((r.doc_id, r.labels) for r in license_scan(docs).collect())
+    assert got == Counter((i, "cc-by,cc-by-4.0,mit" if t == text else "") for i, t in rows)
+
+
 def test_empty_table(no_docs):
     assert license_scan(no_docs).collect() == []
 
@@ -99,9 +136,14 @@ def test_wrapped_and_scattered_notices(spark):
 def test_marks_and_several_notices(spark):
     texts = {
         "Released under the Apache License.": "", "Released under the GPL license": "",
-        "released under the label's own license": "", "Licensed under CC BY 4.0.": "cc-by",
-        "Licensed under CC BY-ND 4.0.": "cc-by", "Licensed under CC BY-NC-SA 4.0.": "cc-by",
-        "Licensed under the BSD 2-Clause License.": "", "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa-4.0",
+        "released under the label's own license": "", "Licensed under CC BY 4.0.": "cc-by,cc-by-4.0",
+        "Licensed under CC BY-ND 4.0.": "cc-by,cc-by-nd-4.0", "Licensed under CC BY-NC-SA 4.0.": "cc-by,cc-by-nc-sa-4.0",
+        "Licensed under the BSD 2-Clause License.": "bsd-2-clause", "SPDX-License-Identifier: MIT": "mit",
+        "MIT License\n\nCopyright (c) 2020 A. Writer\n": "mit", "// SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0",
+        "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991": "gpl,gpl-2.0", "SPDX-License-Identifier: Zlib": "",
+        textwrap.fill(next(t for n, t in TEMPLATES if n == "gpl-3.0" and "program" in t), 40): "gpl,gpl-3.0",
+        textwrap.fill(next(t for n, t in TEMPLATES if n == "gpl-2.0" and "program" in t), 40): "gpl,gpl-2.0",
+        "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa-4.0",
         "This work is licensed under the GNU Lesser General Public License, version 3.": "gpl,lgpl-3.0",
         "Released under the MIT License. Licensed under the Apache License, v 2.0.": "apache-2.0,mit",
     }
