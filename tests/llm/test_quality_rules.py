@@ -46,12 +46,16 @@ def distances(points: np.ndarray) -> np.ndarray:
     """The same concentration steps, in one place."""
     half = math.ceil(len(points) / 2) - 1
     centre, inverse = np.sort(points, axis=0)[half], np.diag(1 / np.square(Q.FLOORS))
-    for _ in range(Q.STEPS):
+    for _ in range(30):
         d = np.einsum("ni,ij,nj->n", points - centre, inverse, points - centre)
         inner = points[d <= np.sort(d)[half]]
+        old = np.concatenate([centre, inverse.ravel()])
         centre = inner.mean(axis=0)
         cov = (inner[:, :, None] * inner[:, None, :]).mean(axis=0) - np.outer(centre, centre)
         inverse = np.linalg.inv(cov * Q.SCALE + np.diag(np.square(Q.FLOORS)))
+        new = np.concatenate([centre, inverse.ravel()])
+        if (np.abs(new - old) / (1 + np.abs(new))).max() <= 1e-9:
+            break
     return np.sqrt(np.einsum("ni,ij,nj->n", points - centre, inverse, points - centre))
 
 
@@ -117,6 +121,25 @@ def test_all_documents(spark):
             assert r.kept == bool(quality[r.doc_id])
 
 
+def test_the_estimate_decides_about_word_length(spark):
+    """A moderate outlier of a tight source goes, the same text in a wide source stays."""
+    made, rows = random.Random(6), []
+    for n in range(400):
+        for source, spread in (("tight", 0.0), ("wide", 1.2)):
+            length = max(2.0, made.gauss(5.0, spread))
+            words = ["x" * max(1, round(made.gauss(length, 0.5))) + str(k) for k in range(120)]
+            rows.append((len(rows), " ".join(words), "en", source))
+    odd = " ".join("x" * 6 + f"{k:02d}" for k in range(120))
+    rows += [(90_000, odd, "en", "tight"), (90_001, odd, "en", "wide")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    narrow = Q.written(Q.with_statistics(docs), "statistics")
+    got = {r.doc_id: r for r in Q.judge(narrow, Q.estimates(narrow)).collect()}
+    assert not got[90_000].kept and got[90_001].kept
+    tight = sorted(r.distance for r in got.values() if r.doc_id < 90_000 and rows[r.doc_id][3] == "tight")
+    wide = sorted(r.distance for r in got.values() if r.doc_id < 90_000 and rows[r.doc_id][3] == "wide")
+    assert 0.3 < tight[200] < 1 and 0.5 < wide[200] < 2
+
+
 def test_empty_table(no_docs):
     narrow = Q.written(Q.with_statistics(no_docs), "statistics")
     assert Q.judge(narrow, Q.estimates(narrow)).collect() == []
