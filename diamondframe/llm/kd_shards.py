@@ -1,15 +1,18 @@
 """Sharding by a k-d tree: split at weighted medians of the widest dimension.
 
-Each row has four metadata dimensions that follow from its text: bytes, bytes per
-character, characters per line and its checksum. A node of the tree holds a number of
-shards. A level finds, for every node at once, the widest dimension and the point that
-gives each side its part of the bytes, from histograms that are summed before the shuffle.
-Rows are never sorted or moved for it. Below the value of the dimension a key goes on with
-the checksum of the text and then with a hash of the doc_id: equal texts stay together
-unless they straddle a median, and a group with a third of all rows can still be split.
-
-Columns and rows only. Driver: a histogram of at most ``2 ** DIGITS[0]`` bins per node, and
-one split per node.
+Each row has four metadata dimensions that follow from its text: bytes, bytes per character,
+characters per line, and characters per blank, each as a part of its range over the table. A
+node of the tree holds a number of shards. A level splits every node at once along its widest
+dimension, the one with the largest standard deviation, at the point that gives each side its
+part of the bytes. The point is read digit by digit from histograms that are summed before
+the shuffle; rows are never sorted or moved for it. Below the value of the dimension a
+key goes on with the checksum of the text and then with a hash of the doc_id: equal texts stay
+together unless they straddle a median, and a group with a third of all rows can still be split.
+
+Columns and rows only. The nodes of a level and the split of each are rows of a written table,
+which the planner broadcasts only while it is small; a node has at most ``2 ** DIGITS[0]`` bins
+in a histogram. The driver knows the number of shards and of levels, so a tree down to a
+target of bytes may have any number of leaves.
 
 Defined results: a missing text has no bytes; rows without doc_id are placed like any
 other, repeated rows too; an empty table gives an empty table; only doc_id and text are read.
@@ -28,79 +31,104 @@ SHARDS = 16
 #: A key has 15 bits of a dimension, 32 of the checksum and 16 of the doc_id, read digit by digit.
 DIGITS = (13, 13, 13, 12, 12)
 KEY_BITS = sum(DIGITS)
-DIMENSIONS = ("d_bytes", "d_width", "d_line", "d_sum")
+DIMENSIONS = ("d_bytes", "d_width", "d_line", "d_blank")
+#: The largest value of a dimension.
+RANGE = (1 << 15) - 1
 SLOT_ROWS = 4096
 
 
+def _without(text: Column, character: str) -> Column:
+    return F.length(F.replace(text, F.lit(character), F.lit("")))
+
+
 def _metadata(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, tie, and the dimensions, each from 0 to ``RANGE`` over the table."""
     text = text_value()
     n_bytes, n_chars = byte_length(text), F.length(text).cast("long")
-    n_lines = n_chars - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    scaled = lambda x, most: F.least(
-        F.lit(32767), F.floor(x / F.lit(float(most)) * 32767)
-    ).cast("long")
     crc = F.crc32(text)
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (n_bytes + 1).alias("size"),
-        crc.alias("text_crc32"),
-        scaled(F.log2(n_bytes + 1), 32).alias("d_bytes"),
-        scaled(n_bytes / F.greatest(n_chars, F.lit(1)), 4).alias("d_width"),
-        scaled(F.log2(n_chars / n_lines + 1), 32).alias("d_line"),
-        F.shiftright(crc, 17).alias("d_sum"),
-        (crc * 65536 + F.pmod(F.xxhash64(id_key()), F.lit(65536))).alias("tie"),
+    measured = {
+        "d_bytes": F.log2(n_bytes + 1),
+        "d_width": n_bytes / F.greatest(n_chars, F.lit(1)),
+        "d_line": F.log2(n_chars / (n_chars - _without(text, "\n") + 1) + 1),
+        "d_blank": F.log2(n_chars / (n_chars - _without(text, " ") + 1) + 1),
+    }
+    rows = written(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), (n_bytes + 1).alias("size"),
+            crc.alias("text_crc32"),
+            (crc * 65536 + F.pmod(F.xxhash64(id_key()), F.lit(65536))).alias("tie"),
+            *[x.cast("double").alias(d) for d, x in measured.items()],
+        ),
+        "shard-metadata",
     )
+    found = rows.agg(*[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    return rows.withColumns({d: scaled(F.col(d), found[f"lo_{d}"], found[f"hi_{d}"]) for d in DIMENSIONS})
 
 
-def _by_node(values: dict[int, Column | int], otherwise) -> Column:
-    node = F.col("node")
-    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return reduce(
-        lambda rest, n: F.when(node == n, lit(values[n])).otherwise(rest),
-        sorted(values), lit(otherwise),
+def scaled(value: Column, low: float | None, high: float | None) -> Column:
+    if low is None or low == high:
+        return F.lit(0).cast("long")
+    return F.floor((value - low) / (high - low) * RANGE).cast("long")
+
+
+def _widest(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shards, left shards, widest dimension and bytes wanted on the left, of nodes to split."""
+    sums = rows.groupBy("node").agg(
+        F.sum("size").alias("size"), F.count("*").alias("n"),
+        *[f.alias(name) for d in DIMENSIONS for f, name in (
+            (F.sum(d), f"s_{d}"), (F.sum((F.col(d) * F.col(d)).cast("decimal(20,0)")), f"q_{d}"),
+        )],
+    )
+    # n times the variance; exact in whole numbers, so it is the same in any partitioning.
+    def times_variance(d: str) -> Column:
+        total = F.col(f"s_{d}").cast("decimal(19,0)")
+        return F.col(f"q_{d}").cast("decimal(30,0)") * F.col("n") - total * total
+
+    spread = {d: times_variance(d) for d in DIMENSIONS}
+    most = F.greatest(*spread.values())
+    dimension = reduce(lambda rest, k: F.when(spread[DIMENSIONS[k]] == most, k).otherwise(rest),
+                       reversed(range(len(DIMENSIONS))), F.lit(0))
+    left = F.floor(F.col("shards") / 2)
+    found = nodes.filter("shards > 1").join(sums, "node")
+    return found.select(
+        "node", "shards", left.alias("left"), dimension.alias("dimension"),
+        (F.col("size").cast("double") * left / F.col("shards")).alias("wanted"), F.lit(0).cast("long").alias("prefix"),
     )
 
 
-def _splits(rows: DataFrame, nodes: dict[int, int]) -> dict[int, tuple[str, int]]:
-    """For each node of two shards or more, its widest dimension and the first key on the right."""
-    found = rows.groupBy("node").agg(
-        F.sum("size").alias("size"),
-        *[f(d).alias(f"{name}_{d}") for d in DIMENSIONS for name, f in (("lo", F.min), ("hi", F.max))],
-    ).collect()
-    found = [r for r in found if r["node"] in nodes]
-    widest = {
-        r["node"]: max(DIMENSIONS, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"], d)) for r in found
-    }
-    # Bytes still wanted on the left, and the leading digits of the split so far.
-    wanted = {r["node"]: r["size"] * (nodes[r["node"]] // 2) / nodes[r["node"]] for r in found}
-    prefix = dict.fromkeys(wanted, 0)
-    below = KEY_BITS
-    keyed = rows.withColumn("key", _by_node({n: _key(d) for n, d in widest.items()}, 0))
-    for width in DIGITS if found else ():
+def _key() -> Column:
+    """The row's key along the widest dimension of its node."""
+    value = reduce(lambda rest, k: F.when(F.col("dimension") == k, F.col(DIMENSIONS[k])).otherwise(rest),
+                   range(len(DIMENSIONS)), F.lit(0).cast("long"))
+    return value * F.lit(1 << 48) + F.col("tie")
+
+
+def _splits(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes to split, with ``prefix``: the first key that goes to the right."""
+    state, below = written(_widest(rows, nodes), "shard-widest"), KEY_BITS
+    for width in DIGITS:
         above, below = below, below - width
+        keyed = rows.join(state, "node").withColumn("key", _key())
+        inside = F.shiftright("key", above) == F.col("prefix") if above < KEY_BITS else F.lit(True)
         digit = F.shiftright("key", below).bitwiseAND((1 << width) - 1)
-        counted = (
-            keyed.filter(F.col("node").isin(list(wanted)))
-            .filter(F.shiftright("key", above) == _by_node(prefix, -1) if above < KEY_BITS else F.lit(True))
-            .groupBy("node", digit.alias("digit")).agg(F.sum("size").alias("size")).collect()
+        bins = keyed.filter(inside).groupBy("node", digit.alias("digit")).agg(F.sum("size").alias("in_bin"))
+        # The first bin that reaches what is wanted on the left, or the last one.
+        whole = Window.partitionBy("node")
+        upto = bins.select(
+            "*", F.sum("in_bin").over(whole.orderBy("digit")).alias("upto"), F.max("digit").over(whole).alias("last")
+        ).join(state, "node")
+        reaching = upto.filter((F.col("upto") >= F.col("wanted")) | (F.col("digit") == F.col("last")))
+        first = reaching.groupBy(*state.columns).agg(
+            F.min(F.struct("digit", "in_bin", "upto")).alias("bin")
         )
-        bins: dict[int, list] = {n: [] for n in wanted}
-        for r in counted:
-            bins[r["node"]].append((r["digit"], r["size"]))
-        for n, sizes in bins.items():
-            chosen = 0
-            for chosen, size in sorted(sizes):
-                if size >= wanted[n] or chosen == max(sizes)[0]:
-                    break
-                wanted[n] -= size
-            prefix[n] = prefix[n] << width | chosen
-            if below == 0 and 2 * wanted[n] >= dict(sizes).get(chosen, 0):
-                prefix[n] += 1  # the last bin is nearer to the left
-    return {n: (widest[n], prefix[n]) for n in wanted}
-
-
-def _key(dimension: str) -> Column:
-    return F.col(dimension) * F.lit(1 << 48) + F.col("tie")
+        wanted = F.col("wanted") - (F.col("bin.upto") - F.col("bin.in_bin"))
+        prefix = F.shiftleft("prefix", width) + F.col("bin.digit")
+        if below == 0:
+            # The last bin goes to the side that it is nearer to.
+            prefix = prefix + F.when(2 * wanted >= F.col("bin.in_bin"), 1).otherwise(0)
+        chosen = {"wanted": wanted, "prefix": prefix.cast("long")}
+        state = written(first.select(*[chosen.get(c, F.col(c)).alias(c) for c in state.columns]), "shard-digits")
+    return state
 
 
 def kd_shards(docs: DataFrame, n_shards: int | None = SHARDS, target_bytes: int | None = None) -> DataFrame:
@@ -109,24 +137,30 @@ def kd_shards(docs: DataFrame, n_shards: int | None = SHARDS, target_bytes: int
     Shards are numbered from 0 and have near equal bytes. Their number is given, or follows
     from the bytes a leaf should reach. Slots number a shard's rows without gaps.
     """
-    rows = written(_metadata(docs), "shard-metadata")
+    rows = written(_metadata(docs), "shard-dimensions")
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
     if n_shards is None:
         n_shards = max(1, -(-(total["size"] or 0) // target_bytes))
-    # A node is known by its first shard; here are those with more than one shard to come.
-    nodes, current = {0: n_shards}, rows.withColumn("node", F.lit(0))
-    while nodes := {n: k for n, k in nodes.items() if k > 1}:
+    # A node is known by its first shard. After each level the larger halves have half as many.
+    nodes = docs.sparkSession.range(1).select(
+        F.lit(0).cast("long").alias("node"), F.lit(n_shards).cast("long").alias("shards")
+    )
+    current = rows.withColumn("node", F.lit(0).cast("long"))
+    for _ in range((n_shards - 1).bit_length()):
         splits = _splits(current, nodes)
-        sides = {
-            n: F.when(_key(dimension) >= F.lit(first), F.lit(n + nodes[n] // 2)).otherwise(F.lit(n))
-            for n, (dimension, first) in splits.items()
-        }
-        # Written, or the next level's expressions would hold this one's many times over.
-        current = written(current.withColumn("node", _by_node(sides, F.col("node"))), "shard-nodes")
+        joined = current.join(splits.select("node", "left", "dimension", "prefix"), "node", "left")
+        right = F.col("prefix").isNotNull() & (_key() >= F.col("prefix"))
+        node = F.when(right, F.col("node") + F.col("left")).otherwise(F.col("node"))
+        # Written, or the next level's plan would hold this one's many times over.
+        current = written(
+            joined.select(*[c for c in current.columns if c != "node"], node.alias("node")), "shard-nodes"
+        )
         # A node without rows is in no split and ends here.
-        nodes = {n: nodes[n] // 2 for n in splits} | {
-            n + nodes[n] // 2: nodes[n] - nodes[n] // 2 for n in splits
-        }
+        halves = F.explode(F.array(
+            F.struct(F.col("node"), F.col("left").alias("shards")),
+            F.struct((F.col("node") + F.col("left")).alias("node"), (F.col("shards") - F.col("left")).alias("shards")),
+        ))
+        nodes = splits.select(halves.alias("half")).select("half.*")
     placed = current.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"))
     return _slots(placed, total["n"], n_shards)
 
