@@ -280,25 +280,6 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     )
 
 
-def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without all but the first of each group of linked ones; the input's columns.
-
-    Of rows that repeat the first document's doc_id, one stays.
-    """
-    found = jaccard_components(docs, width, percent)
-    first = written(
-        found.groupBy("component").agg(F.min(F.struct("doc", "version")).alias("first"))
-        .select("first.doc", "first.version"), "first-of-group",
-    )
-    text = text_value()
-    of_doc = (id_key() == first["doc"]) & (F.xxhash64(text) == first["version"])
-    same = Window.partitionBy(first["doc"], first["version"]).orderBy(first["doc"])
-    joined = docs.join(first, of_doc)
-    kept = joined.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
-                         F.row_number().over(same).alias("n"))
-    return kept.filter("n = 1").select("row.*")
-
-
 def one_text_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows without all but the first of each group of linked texts; the input's columns.
 

@@ -12,7 +12,7 @@ from __spark_entry__ import queries
 from diamondframe.llm.common import NO_ID
 from diamondframe.llm.components import components
 from diamondframe.llm.count_tree import CountTree, links
-from diamondframe.llm.shingle_join import jaccard_components, one_of_each_group, one_text_of_each_group
+from diamondframe.llm.shingle_join import jaccard_components, one_text_of_each_group
 from diamondframe.llm.shingles import shared_keys
 
 from llm.brute import COLUMNS, edge_rows, edge_table, fold, key, prose
@@ -66,7 +66,6 @@ def test_edges(edge_docs, width, percent):
 
 def test_empty_table(no_docs):
     assert jaccard_components(no_docs, 3, 90).collect() == []
-    assert one_of_each_group(no_docs).collect() == []
 
 
 def test_no_texts(no_docs, edge_docs):
@@ -75,18 +74,6 @@ def test_no_texts(no_docs, edge_docs):
     assert one_text_of_each_group(empty).collect() == empty.collect()
 
 
-def test_one_of_each_group(edge_docs):
-    rows = edge_table()
-    want = joined(rows, 5, 80)
-    first = defaultdict(list)
-    for (i, t), (_, component, _) in want.items():
-        first[component].append((i, t))
-    got = one_of_each_group(edge_docs)
-    assert got.columns == edge_docs.columns
-    kept = Counter((key(r.doc_id)) for r in got.collect())
-    assert kept == Counter(min(x)[0] for x in first.values())
-
-
 def texts_left(rows, width=5, percent=80):
     """The (doc, text) that stay, with texts as nodes; a group's first one may be any of a doc's."""
     texts = sorted({t for _, t in rows if shingles(t, width)})
