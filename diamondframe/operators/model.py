@@ -54,7 +54,7 @@ def _classes(dataset: DataFrame) -> int:
 
 
 #: Boosting rounds after which a booster's lineage is cut.
-CHECKPOINT_ROUNDS = 10
+CHECKPOINT_ROUNDS = 40
 
 
 class BoostedOutcomes(Estimator, DefaultParamsReadable, DefaultParamsWritable):
