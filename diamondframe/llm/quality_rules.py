@@ -3,7 +3,7 @@
 Each text becomes a vector of four transformed statistics. Per language and source the
 minimum covariance determinant (MCD) estimate of centre and covariance comes from
 concentration steps: start from medians, keep the half of the group with the smallest
-Mahalanobis distances, estimate anew, repeat until no estimate moves. All of it is grouped sums
+Mahalanobis distances, estimate anew, repeat until no estimate moves by a thousandth. All of it is grouped sums
 over a narrow written table, reduced before the shuffle, so a source with a third of all rows
 costs no more than others; the estimates are one small file, which joins without moving rows
 while the planner finds it small. Only the inverse of a 4 x 4 matrix per group is computed in
@@ -46,7 +46,7 @@ VECTOR = ("x0", "x1", "x2", "x3")
 FLOORS = (0.08, 0.05, 0.10, 0.10)
 PRIOR_WORDS, PRIOR_CHARS = 25, 5
 #: Concentration steps at most, and the relative change of an estimate that still counts as one.
-LEAST_ROWS, STEPS, MOVED, HALF = 50, 30, 1e-9, 0.5
+LEAST_ROWS, STEPS, MOVED, HALF = 50, 12, 1e-3, 0.5
 #: Share of a normal group that the distance may reject.
 REJECTED_SHARE = 1e-9
 _PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]

@@ -42,21 +42,27 @@ def vector(text) -> list[float]:
     return [(chars + 125) / (n + 25), math.sqrt(symbols / (n + 25)), math.sqrt(dup / (lines + 25)), math.sqrt(rep / (n + 25))]
 
 
-def distances(points: np.ndarray) -> np.ndarray:
-    """The same concentration steps, in one place."""
-    half = math.ceil(len(points) / 2) - 1
-    centre, inverse = np.sort(points, axis=0)[half], np.diag(1 / np.square(Q.FLOORS))
-    for _ in range(30):
-        d = np.einsum("ni,ij,nj->n", points - centre, inverse, points - centre)
-        inner = points[d <= np.sort(d)[half]]
-        old = np.concatenate([centre, inverse.ravel()])
-        centre = inner.mean(axis=0)
-        cov = (inner[:, :, None] * inner[:, None, :]).mean(axis=0) - np.outer(centre, centre)
-        inverse = np.linalg.inv(cov * Q.SCALE + np.diag(np.square(Q.FLOORS)))
-        new = np.concatenate([centre, inverse.ravel()])
-        if (np.abs(new - old) / (1 + np.abs(new))).max() <= 1e-9:
+def distances(pools: list[np.ndarray]) -> list[np.ndarray]:
+    """The same concentration steps, in one place; all pools stop together."""
+    halves = [math.ceil(len(points) / 2) - 1 for points in pools]
+    found = [(np.sort(p, axis=0)[h], np.diag(1 / np.square(Q.FLOORS))) for p, h in zip(pools, halves)]
+    far = lambda p, c, i: np.einsum("ni,ij,nj->n", p - c, i, p - c)
+    for _ in range(Q.STEPS):
+        moved, after = 0.0, []
+        for points, half, (centre, inverse) in zip(pools, halves, found):
+            d = far(points, centre, inverse)
+            inner = points[d <= np.sort(d)[half]]
+            old = np.concatenate([centre, inverse.ravel()])
+            centre = inner.mean(axis=0)
+            cov = (inner[:, :, None] * inner[:, None, :]).mean(axis=0) - np.outer(centre, centre)
+            inverse = np.linalg.inv(cov * Q.SCALE + np.diag(np.square(Q.FLOORS)))
+            new = np.concatenate([centre, inverse.ravel()])
+            moved = max(moved, (np.abs(new - old) / (1 + np.abs(new))).max())
+            after.append((centre, inverse))
+        found = after
+        if moved <= Q.MOVED:
             break
-    return np.sqrt(np.einsum("ni,ij,nj->n", points - centre, inverse, points - centre))
+    return [np.sqrt(far(points, *of)) for points, of in zip(pools, found)]
 
 
 def judged(rows: list[tuple]) -> list[tuple[bool, float | None]]:
@@ -71,10 +77,10 @@ def judged(rows: list[tuple]) -> list[tuple[bool, float | None]]:
     for pool, members in pools.items():
         final[pool if len(members) >= Q.LEAST_ROWS else "rest"] += members
     out: list = [None] * len(rows)
+    large = [members for members in final.values() if len(members) >= Q.LEAST_ROWS]
+    found = dict(zip(map(tuple, large), distances([np.array([vector(rows[n][0]) for n in m]) for m in large])))
     for members in final.values():
-        points = np.array([vector(rows[n][0]) for n in members])
-        found = distances(points) if len(members) >= Q.LEAST_ROWS else [None] * len(members)
-        for n, d in zip(members, found):
+        for n, d in zip(members, found.get(tuple(members), [None] * len(members))):
             out[n] = (not failed(counts(rows[n][0])) and (d is None or d <= math.sqrt(Q.CUT)), d)
     return out
 
