@@ -3,11 +3,11 @@
 Each text becomes a vector of four transformed statistics. Per language and source the
 minimum covariance determinant (MCD) estimate of centre and covariance comes from
 concentration steps: start from medians, keep the half of the group with the smallest
-Mahalanobis distances, estimate anew, repeat until no estimate moves by a thousandth. All of it is grouped sums
+Mahalanobis distances, estimate anew, ``STEPS`` times. All of it is grouped sums
 over a narrow written table, reduced before the shuffle, so a source with a third of all rows
 costs no more than others; the estimates are one small file, which joins without moving rows
 while the planner finds it small. Only the inverse of a 4 x 4 matrix per group is computed in
-Python, and one number a step goes to the driver.
+Python.
 
 The statistics: word length, symbols per word, repeated lines per line, repeated words per
 word. Each ratio is drawn towards a typical value as if by ``PRIOR_WORDS`` words more, since
@@ -45,8 +45,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 VECTOR = ("x0", "x1", "x2", "x3")
 FLOORS = (0.08, 0.05, 0.10, 0.10)
 PRIOR_WORDS, PRIOR_CHARS = 25, 5
-#: Concentration steps at most, and the relative change of an estimate that still counts as one.
-LEAST_ROWS, STEPS, MOVED, HALF = 50, 12, 1e-3, 0.5
+LEAST_ROWS, STEPS, HALF = 50, 4, 0.5
 #: Share of a normal group that the distance may reject.
 REJECTED_SHARE = 1e-9
 _PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
@@ -175,29 +174,18 @@ def estimates(rows: DataFrame, steps: int = STEPS, least: int = LEAST_ROWS) -> D
     for _ in range(steps):
         far = pooled.join(found, "pool").withColumn("d", _distance())
         edges = far.groupBy("pool").agg(F.percentile_approx("d", HALF, 1000).alias("edge"))
-        known = written(found.join(written(edges, "mcd-edges"), "pool").repartition(1), "mcd-known")
-        inner = pooled.join(known, "pool").withColumn("d", _distance()).filter("d <= edge")
+        inner = far.join(written(edges.repartition(1), "mcd-edges"), "pool").filter("d <= edge")
         sums = inner.groupBy("pool").agg(
             F.count("*").alias("n"), F.lit(SCALE).alias("scale"),
             *[F.sum(x).alias(f"s{i}") for i, x in enumerate(VECTOR)],
             *[F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"p{i}{j}") for i, j in _PAIRS],
         )
-        before, found = found, written(
+        found = written(
             sums.repartition(1).mapInPandas(lambda batches: map(_inverses, batches), _PARAMETERS), "mcd"
         )
-        if _moved(before, found) <= MOVED:
-            break
     return written(of_group.join(found, "pool").drop("pool").repartition(1), "estimates")
 
 
-def _moved(before: DataFrame, after: DataFrame) -> float:
-    """The largest relative change of an estimate."""
-    names = [*_MEANS, *_PRECISIONS]
-    old = before.select("pool", *[F.col(c).alias(f"old_{c}") for c in names])
-    changes = [F.abs(F.col(c) - F.col(f"old_{c}")) / (1 + F.abs(c)) for c in names]
-    return after.join(old, "pool").agg(F.max(F.greatest(*changes))).first()[0] or 0.0
-
-
 def judge(rows: DataFrame, found: DataFrame, cut: float = CUT) -> DataFrame:
     """Rows of ``with_statistics`` with ``base_failed``, ``distance`` and ``kept``."""
     joined = rows.join(found, "group", "left").withColumn("distance", F.sqrt(_distance()))

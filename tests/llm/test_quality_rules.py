@@ -43,25 +43,20 @@ def vector(text) -> list[float]:
 
 
 def distances(pools: list[np.ndarray]) -> list[np.ndarray]:
-    """The same concentration steps, in one place; all pools stop together."""
+    """The same concentration steps, in one place."""
     halves = [math.ceil(len(points) / 2) - 1 for points in pools]
     found = [(np.sort(p, axis=0)[h], np.diag(1 / np.square(Q.FLOORS))) for p, h in zip(pools, halves)]
     far = lambda p, c, i: np.einsum("ni,ij,nj->n", p - c, i, p - c)
     for _ in range(Q.STEPS):
-        moved, after = 0.0, []
+        after = []
         for points, half, (centre, inverse) in zip(pools, halves, found):
             d = far(points, centre, inverse)
             inner = points[d <= np.sort(d)[half]]
-            old = np.concatenate([centre, inverse.ravel()])
             centre = inner.mean(axis=0)
             cov = (inner[:, :, None] * inner[:, None, :]).mean(axis=0) - np.outer(centre, centre)
             inverse = np.linalg.inv(cov * Q.SCALE + np.diag(np.square(Q.FLOORS)))
-            new = np.concatenate([centre, inverse.ravel()])
-            moved = max(moved, (np.abs(new - old) / (1 + np.abs(new))).max())
             after.append((centre, inverse))
         found = after
-        if moved <= Q.MOVED:
-            break
     return [np.sqrt(far(points, *of)) for points, of in zip(pools, found)]
 
 
