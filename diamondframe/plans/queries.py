@@ -558,17 +558,6 @@ def boosted_scores(spark, sf_dir):
     return scored.select("event_id", *_round(*[f"p_{x}" for x in LABELS]))
 
 
-def boosted_search(spark, sf_dir):
-    """All 27 parameter sets of the boosted model, on two outcomes by strikes and two folds."""
-    complete = training.complete_rows(_training(spark, sf_dir), training.REQUIRED)
-    rows = _count_features(complete).withColumn(
-        "events", F.when(F.col("strikes") == 2, F.lit("strike")).otherwise(F.lit("ball"))
-    )
-    booster = M.outcome_estimator("ovr_gbt")
-    _, means = M.select_model(rows, booster, key=["event_id"], folds=2, parallelism=8)
-    return means.select("param_idx", "params", *_round("average_test_accuracy"), "best")
-
-
 #: Where the one split of each model input is planted, inside the usual range of the input.
 INPUT_SPLITS = {
     "release_speed": 89.7, "release_pos_x": 0.1, "release_pos_y": 52.4, "release_pos_z": 5.4,
@@ -688,7 +677,6 @@ def _clean_queries() -> dict[str, Query]:
         "tree_cv": tree_cv,
         "tree_recommend": tree_recommend,
         "boosted_scores": boosted_scores,
-        "boosted_search": boosted_search,
         "input_splits": input_splits,
         "cv_results": cv_results,
         "outcome_scores": outcome_scores,

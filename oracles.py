@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
 from pathlib import Path
 
 _SOURCES = Path(__file__).resolve().parent / "diamondframe/sources"
@@ -652,14 +651,6 @@ _SELECTS |= {
         FROM complete, (
             SELECT 1 / (1 + EXP(-2 * list_reduce([1.0::DOUBLE, 2, 3, 4, 5], lambda f, k:
                        f + 0.1::DOUBLE * 4 / (1 + EXP(2 * f))))) AS yes)""",
-    "boosted_search": """
-        SELECT CAST(i AS INTEGER) AS param_idx, params, 1.0::DOUBLE AS average_test_accuracy,
-               i = 0 AS best
-        FROM (VALUES """ + ", ".join(
-            f"({i}, 'maxDepth={d}, stepSize={r}, maxIter={n}')"
-            for i, (d, r, n) in enumerate(product((3, 5, 7), (0.01, 0.05, 0.1), (50, 100, 200)))
-        ) + """) v(i, params)
-        WHERE EXISTS (SELECT 1 FROM complete)""",
 }
 
 # What the input trees split at; a request's inputs as in the candidates, movement as drawn.
