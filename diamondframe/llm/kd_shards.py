@@ -137,7 +137,8 @@ def kd_shards(docs: DataFrame, n_shards: int | None = SHARDS, target_bytes: int
     Shards are numbered from 0 and have near equal bytes. Their number is given, or follows
     from the bytes a leaf should reach. Slots number a shard's rows without gaps.
     """
-    rows = written(_metadata(docs), "shard-dimensions")
+    # The root is written with the rows: as a literal it would turn the first joins into products.
+    rows = written(_metadata(docs).withColumn("node", F.lit(0).cast("long")), "shard-dimensions")
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
     if n_shards is None:
         n_shards = max(1, -(-(total["size"] or 0) // target_bytes))
@@ -145,7 +146,7 @@ def kd_shards(docs: DataFrame, n_shards: int | None = SHARDS, target_bytes: int
     nodes = docs.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("node"), F.lit(n_shards).cast("long").alias("shards")
     )
-    current = rows.withColumn("node", F.lit(0).cast("long"))
+    current = rows
     for _ in range((n_shards - 1).bit_length()):
         splits = _splits(current, nodes)
         joined = current.join(splits.select("node", "left", "dimension", "prefix"), "node", "left")
