@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from diamondframe.llm.common import read_table, text_value
+from diamondframe.llm.common import read_table, release_memory, text_value
 from diamondframe.llm.word_pieces import WordCache, tokenizer_file, worker_cache
 from diamondframe.session import written
 
@@ -84,6 +84,7 @@ def encoded_pieces(
                     rows = []
             if rows:
                 yield out(rows)
+        release_memory()
 
     types = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
              ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from diamondframe.llm.common import other_columns, read_table, text_value
+from diamondframe.llm.common import other_columns, read_table, release_memory, text_value
 from diamondframe.llm.word_pieces import (
     CACHE_LETTERS, load, parts, tokenizer_file, worker_cache,
 )
@@ -75,6 +75,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64())], ["row", "n_tokens"]
             )
+        release_memory()
 
     schema = T.StructType([carried.schema["row"], T.StructField("n_tokens", T.LongType())])
     counted = carried.mapInArrow(count, schema)

@@ -3,8 +3,8 @@
 The tokenizers used here never let a token span white space, so a text's ids are those of
 its runs between ASCII white space, one after the other. Each run is given to the library
 as it stands (which keeps its handling of special strings, letter case and normal forms) and
-is remembered by the worker. A text is read in parts of about a megabyte, and a cache is
-emptied when it is full, so memory does not grow with the texts.
+is remembered by the worker. A text is read in parts of about a megabyte, and a full cache keeps
+the words of the current part only, so memory does not grow with the texts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 #: Characters of a text that are split into words at once.
 PART = 1 << 20
 #: Words that a worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_LETTERS = 700_000, 40
+CACHE_WORDS, CACHE_LETTERS = 1 << 18, 40
 #: Marks that close a word.
 MARKS = string.punctuation
 
@@ -163,21 +163,28 @@ class WordCache:
             self.words.pop(w, None)
         missing = [w for w in distinct if w not in self.words]
         if len(self.words) + len(missing) > len(self.known) + CACHE_WORDS:
-            self.words = dict(self.known)
-            missing = [w for w in distinct if w not in self.words]
-        ends = [split_end(w) for w in missing]
+            # Frequent words are among those of any megabyte.
+            still = {w: self.words[w] for w in distinct if w in self.words}
+            self.words = self.known | still
         if len(self.forms) > CACHE_WORDS:
             self.forms = {}
-        forms = self.forms
-        new = {f for pair in ends for f in pair if f and f not in forms}
-        forms.update(self._encode(list(new)))
-        self.words.update(
-            (w, forms[f] + forms[end] if end else forms[f]) for w, (f, end) in zip(missing, ends)
-        )
+        words, forms = self.words, self.forms
+        ends = [(w, *split_end(w)) for w in missing]
+        new = {f for _, *pair in ends for f in pair if f and f not in words and f not in forms}
+        found = self._encode(list(new))
+
+        def of(form: str):
+            # A form is its own form, so it may be known as a word.
+            for tier in (found, words, forms):
+                if form in tier:
+                    return tier[form]
+            raise KeyError(form)
+
+        made = {w: of(f) + of(end) if end else of(f) for w, f, end in ends}
+        forms.update((f, v) for f, v in found.items() if f not in made and len(f) <= CACHE_LETTERS)
+        words.update(made)
         # Long words are not remembered.
         self.passing = [w for w in missing if len(w) > CACHE_LETTERS]
-        for w in self.passing:
-            forms.pop(split_end(w)[0], None)
 
     def values(self, texts: Iterable[str]) -> Iterator[tuple[int, Iterator[object]]]:
         """(row, a value per word) for each part of each text, in order; no part for no words."""

@@ -68,6 +68,22 @@ def test_full_caches_and_long_texts(monkeypatch):
     assert len(cache.words) <= 20 + 1 + 80
 
 
+def test_words_are_remembered_once_and_frequent_ones_stay(monkeypatch):
+    monkeypatch.setattr(word_pieces, "CACHE_WORDS", 20)
+    cache = WordCache(tokenizer_file(), len)
+    encoded = []
+    encode = cache._encode
+    monkeypatch.setattr(cache, "_encode", lambda forms: encoded.extend(forms) or encode(forms))
+    letters = "abcdefghijklmnop"
+    texts = [" ".join(["water", *[f"w{a}{b}" for b in letters]]) for a in letters]
+    for text in texts:
+        found = [n for _, lengths in cache.values([text]) for n in lengths]
+        assert sum(found) == len(ids_of(text))
+    assert encoded.count("water") == 1
+    # Small letters are their own form, so no word is held a second time.
+    assert not cache.forms and len(cache.words) <= 20 + 17
+
+
 def test_counts_equal_the_library(spark, edge_docs):
     rows = edge_table()
     want = Counter((i, len((t or "").encode()), len(ids_of(t)), len(ids_of(t)) > 2048) for i, t in rows)
