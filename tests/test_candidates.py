@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from diamondframe import constants as K
+from diamondframe.functions import draws
 from diamondframe.operators import candidates, expected, lookups
 from frames import collected
 
@@ -141,6 +142,23 @@ def test_movement_without_deviation_is_the_mean(spark):
     assert {drawn[m] for m in K.MOVEMENT.values()} == {90.0}
 
 
+def test_movement_draws_are_those_of_the_formula_and_hash_a_key_once(spark):
+    asked = requests(spark, *[(i, 1, 5, 0, 0, 0, 0, 0, 0) for i in range(40)])
+    rows = candidates.request_types(asked, pitcher_table(spark, (1, "FF", "R"), (1, "SL", "R"), sd=2.0))
+    drawn = candidates.draw_movement(rows, 3)
+    assert drawn.columns == [*rows.columns, *K.MOVEMENT.values()]
+    plain = {
+        f"plain_{stat}": draws.normal(
+            F.col(f"avg{stat}"), F.col(f"sd{stat}"),
+            draws.key_hash(3, F.col("request_id"), F.col(TYPE), F.lit(stat)),
+        ) for stat in K.MOVEMENT
+    }
+    for row in drawn.withColumns(plain).collect():
+        assert all(row[metric] == row[f"plain_{stat}"] for stat, metric in K.MOVEMENT.items())
+    # Written out for every statistic, the draws were a method too long to be compiled.
+    assert drawn._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+
+
 def test_pitcher_without_profile_drops_out(spark):
     rows = candidates.request_types(
         requests(spark, (1, 7, 20, 0, 0, 0, 0, 0, 0)), pitcher_table(spark, (1, "FF", "R"))
