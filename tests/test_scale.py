@@ -10,7 +10,7 @@ from diamondframe.operators.pitches import inning_runs, labelled_pitches, releva
 from diamondframe.plans.prepare import profile_tables
 from diamondframe.plans.queries import LABELS, all_queries
 from diamondframe.session import written
-from diamondframe.sources.pitches import pitch_table
+from diamondframe.sources.pitches import pitch_table, pitches_from_events
 from conftest import SF
 
 
@@ -169,3 +169,11 @@ def test_least_and_last_are_found_without_a_sort(spark):
 
 def test_the_pitch_table_is_read_by_many_tasks(spark):
     assert pitch_table(spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_pitches_of_one_small_file_are_made_in_parallel(spark, tmp_path):
+    events = spark.range(400).selectExpr("id AS event_id", "id % 7 AS user_id", "id * 0.25D AS value")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    made = pitches_from_events(spark, str(tmp_path))
+    assert made.select(F.spark_partition_id()).distinct().count() > 1
+    assert made.count() == 400
