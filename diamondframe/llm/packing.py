@@ -62,17 +62,18 @@ def _cut(texts, cache: WordCache, capacity: int, end_id: int) -> Iterator[tuple[
 
 def encoded_pieces(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
-    with_ids: bool = True,
+    with_ids: bool = True, remembered: int | None = None,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids) of every piece of every document.
 
     A document's ids are those of the tokenizer and then ``end_id``; only documents longer than
     ``capacity`` are cut. ``ids`` is binary, little-endian, four bytes an id; leave it out where
-    the placement alone is wanted.
+    the placement alone is wanted. A worker remembers ``remembered`` words; fewer take less
+    memory and more time.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache(tokenizer, "bytes")
+        cache = worker_cache(tokenizer, "bytes", limit=remembered)
         for batch in batches:
             keys = batch.column(0).to_pylist()
             rows: list[tuple] = []
@@ -148,16 +149,18 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return whole.unionByName(packed)
 
 
-def _written_pieces(docs: DataFrame, with_ids: bool, *encoding) -> DataFrame:
-    pieces = encoded_pieces(docs, *encoding, with_ids=with_ids)
+def _written_pieces(docs: DataFrame, with_ids: bool, *encoding, remembered: int | None = None) -> DataFrame:
+    pieces = encoded_pieces(docs, *encoding, with_ids=with_ids, remembered=remembered)
     return written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
 
 
 def packed_documents(
-    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
+    remembered: int | None = None,
 ) -> DataFrame:
     """A row per piece: what it is, and the sequence and offset where it goes."""
-    return pack_pieces(_written_pieces(docs, False, tokenizer, capacity, end_id), capacity).drop("row")
+    pieces = _written_pieces(docs, False, tokenizer, capacity, end_id, remembered=remembered)
+    return pack_pieces(pieces, capacity).drop("row")
 
 
 def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
