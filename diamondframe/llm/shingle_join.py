@@ -8,7 +8,9 @@ survive are verified on the whole sets.
 
 One tree over everything would send every set to nearly all of its pages. So sets are first
 brought into clusters that no link leaves: sets that link share a key (``shingles.shared_keys``,
-exact by a pigeonhole argument), and a cluster is a component of the sets with a common key.
+exact by a pigeonhole argument), and a cluster is a component of the sets with a common key whose
+points allow a link. Without the points, texts that merely have a passage in common would chain to
+one cluster over most of a large table.
 A cluster is dealt over leaves of at most about ``LEAF_SETS`` sets of one band of sizes; every
 two leaves that may hold linked sets meet in a task, which holds their two trees. Equal sets are one all along. A task hands
 on a row per set, with the smallest one it reaches there and the number of its links, never its
@@ -34,11 +36,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from diamondframe.llm.common import BLANKS, id_key, id_value, read_table, release_memory, text_value
 from diamondframe.llm.components import components
 from diamondframe.llm.count_tree import CountTree, links
-from diamondframe.llm.shingles import digest, shared_keys, shingle_set
+from diamondframe.llm.shingles import GROUPS, count_vector, digest, least_common, shared_keys, shingle_set
 from diamondframe.session import written
 
 LEAF_SETS, LEAF_SHINGLES = 4096, 2_000_000
 ROWS_OUT = 1 << 16
+#: Of a key with more texts than this, the texts stay together whatever their points.
+KEY_TEXTS = 1 << 14
+#: Elements per coordinate of a point, up to so many coordinates: with more elements in each, the
+#: bound would let unrelated sets pass.
+POINT_COUNT, POINT_GROUPS = 8, 1 << 15
+#: Numbers in a block of compared points.
+BLOCK = 1 << 20
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -47,7 +56,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _described(keyed: DataFrame, width: int) -> DataFrame:
-    """A row per text: size of its set and two hashes of it."""
+    """A row per text: size of its set, two hashes of it, and its point."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,71 +64,207 @@ def _described(keyed: DataFrame, width: int) -> DataFrame:
             found = [(len(s), *digest(s)) for s in sets]
             columns = zip(*found) if found else [[]] * 3
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], *[pa.array(c, pa.int64()) for c in columns]],
-                ["doc", "version", "n", "d1", "d2"],
+                [*batch.columns[:2], *[pa.array(c, pa.int64()) for c in columns],
+                 pa.array([_point(s) for s in sets], pa.binary())],
+                ["doc", "version", "n", "d1", "d2", "point"],
             )
         release_memory()
 
-    return keyed.mapInArrow(describe, "doc long, version long, n long, d1 long, d2 long")
+    return keyed.mapInArrow(describe, "doc long, version long, n long, d1 long, d2 long, point binary")
+
+
+def _point(hashes: np.ndarray) -> bytes:
+    """The count vector behind the bytes of a number; large sets have more coordinates.
+
+    Those of half as many are the sums of the first and second half.
+    """
+    groups = GROUPS
+    while len(hashes) > POINT_COUNT * groups and groups < POINT_GROUPS:
+        groups *= 2
+    counts = count_vector(hashes, groups)
+    kind = np.min_scalar_type(counts.max())
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def _points(packed: list[bytes]) -> np.ndarray:
+    """Points side by side, in the fewest coordinates of any."""
+    made = [np.frombuffer(p, dtype=f"u{p[0]}", offset=1) for p in packed]
+    least = min(map(len, made))
+    return np.stack([p if len(p) == least else p.reshape(-1, least).sum(axis=0, dtype="u4") for p in made])
 
 
 def _keys(keyed: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, doc): the keys of every text. They go into a shuffle and are not written before."""
+    """(key, version): the keys of every text. They go into a shuffle and are not written before."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0).to_numpy()
+            versions = batch.column(1).to_numpy()
             found = [
                 shared_keys(shingle_set(t.as_py(), width), percent)
                 for t in batch.column(2).cast(pa.binary())
             ]
             if not found:
                 continue
-            owner = np.repeat(docs, [len(k) for k in found])
+            owner = np.repeat(versions, [len(k) for k in found])
             flat = np.concatenate(found)
             for at in range(0, len(flat), ROWS_OUT):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[at : at + ROWS_OUT]), pa.array(owner[at : at + ROWS_OUT])], ["key", "doc"]
+                    [pa.array(flat[at : at + ROWS_OUT]), pa.array(owner[at : at + ROWS_OUT])], ["key", "version"]
                 )
         release_memory()
 
-    return keyed.mapInArrow(keys, "key long, doc long")
+    return keyed.mapInArrow(keys, "key long, version long")
 
 
 def _sharing(keys: DataFrame) -> DataFrame:
-    """Edges (a, b) from each document to the smallest one that has a key in common with it."""
+    """(texts, version, head): the texts that have a key in common, each such list of texts once.
+
+    ``texts`` is a hash of the list. A key of more than ``KEY_TEXTS`` texts has no list but a row for
+    each text, without ``texts``, and its smallest one as ``head``.
+    """
+
+    def lists(keys: np.ndarray, versions: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole keys, in order."""
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(starts, append=len(keys))
+        several = np.flatnonzero(sizes > 1)
+        if not len(several):
+            return
+        mixed = versions.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
+        _, once = np.unique(hashes[several], return_index=True)
+        chosen = several[once]
+        ids = hashes.view(np.int64)[chosen]
+        at = np.repeat(starts[chosen], sizes[chosen])
+        ends = np.cumsum(sizes[chosen])
+        at = at + np.arange(len(at)) - np.repeat(ends - sizes[chosen], sizes[chosen])
+        yield of(np.repeat(ids, sizes[chosen]), versions[at])
+
+    def of(texts, versions: np.ndarray, head=None) -> pa.RecordBatch:
+        none = pa.nulls(len(versions), pa.int64())
+        columns = [none if texts is None else pa.array(texts), pa.array(versions)]
+        columns.append(none if head is None else pa.array(np.full(len(versions), head)))
+        return pa.RecordBatch.from_arrays(columns, ["texts", "version", "head"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, head = None, None
+        # The last key of a batch may go on in the next one.
+        keys, versions = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        large = head = None
         for batch in batches:
-            keys, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys = np.concatenate([keys, batch.column(0).to_numpy()])
+            versions = np.concatenate([versions, batch.column(1).to_numpy()])
             if not len(keys):
                 continue
-            new = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
-            heads = np.where(at < 0, docs[0] if head is None else head, docs[np.maximum(at, 0)])
-            key, head = keys[-1], heads[-1]
-            pairs = np.stack([docs, heads])[:, docs != heads]
-            pairs = np.unique(pairs, axis=1) if pairs.shape[1] else pairs
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (versions[1:] != versions[:-1])])
+            keys, versions = keys[new], versions[new]
+            if large is not None:
+                n = int(np.searchsorted(keys, large, "right"))
+                if n:
+                    yield of(None, versions[:n], head)
+                keys, versions = keys[n:], versions[n:]
+                if not len(keys):
+                    continue
+                large = None
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last:
+                yield from whole(keys[:last], versions[:last])
+            keys, versions = keys[last:], versions[last:]
+            if len(keys) > KEY_TEXTS:
+                large, head = keys[0], versions[0]
+                yield of(None, versions[1:], head)
+                keys, versions = keys[:0], versions[:0]
+        if len(keys):
+            yield from whole(keys, versions)
+        release_memory()
 
-    dealt = keys.repartition("key").sortWithinPartitions("key", "doc")
-    return dealt.mapInArrow(read, "a long, b long").distinct()
+    def whole(keys: np.ndarray, versions: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(starts, append=len(keys))
+        for i in np.flatnonzero(sizes > KEY_TEXTS):
+            mine = versions[starts[i] : starts[i] + sizes[i]]
+            yield of(None, mine[1:], mine[0])
+        few = np.repeat(sizes <= KEY_TEXTS, sizes)
+        if few.any():
+            yield from lists(keys[few], versions[few])
+
+    dealt = keys.repartition("key").sortWithinPartitions("key", "version")
+    return dealt.mapInArrow(read, "texts long, version long, head long").distinct()
+
+
+def _reaching(points: np.ndarray, percent: int) -> np.ndarray:
+    """For each point the first one that it reaches by steps between points that allow a link."""
+    sizes = points.sum(axis=1, dtype=np.int64)
+    first, left = np.full(len(points), -1), np.arange(len(points))
+    while len(left):
+        front, left = left[:1], left[1:]
+        head = front[0]
+        first[head] = head
+        while len(front) and len(left):
+            step = max(1, BLOCK // (points.shape[1] * len(left)))
+            at, front = front[:step], front[step:]
+            common = np.minimum(points[at, None, :], points[None, left, :]).sum(axis=2, dtype=np.int64)
+            near = (common >= least_common(sizes[at, None], sizes[None, left], percent)).any(axis=0)
+            first[left[near]] = head
+            front, left = np.concatenate([front, left[near]]), left[~near]
+    return first
+
+
+def _near(sharing: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between texts with a key in common whose points allow that they link."""
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        at, out = None, []
 
-def _members(described: DataFrame, keys: DataFrame, percent: int, node: str = "doc") -> DataFrame:
+        def done() -> None:
+            # Two texts of one hash have two points, so a text may stand twice.
+            if sum(map(len, held.values())) > 1:
+                versions = np.repeat([*held], [len(p) for p in held.values()])
+                first = _reaching(_points([p for some in held.values() for p in some]), percent)
+                moved = versions[first] != versions
+                out.append((versions[moved], versions[first][moved]))
+
+        for batch in batches:
+            for texts, version, point in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                if texts != at:
+                    done()
+                    at, held = texts, {}
+                held.setdefault(version, []).append(point)
+            if out:
+                yield edges(out)
+                out = []
+        done()
+        yield edges(out)
+        held.clear()
+        release_memory()
+
+    def edges(out: list[tuple]) -> pa.RecordBatch:
+        pairs = np.concatenate([np.stack(x) for x in out], axis=1) if out else np.empty((2, 0), dtype=np.int64)
+        pairs = np.unique(pairs, axis=1) if pairs.shape[1] else pairs
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    points = described.filter("n > 0").select("version", "point").distinct()
+    listed = sharing.filter("texts IS NOT NULL").join(points, "version").select("texts", "version", "point")
+    dealt = listed.repartition("texts").sortWithinPartitions("texts")
+    apart = sharing.filter("texts IS NULL").select(F.col("version").alias("a"), F.col("head").alias("b"))
+    return dealt.mapInArrow(join, "a long, b long").unionByName(apart).distinct()
+
+
+def _members(described: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     """A row per distinct set and meeting of two leaves that it takes part in.
 
-    ``node`` is the column whose values the keys belong to. A leaf holds sets of one cluster and one band of sizes. Sets that link are in the same
+    A leaf holds sets of one cluster and one band of sizes. Sets that link are in the same
     band or in neighbouring ones, so these leaves meet and no others.
     """
-    of_cluster = components(_sharing(keys)).select(
-        F.col("node").alias(node), F.col("component").alias("cluster")
+    sharing = written(_sharing(keys), "sharing")
+    of_cluster = components(_near(sharing, described, percent)).select(
+        F.col("node").alias("version"), F.col("component").alias("cluster")
     )
-    sets = described.filter("n > 0").distinct()
+    sets = described.filter("n > 0").drop("point").distinct()
     band = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     distinct = written(
-        sets.join(of_cluster, node).groupBy("cluster", "d1", "d2").agg(
+        sets.join(of_cluster, "version").groupBy("cluster", "d1", "d2").agg(
             F.min(F.struct("doc", "version")).alias("first"), F.first("n").alias("n"),
             F.count_distinct("doc").alias("copies"),
         ).select("cluster", "first.doc", "first.version", "n", "copies", band.alias("band")),
@@ -249,8 +394,9 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     a text links with, its copies under other doc_ids included.
     """
     keyed = _keyed(docs)
-    rows = written(_described(keyed, width), "shingle-sets")
-    members = _members(rows, _keys(keyed, width, percent), percent)
+    described = written(_described(keyed, width), "shingle-sets")
+    rows = described.drop("point")
+    members = _members(described, _keys(keyed, width, percent), percent)
     found = written(_linked(keyed, members, width, percent), "links")
     classes = written(
         rows.filter("n > 0").groupBy("d1", "d2").agg(
@@ -289,9 +435,7 @@ def one_text_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -
     """
     keyed = _keyed(docs)
     rows = written(_described(keyed, width), "shingle-sets")
-    # Texts of equal hash would only widen a cluster.
-    of_text = keyed.select(F.col("version").alias("doc"), "version", "text")
-    members = _members(rows, _keys(of_text, width, percent), percent, "version")
+    members = _members(rows, _keys(keyed, width, percent), percent)
     found = written(_linked(keyed, members, width, percent), "links")
     sets = written(
         rows.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "version")).alias("first"))

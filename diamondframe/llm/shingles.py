@@ -56,13 +56,15 @@ def n_groups(of_band: int, percent: int) -> tuple[int, int]:
     """Groups for the sets up to a band, and how many of them linked sets have equal at least.
 
     Linked sets differ in at most ``differ`` elements, so all groups but as many are equal. There
-    are enough groups that some equal one has elements, unless a set has very many without.
+    are enough groups that some equal one has elements, unless a set has very many without, and
+    a twelfth more, as texts with a passage in common are most often alike in a group of one.
     """
     largest = (100 / percent) ** (of_band + 1)
     differ = math.floor(2 * largest * (100 - percent) / (100 + percent) + 1e-9)
-    groups = differ + 3
+    spare = 3 + differ // 12
+    groups = differ + spare
     for _ in range(3):
-        groups = differ + 3 + math.ceil(1.5 * groups * math.exp(-largest * percent / 100 / groups))
+        groups = differ + spare + math.ceil(1.5 * groups * math.exp(-largest * percent / 100 / groups))
     return groups, groups - differ
 
 
@@ -71,6 +73,8 @@ def shared_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
 
     The shingles are dealt over groups by a hash. A key is a group with all of its elements. Sets
     of two bands meet in the groups of the larger one, so a set has keys for two numbers of groups.
+    Of linked sets ``equal`` groups are equal. The largest of them is larger, in an order of the
+    groups' contents, than ``equal - 1`` others, so each set may go without as many smallest groups.
     """
     if not len(hashes):
         return np.empty(0, dtype=np.int64)
@@ -84,10 +88,15 @@ def shared_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         found = np.add.reduceat(value[order], first)
         number = group[first].astype(np.uint64)
-        if groups - len(first) >= equal:  # so many groups without elements that these count too
-            empty = np.setdiff1d(np.arange(groups), group[first]).astype(np.uint64)
+        sizes = np.diff(first, append=len(group))
+        wanted = groups - equal + 1
+        if len(first) < wanted:  # so many groups without elements that these count too
+            empty = np.setdiff1d(np.arange(groups), group[first])[: wanted - len(first)].astype(np.uint64)
             found = np.concatenate([found, np.zeros(len(empty), dtype=np.uint64)])
             number = np.concatenate([number, empty])
-        salt = _U(of_band * 1_000_003 + 7) * _U(0x9E3779B97F4A7C15)
+        else:
+            largest = np.lexsort((number, found, sizes))[len(first) - wanted :]
+            found, number = found[largest], number[largest]
+        salt = _U((of_band * 1_000_003 + 7) * 0x9E3779B97F4A7C15 % 2**64)
         keys.append(_mixed(found ^ _mixed(number ^ salt, 31), 37))
     return np.concatenate(keys).view(np.int64)

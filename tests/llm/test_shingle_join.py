@@ -12,7 +12,9 @@ from __spark_entry__ import queries
 from diamondframe.llm.common import NO_ID
 from diamondframe.llm.components import components
 from diamondframe.llm.count_tree import CountTree, links
-from diamondframe.llm.shingle_join import jaccard_components, one_text_of_each_group
+from diamondframe.llm.shingle_join import (
+    _described, _keyed, _keys, _members, jaccard_components, one_text_of_each_group,
+)
 from diamondframe.llm.shingles import shared_keys
 
 from llm.brute import COLUMNS, edge_rows, edge_table, fold, key, prose
@@ -119,6 +121,28 @@ def test_a_large_family_over_several_leaves(spark, monkeypatch):
     assert {r.doc: (r.n, r.component, r.n_links) for r in got} == {i: v for (i, _), v in want.items()}
 
 
+@pytest.mark.parametrize("texts, common, own", [(60, 75, 30), (12, 6000, 4000)])
+def test_texts_with_a_passage_in_common_are_no_cluster(spark, texts, common, own):
+    """They share keys and none link; as one cluster each would go to meetings with all others."""
+    made = random.Random(common)
+    passage = [f"w{made.randrange(10**6)}" for _ in range(common)]
+    rows = [(i, " ".join(passage + [f"x{i}-{k}" for k in range(own)])) for i in range(texts)]
+    near = rows[0][1].replace("x0-7 ", "else ")
+    keyed = _keyed(spark.createDataFrame([*rows, (texts, near)], "doc_id long, text string"))
+    members = _members(_described(keyed, 5), _keys(keyed, 5, 80), 80).collect()
+    assert {r.doc for r in members} == {0, texts}
+
+
+@pytest.mark.parametrize("most", [3, 40])
+def test_a_key_of_more_texts_than_are_compared(spark, monkeypatch, most):
+    monkeypatch.setattr("diamondframe.llm.shingle_join.KEY_TEXTS", most)
+    rows = [(k, prose(900 + k % 3, 60) + f" end {k}" * (k % 4)) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = joined(rows, 3, 90)
+    got = jaccard_components(docs, 3, 90).collect()
+    assert {r.doc: (r.n, r.component, r.n_links) for r in got} == {i: v for (i, _), v in want.items()}
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_share_a_key(percent):
     made = np.random.default_rng(percent)
