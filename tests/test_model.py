@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from diamondframe import constants as K
 from diamondframe.operators import model as M
-from diamondframe.session import shared_path
+from diamondframe.plans import queries
+from diamondframe.session import shared_path, written
 from diamondframe.sources.models import load_model, save_model
 
 
@@ -207,3 +208,24 @@ def test_first_of_equal_parameter_sets_wins(spark):
         "param_idx int, params string, average_test_accuracy double",
     )
     assert M.best_parameters(means).first().param_idx == 1
+
+
+def test_input_trees_fit_equal_rows_once(spark, monkeypatch):
+    """The rows differ by side alone, so a tree is fitted on two; it adds its side and no vectors.
+
+    Of more than 10,000 rows the splits would be found on a sample, and not in the middle.
+    """
+    fitted = []
+
+    def counted(df, name):
+        fitted.append(written(df, name))
+        return fitted[-1]
+
+    monkeypatch.setattr(queries, "written", counted)
+    model = queries._input_trees(spark.range(20001).withColumnRenamed("id", "event_id"))
+    assert [sorted(map(tuple, df.collect())) for df in fitted] == [[(0, 10001.0), (1, 10000.0)]]
+    sides = [{c: at + d for c, at in queries.INPUT_SPLITS.items()} for d in (-0.01, 0.01)]
+    answered = model.transform(spark.createDataFrame(sides).select(K.FEATURES))
+    above = [f"above_{c}" for c in K.FEATURES]
+    assert answered.columns == [*K.FEATURES, "features", *above]
+    assert [tuple(r) for r in answered.select(above).orderBy(above[0]).collect()] == [(0.0,) * 21, (1.0,) * 21]
